@@ -1,0 +1,34 @@
+"""Random numbers from uniform ones, vectorised over Arrow batches."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql.functions import pandas_udf
+
+# Above this mean the normal curve stands for the Poisson steps.
+LARGE_MEAN = 50
+
+
+@pandas_udf("bigint")
+def poisson(mean: pd.Series, u: pd.Series, v: pd.Series) -> pd.Series:
+    """A Poisson number per row: by inversion for small means, by the normal curve for large."""
+    lam = mean.to_numpy(dtype=float)
+    first = u.to_numpy(dtype=float)
+    second = v.to_numpy(dtype=float)
+    small = lam <= LARGE_MEAN
+    step = np.exp(-np.where(small, lam, 0.0))
+    reached = step.copy()
+    count = np.zeros(len(lam))
+    k = 0
+    while True:
+        more = small & (reached < first) & (step > 0)
+        if not more.any():
+            break
+        k += 1
+        count[more] += 1
+        step = np.where(more, step * lam / k, step)
+        reached = np.where(more, reached + step, reached)
+    normal = np.sqrt(-2 * np.log(1 - first)) * np.cos(2 * np.pi * second)
+    large = np.maximum(np.rint(lam + np.sqrt(lam) * normal), 0)
+    return pd.Series(np.where(small, count, large).astype("int64"))
