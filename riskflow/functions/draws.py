@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Above this mean the normal curve stands for the Poisson steps.
 LARGE_MEAN = 50
 
 
-@pandas_udf("bigint")
+@pandas_udf(T.LongType())
 def poisson(mean: pd.Series, u: pd.Series, v: pd.Series) -> pd.Series:
     """A Poisson number per row: by inversion for small means, by the normal curve for large."""
     lam = mean.to_numpy(dtype=float)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -51,7 +52,7 @@ def normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def p_value(
     kind: pd.Series, statistic: pd.Series, dof: pd.Series, n: pd.Series, m: pd.Series
 ) -> pd.Series:

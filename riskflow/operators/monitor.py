@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskflow import catalog
 from riskflow.functions.scalar import as_column, count_where, ratio
+from riskflow.operators.prefix import exact_quantiles
 from riskflow.operators.views import Feature, count_of, count_when, mean, parts_of
 
 
@@ -432,28 +433,22 @@ def slo_check(
     latency: str,
     max_p95: float = 1.0,
     max_failures: float = 0.01,
-    accuracy: int = 10_000,
 ) -> DataFrame:
-    """Summary of a load run against its targets."""
+    """Summary of a load run against its targets, with exact quantiles."""
     found = log.agg(
         F.count(F.lit(1)).alias("requests"),
         count_where(F.col(status) >= 500).alias("failures"),
-        F.percentile_approx(latency, [0.5, 0.95], accuracy).alias("_q"),
-        F.min(time).alias("_a"),
-        F.max(time).alias("_z"),
+        F.unix_micros(F.min(time).cast("timestamp")).alias("_a"),
+        F.unix_micros(F.max(time).cast("timestamp")).alias("_z"),
     )
-    span = (
-        F.unix_micros(F.col("_z").cast("timestamp")) - F.unix_micros(F.col("_a").cast("timestamp"))
-    ) / 1e6
-    return found.select(
+    probs = {"median_latency": 0.5, "p95_latency": 0.95}
+    both = found.crossJoin(F.broadcast(exact_quantiles(log, latency, probs)))  # one row each
+    share = ratio(F.col("failures"), F.col("requests"))
+    return both.select(
         "requests",
         "failures",
-        ratio(F.col("failures"), F.col("requests")).alias("failure_ratio"),
-        F.col("_q")[0].alias("median_latency"),
-        F.col("_q")[1].alias("p95_latency"),
-        ratio(F.col("requests"), span, None).alias("throughput"),
-        (
-            (ratio(F.col("failures"), F.col("requests")) <= max_failures)
-            & (F.col("_q")[1] <= max_p95)
-        ).alias("passed"),
+        share.alias("failure_ratio"),
+        *probs,
+        ratio(F.col("requests"), (F.col("_z") - F.col("_a")) / 1e6, None).alias("throughput"),
+        ((share <= max_failures) & (F.col("p95_latency") <= max_p95)).alias("passed"),
     )
