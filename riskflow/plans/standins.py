@@ -43,8 +43,12 @@ def application_id(key: str) -> Column:
 
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Served decisions: one per order, about two in five declined."""
+    return decisions_of(table(spark, sf, "orders"))
+
+
+def decisions_of(orders: DataFrame) -> DataFrame:
     share = F.col("o_totalprice") / F.lit(500000.0)
-    return table(spark, sf, "orders").select(
+    return orders.select(
         application_id("o_orderkey").alias("application_id"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").alias("predicted_at"),

@@ -481,7 +481,7 @@ def _evaluation(rule: monitor.AlertRule) -> str:
       FROM cal{rule.step} c LEFT JOIN ({_VALUES[rule.name]}) k ON k.window_start = c.window_start"""
 
 
-_ALERT_STEPS = {
+ALERT_STEPS = {
     "w1": _windows(5, 1),
     "w5": _windows(15, 5),
     # The coarser calendar is the part of the fine one that falls on its steps.
@@ -508,7 +508,7 @@ def evaluations(spark: SparkSession, sf: str) -> DataFrame:
         """SELECT rule, started_at, ended_at, evaluations, minutes, minutes >= hold AS fired
            FROM st""",
         "prediction_log",
-        **_ALERT_STEPS,
+        **ALERT_STEPS,
     ),
 )
 def alert_sustained(spark: SparkSession, sf: str) -> DataFrame:
@@ -527,7 +527,7 @@ def alert_sustained(spark: SparkSession, sf: str) -> DataFrame:
                                 FROM st WHERE minutes >= hold GROUP BY rule) f ON f.rule = e.rule
            GROUP BY 1, 2, 3""",
         "prediction_log",
-        **_ALERT_STEPS,
+        **ALERT_STEPS,
     ),
 )
 def alert_rules(spark: SparkSession, sf: str) -> DataFrame:
