@@ -9,7 +9,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskflow.functions.scalar import as_column
+from riskflow.functions.scalar import as_column, close_to
 from riskflow.operators.prefix import range_bounds, with_range
 from riskflow.operators.views import Feature, Part, parts_of, utilisation
 
@@ -233,8 +233,6 @@ def disagreement(
     left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], by: Sequence[str]
 ) -> DataFrame:
     """Share of cells in which two feature tables differ, over their common keys."""
-    from riskflow.functions.scalar import close_to
-
     other = right.select(*keys, *[F.col(c).alias(f"_other_{c}") for c in columns])
     pairs = left.select(*keys, *columns).join(other, list(keys))
     wrong = sum((~close_to(F.col(c), F.col(f"_other_{c}"))).cast("int") for c in columns)

@@ -8,6 +8,7 @@ aggregate over those cells.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,12 +17,8 @@ from pyspark.sql import functions as F
 from riskflow import catalog
 from riskflow.functions.scalar import hash_uniform, ratio, within
 from riskflow.functions.tails import p_value
-from riskflow.operators.prefix import (
-    _RANGE,
-    prefix_of_cells,
-    range_bounds_many,
-    with_range,
-)
+from riskflow.operators.prefix import _RANGE, prefix_of_cells, with_range
+from riskflow.session import shuffle_width
 
 # Fixed value: the least spread that a distance is divided by.
 MIN_SPREAD = 0.001
@@ -40,14 +37,36 @@ def _sides() -> list[Column]:
     ]
 
 
+@dataclass(frozen=True)
+class Profile:
+    """What one pass over the numbers tells: the spread of the reference side of each
+    column, and boundaries that cut its values into even ranges."""
+
+    spread: Mapping[str, float | None]
+    bounds: Mapping[str, Sequence[float]]
+
+
+def profile(rows: DataFrame, columns: Sequence[str]) -> Profile:
+    """One row of results. The boundaries only balance the work."""
+    ranges = shuffle_width(rows.sparkSession)
+    probs = [i / ranges for i in range(1, ranges)]
+    row = rows.agg(
+        *[F.stddev_pop(F.when(F.col("_side") == 0, F.col(c))).alias(f"s_{c}") for c in columns],
+        *[
+            F.percentile_approx(F.col(c).cast("double"), probs, 4 * ranges).alias(f"q_{c}")
+            for c in columns
+        ],
+    ).first()
+    return Profile(
+        {c: row[f"s_{c}"] for c in columns},
+        {c: sorted(set(row[f"q_{c}"] or [])) for c in columns},
+    )
+
+
 def numeric_cells(
-    rows: DataFrame, columns: Sequence[str], bounds: Mapping[str, Sequence[float]] | None = None
+    rows: DataFrame, columns: Sequence[str], bounds: Mapping[str, Sequence[float]]
 ) -> DataFrame:
     """(column, value) cells with the counts of both sides and their running totals."""
-    if not columns:
-        raise ValueError("no numeric columns")
-    if bounds is None:
-        bounds = range_bounds_many(rows, columns)
     marked = rows
     for c in columns:
         marked = with_range(marked, c, bounds[c], f"_range_{c}")
@@ -71,23 +90,25 @@ def numeric_cells(
 
 
 def numeric_distances(
-    rows: DataFrame, columns: Sequence[str], bounds: Mapping[str, Sequence[float]] | None = None
+    rows: DataFrame, columns: Sequence[str], known: Profile | None = None
 ) -> DataFrame:
     """Wasserstein distance, the same per reference spread, and the KS distance, per column.
 
     The measures for codes come from the same cells, for columns with few values.
     """
-    cells = numeric_cells(rows, columns, bounds)
+    known = known or profile(rows, columns)
+    cells = numeric_cells(rows, columns, known.bounds)
     gap = F.abs(F.col("cum_r") / F.col("all_r") - F.col("cum_k") / F.col("all_k"))
     found = cells.groupBy("column").agg(
         F.sum(gap * (F.col("next_x") - F.col("x"))).alias("wasserstein"),
         F.max(gap).alias("ks"),
         *_code_measures(F.col("all_r"), F.col("all_k")),
     )
-    spread = reference_spread(rows, columns)
-    joined = found.join(F.broadcast(spread), "column")  # one row per column
-    return joined.withColumn(
-        "normed", F.col("wasserstein") / F.greatest(F.col("spread"), F.lit(MIN_SPREAD))
+    spread = F.lit(None).cast("double")
+    for c, value in known.spread.items():
+        spread = F.when(F.col("column") == c, F.lit(value)).otherwise(spread)
+    return found.withColumn(
+        "normed", F.col("wasserstein") / F.greatest(spread, F.lit(MIN_SPREAD))
     )
 
 
@@ -111,18 +132,6 @@ def _code_measures(n: Column, m: Column) -> list[Column]:
     ]
 
 
-def reference_spread(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Population deviation of the reference side of each column."""
-    side = rows.where("_side = 0").agg(*[F.stddev_pop(c).alias(c) for c in columns])
-    return side.select(
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(c).alias("column"), F.col(c).alias("spread")) for c in columns]
-            )
-        )
-    )
-
-
 def categorical_cells(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value) cells with the counts of both sides."""
     melted = rows.select(

@@ -22,6 +22,7 @@ from riskflow.functions.scalar import (
     ratio,
 )
 from riskflow.operators.asof import require_columns
+from riskflow.operators.metrics import ranking
 from riskflow.operators.sampling import observe
 
 KEY = "application_id"
@@ -58,6 +59,13 @@ def join_labels(
     return ready.join(known_by(outcomes, as_of), KEY)
 
 
+def left_join_keyed(left: DataFrame, right: DataFrame, key: str = KEY) -> DataFrame:
+    """A left join that rows without a key pass by: they match nothing, and however
+    many there are they would all meet in one task."""
+    keyed = left.where(F.col(key).isNotNull()).join(right, key, "left")
+    return keyed.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def join_counts(
     decisions: DataFrame,
     outcomes: DataFrame,
@@ -70,7 +78,7 @@ def join_counts(
     """
     ready = F.col("predicted_at") <= instant(days_before(as_of, window_days))
     known = known_by(outcomes, as_of).select(KEY, F.lit(True).alias("_known"))
-    rows = decisions.select(KEY, "prediction", ready.alias("_ready")).join(known, KEY, "left")
+    rows = left_join_keyed(decisions.select(KEY, "prediction", ready.alias("_ready")), known)
     seen = F.col("_known").isNotNull()
     counted = rows.agg(
         F.count(F.lit(1)).alias("total"),
@@ -94,9 +102,10 @@ def unlabelled(
     window_days: float = catalog.WINDOW_DAYS,
 ) -> DataFrame:
     """Matured decisions without a reported label."""
-    return matured(decisions, as_of, window_days).join(
-        known_by(outcomes, as_of).select(KEY), KEY, "left_anti"
-    )
+    ready = matured(decisions, as_of, window_days)
+    known = known_by(outcomes, as_of).select(KEY)
+    keyed = ready.where(F.col(KEY).isNotNull()).join(known, KEY, "left_anti")
+    return keyed.unionByName(ready.where(F.col(KEY).isNull()))
 
 
 def join_ignoring_time(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -151,11 +160,9 @@ def maturity_slots(
     """
     days = sorted(offsets)
     origin = decisions.agg(F.min("predicted_at").alias("_origin"))
-    rows = (
-        decisions.select(KEY, "predicted_at", "probability", "prediction")
-        .join(outcomes.select(KEY, "observed_at", "label"), KEY, "left")
-        .crossJoin(F.broadcast(origin))  # one row
-    )
+    served = decisions.select(KEY, "predicted_at", "probability", "prediction")
+    joined = left_join_keyed(served, outcomes.select(KEY, "observed_at", "label"))
+    rows = joined.crossJoin(F.broadcast(origin))  # one row
     matures = plus_days("predicted_at", window_days)
     dates = [plus_days("_origin", d) for d in days]
 
@@ -187,8 +194,6 @@ def maturity_curve(
     The rate and the precision are those of approved rows, as a dashboard shows
     them. Dates without a label are left out.
     """
-    from riskflow.operators.metrics import ranking
-
     days = sorted(offsets)
     slots = maturity_slots(decisions, outcomes, days, window_days)
     # Folded to as many rows as there are slot pairs before any date is attached.

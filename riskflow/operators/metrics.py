@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow import catalog
-from riskflow.functions.draws import poisson
 from riskflow.functions.scalar import count_where, hash_uniform, ratio
-from riskflow.operators.prefix import exact_quantiles, ordered_prefix
+from riskflow.operators.prefix import exact_quantiles, ordered_prefix, range_bounds
+from riskflow.operators.replicates import holdout_weights, poisson_weights, replicate_pr_auc
 
 # Smallest distance of a probability from 0 and 1 in the log loss: double epsilon.
 EPSILON = 2.220446049250313e-16
@@ -213,20 +213,13 @@ def bootstrap_std_error(
     Rows with equal score, label and weight fold into one cell with a count n, and
     a draw replaces n by a Poisson(n) number. That is the bootstrap with a random
     total, which differs from a fixed total by less than the error it estimates.
-    The number comes from a hash of cell and draw, so a retried task repeats it.
     Draws with a single class are skipped.
     """
     cells = df.groupBy(score, label, weight).agg(F.count(F.lit(1)).alias("n"))
-    spread = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    cell = F.concat_ws("|", score, label, weight, "draw")
-    drawn = (
-        spread.withColumn("_u", hash_uniform(cell, seed))
-        .withColumn("_v", hash_uniform(cell, seed + 1))
-        .withColumn("k", poisson("n", "_u", "_v"))
-        .where("k > 0")
-        .withColumn("_w", F.col(weight) * F.col("k"))
-    )
-    per_draw = ranking(drawn, label, score, "_w", ["draw"], bounds)
+    if bounds is None:
+        bounds = range_bounds(df, score)
+    drawn = poisson_weights(seed, score, label, weight, "n")
+    per_draw = replicate_pr_auc(cells, score, draws, drawn, bounds)
     return per_draw.agg(
         F.count("pr_auc").alias("draws"), F.stddev_samp("pr_auc").alias("std_error")
     )
@@ -262,60 +255,61 @@ def holdout_sweep(
     """What a holdout of each rate buys and costs, over repeated draws.
 
     Rates are nested: a declined row drawn at 1 % is drawn at 5 % too. So a row is
-    drawn once per repeat, kept with the smallest rate that takes it, and folded
-    with its equals before it is copied to the higher rates. Approved rows are the
-    same in all draws and are folded before they are copied.
+    drawn once per repeat and kept with the smallest rate that takes it. Approved
+    rows are the same in all draws and are folded once.
     """
     rates = sorted(rates)
-    steps = F.sequence(F.lit(1), F.lit(draws))
-    folded_keys = ["draw", "first", "probability", "prediction", "label"]
-
+    if bounds is None:
+        bounds = range_bounds(truth, "probability")
+    repeats = F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")
     declined = (
         truth.where("prediction = 1")
-        .select(key, "probability", "prediction", "label", F.explode(steps).alias("draw"))
+        .select(key, "probability", "label", repeats)
         .withColumn(
-            "_u",
-            hash_uniform(F.concat_ws(":", F.col("draw").cast("string"), F.col(key)), seed),
+            "_u", hash_uniform(F.concat_ws(":", F.col("draw").cast("string"), F.col(key)), seed)
         )
         .where(F.col("_u") < rates[-1])
         .withColumn("first", sum((F.col("_u") >= r).cast("int") for r in rates))
-        .groupBy(*folded_keys)
+        .groupBy((F.col("draw") - 1).alias("draw"), "first", "probability", "label")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     approved = (
         truth.where("prediction = 0")
-        .groupBy("probability", "prediction", "label")
+        .groupBy("probability", "label")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("*", F.explode(steps).alias("draw"), F.lit(0).alias("first"))
+        .select(F.lit(-1).alias("draw"), F.lit(0).alias("first"), "probability", "label", "n")
     )
-    rows = declined.unionByName(approved).select(
-        "*", F.explode(F.sequence(F.col("first"), F.lit(len(rates) - 1))).alias("slot")
+    weights = holdout_weights(rates, draws, "probability")
+    aucs = replicate_pr_auc(
+        declined.unionByName(approved), "probability", len(rates) * draws, weights, bounds
+    ).select(
+        F.floor(F.col("replicate") / draws).cast("int").alias("slot"),
+        (F.col("replicate") % draws).alias("draw"),
+        "pr_auc",
     )
-    rate = F.element_at(F.array(*[F.lit(r) for r in rates]), F.col("slot") + 1)
-    weighed = rows.withColumn(
-        "_w", F.col("n") / F.when(F.col("prediction") == 1, rate).otherwise(F.lit(1.0))
+    # Counts per draw and smallest rate, then added up over the rates above it.
+    taken = declined.groupBy("draw", "first").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad")
     )
-    per_draw = ranking(weighed, "label", "probability", "_w", ["slot", "draw"], bounds)
-    taken = F.when(F.col("prediction") == 1, F.col("n")).otherwise(F.lit(0))
-    bad = F.when(F.col("label") == 1, taken).otherwise(F.lit(0))
-    extras = rows.groupBy("slot", "draw").agg(
-        F.sum(taken).alias("extra"), F.sum(bad).alias("bad")
+    slots = F.explode(F.sequence(F.col("first"), F.lit(len(rates) - 1))).alias("slot")
+    extras = taken.select("*", slots).groupBy("slot", "draw").agg(
+        F.sum("n").alias("extra"), F.sum("bad").alias("bad")
     )
     population = truth.agg(F.count(F.lit(1)).alias("_all"))
     true_auc = ranking(truth, "label", "probability", bounds=bounds).select(
         F.col("pr_auc").alias("_true")
     )
-    cost = F.lit(float(cost_fn)) * F.col("bad") - F.lit(float(cost_fp)) * (
-        F.col("extra") - F.col("bad")
-    )
+    extra, bad = F.coalesce("extra", F.lit(0)), F.coalesce("bad", F.lit(0))
+    cost = F.lit(float(cost_fn)) * bad - F.lit(float(cost_fp)) * (extra - bad)
+    rate = F.element_at(F.array(*[F.lit(r) for r in rates]), F.col("slot") + 1)
     return (
-        extras.join(per_draw.select("slot", "draw", "pr_auc"), ["slot", "draw"])
+        aucs.join(extras, ["slot", "draw"], "left")  # a draw may take nobody
         .crossJoin(F.broadcast(population))  # one row each
         .crossJoin(F.broadcast(true_auc))
         .groupBy(rate.alias("holdout_rate"))
         .agg(
             F.count(F.lit(1)).alias("draws"),
-            F.avg("extra").alias("mean_extra_approvals"),
+            F.avg(extra).alias("mean_extra_approvals"),
             F.avg("pr_auc").alias("mean_pr_auc_ipw"),
             F.stddev_samp("pr_auc").alias("std_across_draws"),
             (F.avg("pr_auc") - F.max("_true")).alias("mean_error_vs_truth"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 from riskflow import catalog
 from riskflow.functions.scalar import count_where
 from riskflow.operators import decide, metrics, sampling
+from riskflow.session import shared_folder
 
 # A column with more codes than this is not a category.
 MAX_LEVELS = 1000
@@ -186,24 +188,24 @@ def train(
     return Scorer(PipelineModel(stages=[prepare, assemble, fitted]), encoding)
 
 
-def out_of_fold(
-    df: DataFrame,
-    key: str,
-    label: str,
-    fit: Callable[[DataFrame], Scorer],
-    k: int = 5,
-    seed: int = catalog.SEED,
+def stored_folds(
+    df: DataFrame, key: str, label: str, k: int = 5, seed: int = catalog.SEED
 ) -> DataFrame:
+    """The frame with its folds, as a table in the shared folder with one folder per fold:
+    each fit reads only the folds it trains on, and nothing before the split runs twice."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/folds"
+    sampling.kfold(df, key, label, k, seed).write.partitionBy("fold").parquet(path)
+    return spark.read.parquet(path)
+
+
+def out_of_fold(folded: DataFrame, fit: Callable[[DataFrame], Scorer], k: int = 5) -> DataFrame:
     """Every row scored by a model that did not see it."""
-    folded = sampling.kfold(df, key, label, k, seed).persist()
     parts = [
         fit(folded.where(F.col("fold") != i)).score(folded.where(F.col("fold") == i))
         for i in range(k)
     ]
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    return scored
+    return reduce(DataFrame.unionByName, parts)
 
 
 def tuned_cutoff(oof: DataFrame, label: str) -> DataFrame:
@@ -222,12 +224,14 @@ def search(
 ) -> DataFrame:
     """Mean cross-validated average precision of each candidate, its lead over the
     baseline, and which is best. All folds of all candidates are judged in one job."""
-    scored = None
-    for name, fit in candidates.items():
-        part = out_of_fold(df, key, label, fit, k).select(
+    folded = stored_folds(df, key, label, k)
+    parts = [
+        out_of_fold(folded, fit, k).select(
             F.lit(name).alias("candidate"), "fold", label, "probability"
         )
-        scored = part if scored is None else scored.unionByName(part)
+        for name, fit in candidates.items()
+    ]
+    scored = reduce(DataFrame.unionByName, parts)
     if bounds is None:
         bounds = [i / 16 for i in range(1, 16)]
     per_fold = metrics.ranking(

@@ -34,18 +34,10 @@ def range_bounds(df: DataFrame, value: str, ranges: int | None = None) -> list[f
     the work, results do not depend on them, so any frame with a similar
     distribution will do, and one list can serve several calls.
     """
-    return range_bounds_many(df, [value], ranges)[value]
-
-
-def range_bounds_many(
-    df: DataFrame, values: Sequence[str], ranges: int | None = None
-) -> dict[str, list[float]]:
-    """``range_bounds`` for several columns in a single pass."""
     ranges = ranges or shuffle_width(df.sparkSession)
     probs = [i / ranges for i in range(1, ranges)]
-    numbers = df.select(*[_number(df, v).alias(v) for v in values])
-    found = numbers.approxQuantile(list(values), probs, 1.0 / (4 * ranges))
-    return {v: sorted(set(cuts)) for v, cuts in zip(values, found, strict=True)}
+    numbers = df.select(_number(df, value).alias(value))
+    return sorted(set(numbers.approxQuantile(value, probs, 1.0 / (4 * ranges))))
 
 
 def _number(df: DataFrame, value: str) -> Column:

@@ -140,7 +140,7 @@ def candidate_compare(spark: SparkSession, sf: str) -> DataFrame:
 @query("oof_threshold")
 def oof_threshold(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = parts(records(spark, sf))
-    oof = model.out_of_fold(train, KEY, LABEL, fit_logistic())
+    oof = model.out_of_fold(model.stored_folds(train, KEY, LABEL), fit_logistic())
     return model.tuned_cutoff(oof, LABEL)
 
 
@@ -159,7 +159,7 @@ def score_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Train, tune the cutoff, save, load, and score with the cutoff that was saved."""
     train, test = parts(records(spark, sf))
     fit = fit_logistic()
-    oof = model.out_of_fold(train, KEY, LABEL, fit, k=3)
+    oof = model.out_of_fold(model.stored_folds(train, KEY, LABEL, 3), fit, 3)
     cutoff = model.tuned_cutoff(oof, LABEL).first()["threshold"]
     scorer = fit(train)
     inputs = train.select(*NUMERIC, *CODES).schema

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow import catalog
+from riskflow.functions import scalar
 from riskflow.functions.scalar import hash_uniform
 from riskflow.operators import labels, metrics, sampling
 from riskflow.operators.prefix import range_bounds
@@ -139,9 +140,12 @@ _BOTH = f"""SELECT 'ignores_time' AS joined, probability AS p, label AS y FROM l
 def label_leak_report(spark: SparkSession, sf: str) -> DataFrame:
     """Both joins scored from one pass: the correct rows are a subset of the naive ones."""
     naive = labels.join_ignoring_time(standins.decisions(spark, sf), standins.outcomes(spark, sf))
-    honest = labels.matured(naive, AS_OF)
-    honest = labels.known_by(honest, AS_OF).withColumn("joined", F.lit("point_in_time"))
-    rows = naive.withColumn("joined", F.lit("ignores_time")).unionByName(honest)
+    due = scalar.instant(scalar.days_before(AS_OF, catalog.WINDOW_DAYS))
+    honest = (F.col("predicted_at") <= due) & (F.col("observed_at") <= scalar.instant(AS_OF))
+    kinds = F.array_compact(
+        F.array(F.lit("ignores_time"), F.when(honest, F.lit("point_in_time")))
+    )
+    rows = naive.select("probability", "label", F.explode(kinds).alias("joined"))
     made = metrics.ranking(
         rows, "label", "probability", by=["joined"], bounds=score_bounds(spark, sf)
     )
