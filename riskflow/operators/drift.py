@@ -128,7 +128,8 @@ def _code_measures(n: Column, m: Column) -> list[Column]:
         F.sum("r").alias("reference_rows"),
         F.sum("k").alias("current_rows"),
         F.count(F.lit(1)).alias("distinct_values"),
-        F.min_by(F.struct("r", "k"), F.col("x")).alias("_first"),
+        F.min_by("r", "x").alias("_first_r"),
+        F.min_by("k", "x").alias("_first_k"),
     ]
 
 
@@ -245,8 +246,8 @@ def drift_report(
 def _proportion_z() -> Column:
     """Difference of two proportions, from the counts of the first of two values."""
     n, m = F.col("reference_rows"), F.col("current_rows")
-    a, b = F.col("_first.r") / n, F.col("_first.k") / m
-    pooled = (F.col("_first.r") + F.col("_first.k")) / (n + m)
+    a, b = F.col("_first_r") / n, F.col("_first_k") / m
+    pooled = (F.col("_first_r") + F.col("_first_k")) / (n + m)
     spread = F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
     return F.coalesce(ratio(a - b, spread, None), F.lit(0.0))
 

@@ -56,6 +56,8 @@ def with_range(df: DataFrame, value: str, bounds: Sequence[float], name: str = _
     if not cuts:
         return df.withColumn(name, F.lit(0))
     staged = df.withColumn("_number", _number(df, value))
+    # NaN sorts last, into a range of its own. Never null: a null check on one side of
+    # the join below would keep Spark from reading the folded cells only once.
     cutter = Bucketizer(
         splits=[float("-inf"), *cuts, float("inf")],
         inputCol="_number",
@@ -64,7 +66,7 @@ def with_range(df: DataFrame, value: str, bounds: Sequence[float], name: str = _
     )
     return (
         cutter.transform(staged)
-        .withColumn(name, F.col("_cut").cast("int"))
+        .withColumn(name, F.coalesce(F.col("_cut").cast("int"), F.lit(0)))
         .drop("_number", "_cut")
     )
 
@@ -165,7 +167,7 @@ def row_positions(
     by = list(by)
     width = shuffle_width(df.sparkSession)
     marked = df.withColumn("_u", uniform).withColumn(
-        _RANGE, F.floor(F.col("_u") * width).cast("int")
+        _RANGE, F.coalesce(F.floor(F.col("_u") * width).cast("int"), F.lit(0))
     )
     inner = Window.partitionBy(*by, _RANGE).orderBy("_u", *tie)
     run = marked.withColumn("_run", F.row_number().over(inner))

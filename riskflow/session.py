@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -25,6 +26,11 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="riskflow-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path below the folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -35,8 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="riskflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_folder()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
