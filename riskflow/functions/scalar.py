@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HASH_RANGE = float(2**32)
@@ -15,6 +15,11 @@ def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def only_row(df: DataFrame) -> Column:
+    """The one row of a frame as a struct: a scalar subquery that runs once."""
+    return df.select(F.struct(*df.columns)).scalar()
+
+
 def hash_uniform(key: Column | str, seed: int) -> Column:
     """A number in [0, 1) that depends on the key and the seed alone.
 

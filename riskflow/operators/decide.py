@@ -128,11 +128,9 @@ def quality_gate(
 
 def best_candidate(metrics: DataFrame, name: str = "candidate", value: str = "pr_auc") -> DataFrame:
     """The candidate with the highest value; the first by name among equals."""
-    top = metrics.agg(F.max(value).alias("_top"))
-    return (
-        metrics.crossJoin(F.broadcast(top))  # one row
-        .where(F.col(value) == F.col("_top"))
-        .agg(F.min(name).alias(name), F.max(value).alias(value))
+    top = metrics.agg(F.max(value)).scalar()
+    return metrics.where(F.col(value) == top).agg(
+        F.min(name).alias(name), F.max(value).alias(value)
     )
 
 
@@ -156,11 +154,9 @@ def promote(
     now = aliases.groupBy(model).agg(
         F.max(F.when(F.col("alias") == "champion", F.col("version"))).alias("_champion")
     )
-    allowed = gate.select((F.col("passed") | F.lit(force)).alias("_go"))
-    after = (
-        fresh.join(now, model, "left")
-        .crossJoin(F.broadcast(allowed))  # one row
-        .withColumn("_champion", F.when(F.col("_go"), F.col("_new")).otherwise(F.col("_champion")))
+    allowed = gate.select(F.col("passed") | F.lit(force)).scalar()
+    after = fresh.join(now, model, "left").withColumn(
+        "_champion", F.when(allowed, F.col("_new")).otherwise(F.col("_champion"))
     )
     rows = F.array(
         F.struct(F.lit("challenger").alias("alias"), F.col("_new").alias("version")),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow import catalog
-from riskflow.functions.scalar import hash_uniform, ratio, within
+from riskflow.functions.scalar import count_where, hash_uniform, ratio, within
 from riskflow.functions.tails import p_value
 from riskflow.operators.prefix import _RANGE, prefix_of_cells, with_range
 from riskflow.session import shuffle_width
@@ -160,14 +160,25 @@ def categorical_distances(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def psi(rows: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
-    """Population stability index over fixed edges, empty bins counted as one row."""
+    """Population stability index over fixed edges, an empty bin counted as one row."""
     cuts = sorted(edges)
     bin_ = sum((F.col(column) >= e).cast("int") for e in cuts)
-    counts = rows.where(F.col(column).isNotNull()).groupBy(bin_.alias("bin")).agg(*_sides())
-    totals = counts.agg(F.sum("r").alias("_r"), F.sum("k").alias("_k"))
-    a = F.greatest(F.col("r"), F.lit(1)) / F.col("_r")
-    b = F.greatest(F.col("k"), F.lit(1)) / F.col("_k")
-    return counts.crossJoin(F.broadcast(totals)).agg(F.sum((b - a) * F.log(b / a)).alias("psi"))
+    sides, bins = ((0, "r"), (1, "k")), range(len(cuts) + 1)
+    counts = rows.where(F.col(column).isNotNull()).agg(
+        *[
+            count_where((F.col("_side") == side) & (bin_ == i)).alias(f"{name}{i}")
+            for side, name in sides
+            for i in bins
+        ]
+    )
+
+    def share(name: str, i: int) -> Column:
+        return F.greatest(F.col(f"{name}{i}"), F.lit(1)) / sum(F.col(f"{name}{j}") for j in bins)
+
+    terms = [
+        (share("k", i) - share("r", i)) * F.log(share("k", i) / share("r", i)) for i in bins
+    ]
+    return counts.select(sum(terms[1:], terms[0]).alias("psi"))
 
 
 def drift_report(

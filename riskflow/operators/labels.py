@@ -162,7 +162,7 @@ def maturity_slots(
     origin = decisions.agg(F.min("predicted_at").alias("_origin"))
     served = decisions.select(KEY, "predicted_at", "probability", "prediction")
     joined = left_join_keyed(served, outcomes.select(KEY, "observed_at", "label"))
-    rows = joined.crossJoin(F.broadcast(origin))  # one row
+    rows = joined.withColumn("_origin", origin.scalar())
     matures = plus_days("predicted_at", window_days)
     dates = [plus_days("_origin", d) for d in days]
 

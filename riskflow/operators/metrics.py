@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow import catalog
-from riskflow.functions.scalar import count_where, hash_uniform, ratio
+from riskflow.functions.scalar import count_where, hash_uniform, only_row, ratio
 from riskflow.operators.prefix import exact_quantiles, ordered_prefix, range_bounds
 from riskflow.operators.replicates import holdout_weights, poisson_weights, replicate_pr_auc
 
@@ -113,10 +113,8 @@ def calibration(
     )
     names = {f"e{i}": i / bins for i in range(1, bins)}
     edges = exact_quantiles(folded, score, names, bounds=bounds, counts=F.col("n"))
-    # One row of edges.
-    placed = folded.crossJoin(F.broadcast(edges)).withColumn(
-        "bin", sum((F.col(score) > F.col(e)).cast("int") for e in names)
-    )
+    edge = only_row(edges)
+    placed = folded.withColumn("bin", sum((F.col(score) > edge[e]).cast("int") for e in names))
     return placed.groupBy("bin").agg(
         F.sum("n").alias("rows"),
         (F.sum(F.col(score) * F.col("n")) / F.sum("n")).alias("mean_predicted"),
@@ -232,7 +230,8 @@ def usable(
     min_rows: float = catalog.MIN_EFFECTIVE_ROWS,
 ) -> DataFrame:
     """Say whether an estimate is precise enough to be quoted. Both frames are one row."""
-    both = estimate.crossJoin(F.broadcast(std_error))
+    error = only_row(std_error)
+    both = estimate.withColumns({c: error[c] for c in std_error.columns})
     return both.withColumn(
         "usable",
         F.coalesce(
@@ -295,17 +294,14 @@ def holdout_sweep(
     extras = taken.select("*", slots).groupBy("slot", "draw").agg(
         F.sum("n").alias("extra"), F.sum("bad").alias("bad")
     )
-    population = truth.agg(F.count(F.lit(1)).alias("_all"))
-    true_auc = ranking(truth, "label", "probability", bounds=bounds).select(
-        F.col("pr_auc").alias("_true")
-    )
+    population = truth.agg(F.count(F.lit(1))).scalar()
+    true_auc = ranking(truth, "label", "probability", bounds=bounds).select("pr_auc").scalar()
     extra, bad = F.coalesce("extra", F.lit(0)), F.coalesce("bad", F.lit(0))
     cost = F.lit(float(cost_fn)) * bad - F.lit(float(cost_fp)) * (extra - bad)
     rate = F.element_at(F.array(*[F.lit(r) for r in rates]), F.col("slot") + 1)
     return (
         aucs.join(extras, ["slot", "draw"], "left")  # a draw may take nobody
-        .crossJoin(F.broadcast(population))  # one row each
-        .crossJoin(F.broadcast(true_auc))
+        .withColumns({"_all": population, "_true": true_auc})
         .groupBy(rate.alias("holdout_rate"))
         .agg(
             F.count(F.lit(1)).alias("draws"),

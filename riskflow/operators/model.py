@@ -238,19 +238,13 @@ def search(
         scored, label, "probability", by=["candidate", "fold"], bounds=bounds
     )
     means = per_fold.groupBy("candidate").agg(F.avg("pr_auc").alias("cv_pr_auc"))
-    base = means.where(F.col("candidate") == baseline).select(F.col("cv_pr_auc").alias("_base"))
-    best = decide.best_candidate(means, "candidate", "cv_pr_auc").select(
-        F.col("candidate").alias("_best")
-    )
-    return (
-        means.crossJoin(F.broadcast(base))  # one row each
-        .crossJoin(F.broadcast(best))
-        .select(
-            "candidate",
-            "cv_pr_auc",
-            (F.col("cv_pr_auc") - F.col("_base")).alias("improvement"),
-            (F.col("candidate") == F.col("_best")).alias("best"),
-        )
+    base = means.where(F.col("candidate") == baseline).select("cv_pr_auc").scalar()
+    best = decide.best_candidate(means, "candidate", "cv_pr_auc").select("candidate").scalar()
+    return means.select(
+        "candidate",
+        "cv_pr_auc",
+        (F.col("cv_pr_auc") - base).alias("improvement"),
+        (F.col("candidate") == best).alias("best"),
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow import catalog
-from riskflow.functions.scalar import as_column, count_where, ratio
+from riskflow.functions.scalar import as_column, count_where, only_row, ratio
 from riskflow.operators.prefix import exact_quantiles
 from riskflow.operators.views import Feature, count_of, count_when, mean, parts_of
 
@@ -442,7 +442,8 @@ def slo_check(
         F.unix_micros(F.max(time).cast("timestamp")).alias("_z"),
     )
     probs = {"median_latency": 0.5, "p95_latency": 0.95}
-    both = found.crossJoin(F.broadcast(exact_quantiles(log, latency, probs)))  # one row each
+    exact = only_row(exact_quantiles(log, latency, probs))
+    both = found.withColumns({name: exact[name] for name in probs})
     share = ratio(F.col("failures"), F.col("requests"))
     return both.select(
         "requests",

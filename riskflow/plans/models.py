@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow import catalog
+from riskflow.functions.scalar import only_row
 from riskflow.operators import contract, fairness, metrics, model, sampling, trees, views
 from riskflow.plans import features, standins
 from riskflow.plans.oracle import double, with_views
@@ -124,16 +125,15 @@ def candidate_compare(spark: SparkSession, sf: str) -> DataFrame:
         part = fit(train).score(test).select(F.lit(name).alias("candidate"), LABEL, "probability")
         scored = part if scored is None else scored.unionByName(part)
     made = metrics.ranking(scored, LABEL, "probability", by=["candidate"], bounds=EVEN)
-    top = made.agg(F.max("pr_auc").alias("_top"))
-    compared = made.crossJoin(F.broadcast(top))  # one row
-    return compared.select(
+    top = made.agg(F.max("pr_auc")).scalar()
+    return made.select(
         "candidate",
         "rows",
         "pr_auc",
         "roc_auc",
         "brier",
         "log_loss",
-        (F.col("pr_auc") == F.col("_top")).alias("best"),
+        (F.col("pr_auc") == top).alias("best"),
     )
 
 
@@ -245,23 +245,19 @@ def ablation_compare(spark: SparkSession, sf: str) -> DataFrame:
     for variant, protected in {"with_protected": True, "without": False}.items():
         numeric, codes = catalog.model_columns(protected)
         scored = fit_logistic(numeric, codes)(train).decide(test)
-        rank = metrics.ranking(scored, LABEL, "probability", bounds=EVEN)
+        rank = only_row(metrics.ranking(scored, LABEL, "probability", bounds=EVEN))
         audited = fairness.audit(
             scored, LABEL, "prediction", catalog.AUDITED, {"age": catalog.AGE_EDGES}
         )
-        part = (
-            fairness.gaps(audited)
-            .crossJoin(F.broadcast(rank.select("pr_auc", "roc_auc")))  # one row
-            .select(
-                F.lit(variant).alias("variant"),
-                F.lit(len(numeric) + len(codes)).alias("features"),
-                "pr_auc",
-                "roc_auc",
-                "attribute",
-                "selection_rate_gap",
-                "equal_opportunity_gap",
-                "base_rate_gap",
-            )
+        part = fairness.gaps(audited).select(
+            F.lit(variant).alias("variant"),
+            F.lit(len(numeric) + len(codes)).alias("features"),
+            rank["pr_auc"].alias("pr_auc"),
+            rank["roc_auc"].alias("roc_auc"),
+            "attribute",
+            "selection_rate_gap",
+            "equal_opportunity_gap",
+            "base_rate_gap",
         )
         found = part if found is None else found.unionByName(part)
     return found

@@ -291,10 +291,11 @@ def split_disjoint(spark: SparkSession, sf: str) -> DataFrame:
     rows = split(spark, sf).select("customer_id", "cohort")
     current = rows.where("cohort = 'current'").select("customer_id")
     reference = rows.where("cohort <> 'current'").select("customer_id")
-    shared = current.intersect(reference).agg(F.count(F.lit(1)).alias("shared"))
-    covered = rows.agg(F.count_distinct("customer_id").alias("covered"))
-    total = standins.applications(spark, sf).agg(F.count(F.lit(1)).alias("total"))
-    return shared.crossJoin(covered).crossJoin(total)  # one row each
+    shared = current.intersect(reference).agg(F.count(F.lit(1))).scalar()
+    total = standins.applications(spark, sf).agg(F.count(F.lit(1))).scalar()
+    return rows.agg(F.count_distinct("customer_id").alias("covered")).select(
+        shared.alias("shared"), "covered", total.alias("total")
+    )
 
 
 @query(
