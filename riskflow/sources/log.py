@@ -26,11 +26,13 @@ def append_log(df: DataFrame, path: str, time: str = "predicted_at") -> None:
     flat.write.partitionBy("date").mode("append").parquet(path)
 
 
-def compact_log(spark: SparkSession, path: str, target: str, files_per_day: int = 1) -> None:
-    """Rewrite many small files as a few per day, at another path."""
-    rows = spark.read.parquet(path)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(files_per_day))
-    rows.repartition("date", salt).write.partitionBy("date").mode("overwrite").parquet(target)
+def compact_log(spark: SparkSession, path: str, target: str) -> None:
+    """Rewrite many small files as few per day, at another path.
+
+    Rebalancing gathers a quiet day in one file and splits a busy one over many tasks.
+    """
+    rows = spark.read.option("mergeSchema", "true").parquet(path).hint("rebalance", "date")
+    rows.write.partitionBy("date").mode("overwrite").parquet(target)
 
 
 def read_log(

@@ -61,6 +61,18 @@ def dispatch(source: str, readers: Mapping[str, Callable[[], DataFrame]]) -> Dat
     return readers[source]()
 
 
+def store_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> None:
+    """Store a table in buckets of its join key. Tables with the same key and number of
+    buckets join without a shuffle: decisions and outcomes are joined again and again."""
+    (
+        df.write.option("path", path)
+        .bucketBy(buckets, key)
+        .sortBy(key)
+        .mode("overwrite")
+        .saveAsTable(name)
+    )
+
+
 def newest(df: DataFrame, time: str, n: int, tie: str | None = None) -> DataFrame:
     """The most recent n rows: each task keeps n, no global sort."""
     order = [F.col(time).desc(), *([F.col(tie).desc()] if tie else [])]

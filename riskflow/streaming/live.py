@@ -93,6 +93,17 @@ def sessions(
     )
 
 
+def silences(
+    stream: DataFrame, time: str, by: str, minutes: int = 15, delay: str = "1 hour"
+) -> DataFrame:
+    """When a caller fell silent: the end of a session whose gap is the tolerated pause.
+
+    A row appears once the watermark has passed that end without traffic.
+    """
+    made = sessions(stream, time, by, f"{int(minutes)} minutes", delay)
+    return made.select(by, F.col("session_end").alias("silent_since"), "requests")
+
+
 def ingest_outcomes(feed: DataFrame, store: OutcomeStore, checkpoint: str) -> None:
     """Bring a feed of outcomes into the store; replays and restatements change nothing.
 
@@ -149,9 +160,10 @@ def _alert_steps(
             firing = True
             changes.append((key[0], at, "firing"))
     state.update((None if since is None else int(since), bool(firing)))
-    made = pd.DataFrame(changes, columns=["rule", "at", "state"])
-    made["at"] = pd.to_datetime(made["at"], unit="s", utc=True).dt.tz_localize(None)
-    yield made
+    if changes:
+        made = pd.DataFrame(changes, columns=["rule", "at", "state"])
+        made["at"] = pd.to_datetime(made["at"], unit="s", utc=True).dt.tz_localize(None)
+        yield made
 
 
 def alert_states(evaluations: DataFrame) -> DataFrame:

@@ -83,6 +83,20 @@ def test_unknown_source_is_an_error(spark):
         tables.dispatch("b", {"a": lambda: spark.range(1)})
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    names = {"decided": standins.decisions(spark, SMALL), "reported": standins.outcomes(spark, SMALL)}
+    try:
+        for name, df in names.items():
+            tables.store_bucketed(df, name, shared_folder(spark), "application_id", 4)
+        left, right = (spark.table(n).hint("merge") for n in names)
+        joined = left.join(right, "application_id")
+        assert joined.count() == names["reported"].count()
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_newest_rows_without_a_global_sort(spark, served):
     made = tables.newest(served, "predicted_at", 5, tie="event_id")
     want = sorted((r.predicted_at, r.event_id) for r in served.collect())[-5:]

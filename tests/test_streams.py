@@ -87,6 +87,17 @@ def test_repeats_drop_within_the_watermark(spark):
     assert rows(made.select("k")) == [("a",), ("b",)]
 
 
+def test_silence_is_the_end_of_a_session(spark):
+    start = dt.datetime(2024, 1, 1)
+    data = [("a", start + dt.timedelta(minutes=m)) for m in (0, 10, 60, 600)]
+    df = spark.createDataFrame(data, "caller string, at timestamp_ntz")
+    made = wall_clock(appended(live.silences(streamed(spark, df), "at", "caller")), "silent_since")
+    assert rows(made) == [
+        ("a", start + dt.timedelta(minutes=25), 2),
+        ("a", start + dt.timedelta(minutes=75), 1),
+    ]
+
+
 def test_outer_label_stream_gives_up_after_the_horizon(spark):
     start = dt.datetime(2024, 1, 1)
     decisions = spark.createDataFrame(
