@@ -11,8 +11,8 @@ of the model and go to every task; rows are handled in Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 from math import factorial
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,8 +25,7 @@ from pyspark.sql import types as T
 from riskflow.operators.model import Scorer, contribution
 
 
-@dataclass(frozen=True)
-class Leaf:
+class Leaf(NamedTuple):
     """A leaf: its value, and per feature of its path the interval and the share of rows."""
 
     value: float
@@ -63,13 +62,13 @@ def _walk(node, weight: float, path: dict, found: list[Leaf]) -> None:
 def attribute(x: np.ndarray, leaves: Sequence[Leaf], source: np.ndarray, n: int) -> np.ndarray:
     """Rows of ``n`` source attributions, then the base value in the last column."""
     out = np.zeros((len(x), n + 1))
-    for leaf in leaves:
-        m = len(leaf.features)
-        out[:, n] += leaf.value * np.prod(leaf.share)
+    for value, features, low, high, share in leaves:
+        m = len(features)
+        out[:, n] += value * np.prod(share)
         if m == 0:
             continue
-        values = x[:, leaf.features]
-        met = ((values > leaf.low) & (values <= leaf.high)).astype(float)
+        values = x[:, features]
+        met = ((values > low) & (values <= high)).astype(float)
         for j in range(m):
             # Coefficient s: total product over the groups of s other features that are in.
             groups = np.zeros((len(x), m))
@@ -77,11 +76,11 @@ def attribute(x: np.ndarray, leaves: Sequence[Leaf], source: np.ndarray, n: int)
             for i in range(m):
                 if i != j:
                     joined = groups[:, :-1] * met[:, [i]]
-                    groups *= leaf.share[i]
+                    groups *= share[i]
                     groups[:, 1:] += joined
             weights = [factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)]
-            gain = leaf.value * (met[:, j] - leaf.share[j]) * (groups @ np.array(weights))
-            out[:, source[leaf.features[j]]] += gain
+            gain = value * (met[:, j] - share[j]) * (groups @ np.array(weights))
+            out[:, source[features[j]]] += gain
     return out
 
 
@@ -89,7 +88,8 @@ def tree_contributions(scorer: Scorer, df: DataFrame, keys: Sequence[str]) -> Da
     """``contributions`` per source column, ``base`` and the model's ``margin`` per row."""
     sources = list(dict.fromkeys(scorer.encoding.sources()))
     place = np.array([sources.index(s) for s in scorer.encoding.sources()])
-    shared = df.sparkSession.sparkContext.broadcast((leaves_of(scorer.model), place))
+    leaves = [tuple(leaf) for leaf in leaves_of(scorer.model)]
+    shared = df.sparkSession.sparkContext.broadcast((leaves, place))
     kept = list(dict.fromkeys([*keys, *sources]))
     rows = scorer.pipeline.transform(df).select(
         *kept,

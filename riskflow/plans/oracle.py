@@ -84,8 +84,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """SELECT 'APP-' || LPAD(CAST(o_orderkey AS VARCHAR), 9, '0') AS application_id,
              o_custkey AS customer_id, o_orderdate AS predicted_at,
-             ROUND(o_totalprice / 500000.0::DOUBLE, 4) AS probability,
-             CASE WHEN o_totalprice / 500000.0::DOUBLE >= 0.58::DOUBLE THEN 1 ELSE 0 END
+             ((CAST(ROUND(o_totalprice * 100) AS BIGINT) + 2500) // 5000) / 10000.0::DOUBLE
+               AS probability,
+             CASE WHEN CAST(ROUND(o_totalprice * 100) AS BIGINT) >= 29000000 THEN 1 ELSE 0 END
                AS prediction
            FROM orders""",
     ),

@@ -47,13 +47,14 @@ def decisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def decisions_of(orders: DataFrame) -> DataFrame:
-    share = F.col("o_totalprice") / F.lit(500000.0)
+    total = cents("o_totalprice")
     return orders.select(
         application_id("o_orderkey").alias("application_id"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").alias("predicted_at"),
-        F.round(share, 4).alias("probability"),
-        (share >= F.lit(0.58)).cast("int").alias("prediction"),
+        # The share of 500,000 in steps of 0.0001, rounded in whole numbers.
+        (F.floor((total + 2500) / 5000) / 10000.0).alias("probability"),
+        (total >= 29_000_000).cast("int").alias("prediction"),
     )
 
 
