@@ -48,3 +48,28 @@ def attach(rows: DataFrame, few: DataFrame, key: str, salt: Column, limit: int =
     rows = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
     on = rows[key].eqNullSafe(few["_key"]) & (rows["_salt"] == few["_few_salt"])
     return rows.join(few, on, "left").drop("_key", "_salt", "_few_salt")
+
+
+def labelled_sample(labels: DataFrame, column: str, held_out: Column, rows: int, seed: int) -> DataFrame:
+    """At most ``rows`` labelled documents as (doc_id, label, draw), those with the smallest draws.
+
+    The draw is a hash of the id, so the sample is the same for any layout. Rows without an
+    id or a label and held-out rows take no part; an id with several labels has the largest.
+    """
+    usable = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~held_out)
+    one = usable.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+    drawn = one.withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1))
+    return stored(drawn.orderBy("draw", "doc_id").limit(rows))
+
+
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, text, label, draw): one text, the smallest, per sampled document. The sample's bound lets it be broadcast."""
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = joined.groupBy("doc_id", "label", "draw").agg(F.min("text").alias("text"))
+    return texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label", "draw")
+
+
+def held_out(modulus: int, rest: int, key: str = "doc_id") -> Column:
+    """Whether crc32 of the id as text leaves ``rest``; false without an id."""
+    code = F.crc32(F.col(key).cast("string").cast("binary"))
+    return F.coalesce(code % modulus == rest, F.lit(False))
