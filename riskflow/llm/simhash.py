@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.llm.common import stored
@@ -185,39 +185,49 @@ def star_links(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return outer.join(hub, "z").filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = 16_384) -> DataFrame:
-    """(doc_id, fp, component_id): one row per document row, none dropped.
-
-    ``component_id`` is the smallest doc_id that links of at most ``radius`` bits reach,
-    itself included. Null and empty texts share the fingerprint 0 and so a component.
-    A null doc_id is kept and never the smallest; a component of such rows alone has a
-    null id. Repeated rows give repeated rows. Texts are read whole and never shuffled:
-    only ids and fingerprints are.
-    """
-    rows = stored(docs.select("doc_id", fingerprints("text").alias("fp")))
+def _components(docs: DataFrame, radius: int, most: int) -> DataFrame:
+    """(doc_id, doc_hash, fp, root, component_id) per document row; roots are fingerprints."""
+    text = F.coalesce("text", F.lit(""))
+    rows = stored(docs.select("doc_id", F.xxhash64(text).alias("doc_hash"), fingerprints("text").alias("fp")))
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = stored(components(bucket_links(classes, radius, most)))
     linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     linked = linked.withColumn("root", F.coalesce("root", "fp"))
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(lowest, "root").select("fp", "component_id")
-    return rows.join(stored(named), "fp").select("doc_id", "fp", "component_id")
+    named = stored(linked.join(lowest, "root").select("fp", "root", "component_id"))
+    return rows.join(named, "fp").select("doc_id", "doc_hash", "fp", "root", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document row of each near-duplicate component, with all columns: that of its smallest doc_id.
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = 16_384) -> DataFrame:
+    """(doc_id, fp, component_id): one row per document row, none dropped.
 
-    Of repeated rows with that id one stays, the smallest by text. A component whose
-    rows all lack an id keeps one of them likewise.
+    ``component_id`` is the smallest doc_id that links of at most ``radius`` bits reach,
+    itself included. Null and empty texts share the fingerprint 0 and so a component.
+    A null doc_id is kept and never the smallest; a component of such rows alone has a
+    null id. Repeated rows give repeated rows, other columns are ignored, no rows give
+    none. Texts are read whole and never shuffled: only ids and fingerprints are.
     """
-    found = near_duplicates(docs)
-    # Ids that name their component, each once; a null id only where no other is.
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = stored(first.select(F.col("doc_id").alias("_first")).distinct())
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if _repeats(found) else kept
+    return _components(docs, radius, most).select("doc_id", "fp", "component_id")
 
 
-def _repeats(found: DataFrame) -> bool:
-    """Whether any id occurs twice, in which case kept rows must be made one per id."""
-    return bool(found.groupBy("doc_id").count().filter("count > 1").limit(1).count())
+def keep_first(docs: DataFrame, radius: int = RADIUS, most: int = 16_384) -> DataFrame:
+    """One document row of each near-duplicate component, with all columns.
+
+    It is a row with the component's smallest doc_id, of several texts under that id the
+    one with the smallest hash, of repeated rows any one. Components whose rows all lack
+    an id keep one row likewise.
+    """
+    found = stored(_components(docs, radius, most))
+    lead = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = lead.groupBy("root", F.col("doc_id").alias("_id")).agg(F.min("doc_hash").alias("_hash"))
+    first = stored(first.select("_id", "_hash").distinct())
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    kept = docs.withColumn("_own", own).join(
+        first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_semi"
+    )
+    again = found.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("doc_hash") == F.col("_hash")), "left_semi")
+    if again.count() > first.count():
+        # Rows that repeat in full: one of each, chosen before the shuffle where possible.
+        one = Window.partitionBy("doc_id", "_own").orderBy(F.xxhash64(*[c for c in docs.columns]))
+        kept = kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
+    return kept.drop("_own")
