@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,47 +14,48 @@ from riskflow.llm.common import stored
 
 @dataclass(frozen=True)
 class Bloom:
-    """``n_bits`` bits as whole numbers of 64, tested at ``probes`` places."""
+    """A power of two of bits, of which two ranges of a 64-bit hash each name one."""
 
     words: tuple[int, ...]
-    probes: int
-    seed: int
 
-    @property
-    def n_bits(self) -> int:
-        return 64 * len(self.words)
-
-    def might_contain(self, key: Column) -> Column:
+    def might_contain(self, code: Column) -> Column:
+        """``code`` must be a hash already: its low and its high half are the two places."""
         # A JSON text folds into one array literal while the plan is optimised.
         bits = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")
         hit = F.lit(True)
-        for i in range(self.probes):
-            place = _place(key, self.n_bits, self.seed, i)
+        for place in _places(code, len(self.words)):
             word = F.get(bits, F.shiftright(place, 6).cast("int"))
-            mask = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
-            hit = hit & (word.bitwiseAND(mask) != 0)
+            hit = hit & (word.bitwiseAND(_mask(place)) != 0)
         return hit
 
 
-def _place(key: Column, n_bits: int, seed: int, probe: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(probe), key), F.lit(n_bits).cast("long"))
+def _places(code: Column, words: int) -> list[Column]:
+    low = F.lit(64 * words - 1).cast("long")
+    return [code.bitwiseAND(low), F.shiftrightunsigned(code, 33).bitwiseAND(low)]
+
+
+def _mask(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+
 
+def build_bloom(keys: DataFrame, code: str, count: int, bits_per_key: int) -> Bloom:
+    """A filter over ``count`` hashes. Only its words of 64 bits meet the driver, at most 2^25 of them.
 
-def build_bloom(keys: DataFrame, key: str, count: int, bits_per_key: float, seed: int = 0) -> Bloom:
-    """A filter over the ``key`` column. Only its bit words, ``count * bits_per_key / 64``, meet the driver."""
-    n_bits = 64 * max(1, math.ceil(count * bits_per_key / 64))
-    probes = max(1, round(bits_per_key * math.log(2)))
-    places = F.explode(F.array(*[_place(F.col(key), n_bits, seed, i) for i in range(probes)]))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_at").bitwiseAND(63).cast("int"))
+    Bits are cheaper here than probes: two probes keep the generated code small enough to
+    be compiled. Beyond 2^31 bits the filter lets more pass, but never less.
+    """
+    words = 1
+    while 64 * words < count * bits_per_key and words < 1 << 25:
+        words *= 2
     rows = (
-        keys.select(places.alias("_at"))
+        keys.select(F.explode(F.array(*_places(F.col(code), words))).alias("_at"))
         .groupBy(F.shiftright("_at", 6).cast("int").alias("_word"))
-        .agg(F.bit_or(one).alias("_bits"))
+        .agg(F.bit_or(_mask(F.col("_at"))).alias("_bits"))
     )
-    words = [0] * (n_bits // 64)
+    made = [0] * words
     for r in rows.collect():
-        words[r["_word"]] = r["_bits"]
-    return Bloom(tuple(words), probes, seed)
+        made[r["_word"]] = r["_bits"]
+    return Bloom(tuple(made))
 
 
 @dataclass(frozen=True)
@@ -69,7 +69,7 @@ class Cascade:
         key = as_column(key)
         answer = None
         for i in reversed(range(len(self.levels))):
-            hit = self.levels[i].might_contain(key)
+            hit = self.levels[i].might_contain(_code(key, i))
             if i % 2 == 0:
                 answer = hit if answer is None else hit & answer
             else:
@@ -79,11 +79,16 @@ class Cascade:
         return key.isNotNull() & answer
 
 
+def _code(key: Column, level: int) -> Column:
+    """Hash of a key for a level: levels must err independently."""
+    return F.xxhash64(F.lit(level), key)
+
+
 def build_cascade(
     listed: DataFrame,
     universe: DataFrame,
-    first_bits: float = 14.0,
-    next_bits: float = 6.0,
+    first_bits: int = 64,
+    next_bits: int = 16,
     most: int = 64,
 ) -> Cascade:
     """A cascade for the ``key`` column of ``listed`` that is exact on the ``key`` column of ``universe``.
@@ -102,8 +107,9 @@ def build_cascade(
             raise ValueError(f"no exact cascade after {most} levels")
         bits = first_bits if not levels else next_bits
         side = inside if len(levels) % 2 == 0 else others
-        levels.append(build_bloom(side, "key", count, bits, seed=len(levels)))
-        test = levels[-1].might_contain(F.col("key"))
+        code = _code(F.col("key"), len(levels))
+        levels.append(build_bloom(side.select(code.alias("code")), "code", count, bits))
+        test = levels[-1].might_contain(code)
         if others is None:
             passed = universe.select("key").filter("key is not null").filter(test)
             others = stored(passed.join(inside, "key", "left_anti").distinct())

@@ -5,12 +5,12 @@ document only if its prefix is, and for full containment the prefix is one shing
 the rarest of the window, by counts over all documents. So
 
 1. a Bloom filter of the benchmark's shingles picks their occurrences in the
-   documents while the words stream by, and they are counted: the rarity order;
-2. a filter of the prefix shingles picks candidate positions, each with the few
-   words around it that a window could cover;
-3. candidates meet the windows of their shingle in a join, where the offset of the
-   shingle gives the only possible start and the length bound says whether the
-   window fits into the document there;
+   documents while the words stream by, each with the few words around it that a
+   window could cover; the texts are read once;
+2. these occurrences are counted, which gives the rarity order and each window's prefix;
+3. occurrences of prefix shingles meet the windows in a join, where the offset of the
+   shingle gives the only possible start and the length bound says whether the window
+   fits into the document there;
 4. the words around are compared with the window's, exactly.
 
 Only occurrences of benchmark shingles are shuffled, never texts.
@@ -24,43 +24,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.functions.scalar import as_column
-from riskflow.llm.bloom import build_bloom
+from riskflow.llm.bloom import Bloom, build_bloom
 from riskflow.llm.common import stored
 
-#: Words of an item or document: digits, letters and everything beyond ASCII. Fixed by
-#: the data contract, which lower-cases A-Z first; here capitals are words too and
-#: become small letters in the few words that are compared.
-_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What separates words of an item or document, after A-Z are lower-cased: all of ASCII
+#: but digits and small letters. Fixed by the data contract.
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before lower-casing, which is enough to count words.
+_RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 WINDOW = 10
 SHINGLE = 3
 
 #: Bits of the filters for each shingle of the benchmark: few false candidates.
-BITS_PER_KEY = 24.0
+BITS_PER_KEY = 64
 
 
-def raw_words(text: Column | str) -> Column:
-    """Words with their capitals, with an empty first or last one where the text starts or ends in a gap."""
-    return F.split(F.coalesce(as_column(text), F.lit("")), _GAP)
+def small_letters(text: Column) -> Column:
+    """A-Z lower-cased and nothing else; the general function does just that to ASCII, and faster."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
-def _small(words: Column) -> Column:
-    return F.transform(words, lambda w: F.translate(w, _UPPER, _LOWER))
+def _split(text: Column | str) -> Column:
+    """Words, with an empty first or last one where the text starts or ends in a gap."""
+    return F.split(small_letters(F.coalesce(as_column(text), F.lit(""))), _GAP)
 
 
 def exact_words(text: Column | str) -> Column:
-    """The words of the contract."""
-    return F.filter(_small(raw_words(text)), lambda w: w != "")
+    return F.filter(_split(text), lambda w: w != "")
 
 
 def count_words(text: Column | str) -> Column:
-    return F.regexp_count(F.coalesce(as_column(text), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-
-
-def _shingle(words: list[Column]) -> Column:
-    # lower() folds more than A-Z: equal words stay equal, which is all a filter needs.
-    return F.xxhash64(*[F.lower(w) for w in words])
+    w = F.split(F.coalesce(as_column(text), F.lit("")), _RAW_GAP)
+    ends = (F.get(w, F.lit(0)) == "").cast("int") + (F.get(w, F.size(w) - 1) == "").cast("int")
+    return F.greatest(F.size(w) - ends, F.lit(0)).cast("long")
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
@@ -72,30 +71,26 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return df.distinct().withColumn("k", F.least(F.size("words"), F.lit(SHINGLE)))
 
 
-def _positions(docs: DataFrame, k: int, hits, context: int) -> DataFrame:
-    """(doc_id, doc_hash, pos, size, token, around) of the shingles of k words that pass ``hits``.
+def occurrences(docs: DataFrame, k: int, known: Bloom, window: int) -> DataFrame:
+    """(doc_id, doc_hash, pos, token, before, around) of the shingles of k words that pass the filter.
 
-    Generate, filter and projection run in one code stage: only what passes is copied.
+    ``around`` has the words that a window over the shingle could cover, ``before`` of
+    them in front of it. Generate, filter and projection run in one code stage: only
+    what passes is copied.
     """
-    words = docs.select("doc_id", F.xxhash64("text").alias("doc_hash"), raw_words("text").alias("w"))
+    words = docs.select("doc_id", F.xxhash64("text").alias("doc_hash"), _split("text").alias("w"))
     # The outer form keeps the optimiser from splitting every text twice.
     at = words.select("doc_id", "doc_hash", "w", F.posexplode_outer("w").alias("pos", "first"))
-    # Get rid of the empty words that gaps at the ends leave.
+    token = F.xxhash64("first", *[F.get("w", F.col("pos") + i) for i in range(1, k)])
+    # Not the empty words that gaps at the ends leave.
     lead = (F.get("w", F.lit(0)) == "").cast("int")
     size = F.size("w") - (F.get("w", F.size("w") - 1) == "").cast("int")
-    token = _shingle([F.get("w", F.col("pos") + i) for i in range(k)])
     fits = (F.col("pos") >= lead) & (F.col("pos") + k <= size)
-    at = at.withColumn("token", token).filter(fits & hits(F.col("token")))
-    before = F.least(F.col("pos") - lead, F.lit(context - 1))
-    around = F.slice("w", F.col("pos") - before + 1, before + F.least(F.lit(context), size - F.col("pos")))
-    return at.select(
-        "doc_id",
-        "doc_hash",
-        (F.col("pos") - lead).alias("pos"),
-        "token",
-        before.alias("before"),
-        around.alias("around"),
-    )
+    at = at.withColumn("token", token).filter(known.might_contain(F.col("token")) & fits)
+    before = F.least(F.col("pos") - lead, F.lit(window - 1))
+    around = F.slice("w", F.col("pos") - before + 1, before + F.least(F.lit(window), size - F.col("pos")))
+    pos = (F.col("pos") - lead).alias("pos")
+    return at.select("doc_id", "doc_hash", pos, "token", before.alias("before"), around.alias("around"))
 
 
 def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -113,29 +108,26 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
 
 
 def _find(docs: DataFrame, windows: DataFrame, k: int, window: int) -> DataFrame:
-    n = F.size("words") - k + 1
     tokens = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct(i.alias("offset"), F.xxhash64(*[F.lower(F.get("words", i + j)) for j in range(k)]).alias("token")),
+        F.sequence(F.lit(0), F.size("words") - k),
+        lambda i: F.struct(i.alias("offset"), F.xxhash64(*[F.get("words", i + j) for j in range(k)]).alias("token")),
     )
-    shingles = stored(windows.withColumn("_id", F.xxhash64("item", "words")).select("item", "words", "_id", F.explode(tokens).alias("t")).select("item", "words", "_id", "t.offset", "t.token"))
+    shingles = stored(windows.select("item", "words", F.explode(tokens).alias("t")).select("item", "words", "t.*"))
     own = shingles.select("token").distinct()
-    # The rarity of every shingle of the benchmark, counted over all documents.
     known = build_bloom(own, "token", own.count(), BITS_PER_KEY)
-    seen = _positions(docs, k, known.might_contain, 1).groupBy("token").agg(F.count("*").alias("seen"))
+    places = stored(occurrences(docs, k, known, window))
+    # The rarity of every shingle of the benchmark, counted over all documents.
+    seen = places.groupBy("token").agg(F.count("*").alias("seen"))
     ranked = shingles.join(seen, "token", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
-    rarest = Window.partitionBy("_id", "item", "words").orderBy("seen", "token", "offset")
+    rarest = Window.partitionBy("item", "words").orderBy("seen", "token", "offset")
     prefix = ranked.withColumn("_n", F.row_number().over(rarest)).filter("_n = 1 and seen > 0")
     prefix = stored(prefix.select("item", "words", "offset", "token"))
-    keys = prefix.select("token").distinct()
-    filter_ = build_bloom(keys, "token", keys.count(), BITS_PER_KEY)
-    places = _positions(docs, k, filter_.might_contain, window)
     joined = places.join(prefix, "token")
     # Positional and length bounds, then the words themselves.
     start, length = F.col("pos") - F.col("offset"), F.size("words")
-    inside = (F.col("before") >= F.col("offset")) & (F.size("around") - F.col("before") + F.col("offset") >= length)
-    same = _small(F.slice("around", F.col("before") - F.col("offset") + 1, length)) == F.col("words")
-    hit = joined.filter(inside & same)
+    first = F.col("before") - F.col("offset")
+    inside = (first >= 0) & (F.size("around") - first >= length)
+    hit = joined.filter(inside & (F.slice("around", F.greatest(first, F.lit(0)) + 1, length) == F.col("words")))
     return hit.select("doc_id", "doc_hash", start.alias("start"), length.alias("length"), "item").distinct()
 
 
