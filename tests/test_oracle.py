@@ -6,6 +6,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from riskflow.plans import ORACLES, QUERIES
 
 SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 TRAINED = {
@@ -19,13 +20,18 @@ def duck():
     return oracle.connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, duck, name):
-    assert oracle.check(entry.queries()[name](spark, SF), duck, entry.oracle_sql()[name]) == []
+    assert oracle.check(QUERIES[name](spark, SF), duck, ORACLES[name]) == []
 
 
 def test_only_trained_and_resampled_queries_lack_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == TRAINED
+    assert set(QUERIES) - set(ORACLES) == TRAINED
+
+
+def test_entry_offers_all_of_them():
+    assert QUERIES.items() <= entry.queries().items()
+    assert ORACLES.items() <= entry.oracle_sql().items()
 
 
 def test_entry_has_rows(spark):
