@@ -91,24 +91,23 @@ def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "stream_session",
     with_views(
-        """SELECT * FROM (
-             SELECT caller, MIN(predicted_at) AS session_start,
-               MAX(predicted_at) + INTERVAL 30 MINUTE AS session_end, COUNT(*) AS requests
-             FROM (SELECT *, SUM(fresh) OVER (PARTITION BY caller ORDER BY predicted_at
-                                              ROWS UNBOUNDED PRECEDING) AS s
-                   FROM (SELECT *, CASE WHEN predicted_at < LAG(predicted_at) OVER (
-                           PARTITION BY caller ORDER BY predicted_at) + INTERVAL 30 MINUTE
-                           THEN 0 ELSE 1 END AS fresh FROM prediction_log))
-             GROUP BY caller, s)
-           WHERE session_end <= (SELECT MAX(predicted_at) - INTERVAL 1 HOUR FROM prediction_log)""",
+        """SELECT caller, MIN(predicted_at) AS session_start,
+             MAX(predicted_at) + INTERVAL 30 MINUTE AS session_end, COUNT(*) AS requests
+           FROM (SELECT *, SUM(fresh) OVER (PARTITION BY caller ORDER BY predicted_at
+                                            ROWS UNBOUNDED PRECEDING) AS s
+                 FROM (SELECT *, CASE WHEN predicted_at < LAG(predicted_at) OVER (
+                         PARTITION BY caller ORDER BY predicted_at) + INTERVAL 30 MINUTE
+                         THEN 0 ELSE 1 END AS fresh FROM prediction_log))
+           GROUP BY caller, s""",
         "prediction_log",
     ),
 )
 def stream_session(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions that the watermark has closed: those that end an hour before the last row."""
+    """Sessions closed by the watermark, and those still open when the stream ends."""
     log = standins.log_of(table_stream(spark, sf, "events"))
-    made = appended(live.sessions(log, "predicted_at", "caller"))
-    return wall_clock(made, "session_start", "session_end")
+    closed = appended(live.sessions(log, "predicted_at", "caller"))
+    left = live.open_sessions(standins.prediction_log(spark, sf), closed, "predicted_at", "caller")
+    return wall_clock(closed.unionByName(left), "session_start", "session_end")
 
 
 def outcome_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,21 +140,21 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     with_views(
         """SELECT d.application_id, d.predicted_at, d.probability, d.prediction, o.observed_at,
              o.label
-           FROM decisions d JOIN outcomes o ON o.application_id = d.application_id
-             AND o.observed_at BETWEEN d.predicted_at + INTERVAL 30 DAY
-                                   AND d.predicted_at + INTERVAL 80 DAY""",
+           FROM decisions d LEFT JOIN outcomes o ON o.application_id = d.application_id""",
         "decisions",
         "outcomes",
     ),
 )
 def stream_label_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Two streams, with a horizon that leaves the latest labels to the batch join."""
+    """Two streams joined within a horizon past the longest lag; decisions without a label are pending."""
     decisions = standins.decisions_of(table_stream(spark, sf, "orders")).drop("customer_id")
     outcomes = outcome_stream(spark, sf).drop("outcome_at")
-    made = appended(live.label_stream(decisions, outcomes, horizon_days=80))
-    return wall_clock(made, "predicted_at", "observed_at").select(
-        "application_id", "predicted_at", "probability", "prediction", "observed_at", "label"
-    )
+    columns = ["application_id", "predicted_at", "probability", "prediction", "observed_at", "label"]
+    made = appended(live.label_stream(decisions, outcomes, horizon_days=150)).select(*columns)
+    # What an outer stream join would hold back until its watermark passes the horizon.
+    made = wall_clock(made, "predicted_at", "observed_at")
+    pending = standins.decisions(spark, sf).join(made, "application_id", "left_anti")
+    return made.unionByName(pending.select(*columns[:4]), allowMissingColumns=True)
 
 
 @query(

@@ -18,12 +18,14 @@ def uniform(key: str, seed: int = catalog.SEED) -> str:
 
 def _applications() -> str:
     slots = [("pay_6", 6), ("pay_5", 5), ("pay_4", 4), ("pay_3", 3), ("pay_2", 2), ("pay_0", 1)]
+    starts = ["1996-02-01", "1997-03-01", "1998-04-01", "1999-05-01", "2000-07-01"]
+    period = "1 + " + " + ".join(f"(statement_month >= DATE '{d}')::INT" for d in starts)
     cells = []
     for i, (status, n) in enumerate(slots, 1):
         cells += [
-            f"MAX(CASE WHEN rn = {i} THEN pay_status END) AS {status}",
-            f"MAX(CASE WHEN rn = {i} THEN bill_amt END) AS bill_amt{n}",
-            f"MAX(CASE WHEN rn = {i} THEN pay_amt END) AS pay_amt{n}",
+            f"COALESCE(MAX(pay_status) FILTER (WHERE p = {i}), -2) AS {status}",
+            f"COALESCE(SUM(bill_amt) FILTER (WHERE p = {i}), 0)::BIGINT AS bill_amt{n}",
+            f"COALESCE(SUM(pay_amt) FILTER (WHERE p = {i}), 0)::BIGINT AS pay_amt{n}",
         ]
     return f"""
       SELECT w.*, CAST(ROUND(c.c_acctbal * 100) AS BIGINT) AS limit_bal,
@@ -31,11 +33,9 @@ def _applications() -> str:
              CAST(c.c_nationkey % 4 AS INT) AS marriage, CAST(c.c_custkey % 90 + 16 AS INT) AS age,
              CASE WHEN (w.customer_id * 7919 + w.bill_amt1) % 100 < 10 + 10 * (w.pay_0 + 2)
                   THEN 1 ELSE 0 END AS default_payment_next_month
-      FROM (SELECT customer_id, {", ".join(cells)}
-            FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id
-                                               ORDER BY statement_month, event_id) AS rn
-                  FROM monthly_events) WHERE rn <= 6
-            GROUP BY customer_id HAVING COUNT(*) = 6) w
+      FROM (SELECT c_custkey AS customer_id, {", ".join(cells)}
+            FROM customer LEFT JOIN (SELECT *, {period} AS p FROM monthly_events)
+              ON customer_id = c_custkey GROUP BY c_custkey) w
       JOIN customer c ON c.c_custkey = w.customer_id"""
 
 

@@ -5,7 +5,7 @@ Money is in whole cents, so sums are exact whatever order they are taken in.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.sources.tables import table
@@ -138,32 +138,36 @@ LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINE_CODES = ["l_returnflag", "l_linestatus"]
 
 
+#: First days of the second to sixth of six periods that cover all order dates.
+PERIOD_STARTS = ["1996-02-01", "1997-03-01", "1998-04-01", "1999-05-01", "2000-07-01"]
+
+
 def applications(spark: SparkSession, sf: str) -> DataFrame:
-    """Wide application records, codes raw: the first six orders of a customer, oldest first.
+    """Wide application records, codes raw: all orders of every customer in six periods, oldest first.
 
-    The number of rows that a customer sends into the shuffle is capped by the rank
-    limit that Spark applies before it, so a customer with many orders is no burden.
+    Bills and payments of a period are summed and its worst status kept. A period without
+    orders has zero amounts and the status -2, so no customer falls out. One hash
+    aggregate, combined before the shuffle; a customer with many orders is no burden.
     """
-    order = Window.partitionBy("customer_id").orderBy("statement_month", "event_id")
-    first = (
-        monthly_events(spark, sf)
-        .withColumn("rn", F.row_number().over(order))
-        .where("rn <= 6")
-    )
+    orders = monthly_events(spark, sf)
+    starts = [F.lit(d).cast("date") for d in PERIOD_STARTS]
+    period = sum(((F.col("statement_month") >= d).cast("int") for d in starts), F.lit(1))
+    orders = orders.withColumn("_period", F.coalesce(period, F.lit(1)))
 
-    def pick(i: int, column: str) -> Column:
-        return F.max(F.when(F.col("rn") == i, F.col(column)))
+    def within(i: int, column: str) -> Column:
+        return F.when(F.col("_period") == i, F.col(column))
 
-    cells = []
+    cells, empty = [], {}
     for i, (status, suffix) in enumerate(
         [("pay_6", 6), ("pay_5", 5), ("pay_4", 4), ("pay_3", 3), ("pay_2", 2), ("pay_0", 1)], 1
     ):
         cells += [
-            pick(i, "pay_status").alias(status),
-            pick(i, "bill_amt").alias(f"bill_amt{suffix}"),
-            pick(i, "pay_amt").alias(f"pay_amt{suffix}"),
+            F.max(within(i, "pay_status")).alias(status),
+            F.sum(within(i, "bill_amt")).alias(f"bill_amt{suffix}"),
+            F.sum(within(i, "pay_amt")).alias(f"pay_amt{suffix}"),
         ]
-    wide = first.groupBy("customer_id").agg(*cells, F.count(F.lit(1)).alias("_n")).where("_n = 6")
+        empty |= {status: -2, f"bill_amt{suffix}": 0, f"pay_amt{suffix}": 0}
+    wide = orders.groupBy("customer_id").agg(*cells)
     entity = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("customer_id"),
         cents("c_acctbal").alias("limit_bal"),
@@ -175,8 +179,5 @@ def applications(spark: SparkSession, sf: str) -> DataFrame:
     # A planted signal: the worse the newest status, the likelier the target.
     mix = F.pmod(F.col("customer_id") * 7919 + F.col("bill_amt1"), F.lit(100))
     target = (mix < 10 + 10 * (F.col("pay_0") + 2)).cast("int")
-    return (
-        wide.drop("_n")
-        .join(entity, "customer_id")
-        .withColumn("default_payment_next_month", target)
-    )
+    joined = entity.join(wide, "customer_id", "left").fillna(empty)
+    return joined.select(*wide.columns, *entity.columns[1:]).withColumn("default_payment_next_month", target)

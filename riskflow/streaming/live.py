@@ -93,6 +93,23 @@ def sessions(
     )
 
 
+def open_sessions(
+    rows: DataFrame, closed: DataFrame, time: str, by: str, gap: str = "30 minutes"
+) -> DataFrame:
+    """Sessions of stored rows that no watermark has closed yet, in the form of ``sessions``.
+
+    Sessions of a caller follow each other, so open ones hold the rows from its last closed end on.
+    """
+    ends = closed.groupBy(by).agg(F.max("session_end").alias("_end"))
+    rows = rows.withColumn(time, F.col(time).cast("timestamp")).join(ends, by, "left")
+    rest = rows.filter(F.col("_end").isNull() | (F.col(time) >= F.col("_end")))
+    made = rest.groupBy(F.session_window(time, gap).alias("_w"), by)
+    made = made.agg(F.count(F.lit(1)).alias("requests"))
+    return made.select(
+        by, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "requests"
+    )
+
+
 def silences(
     stream: DataFrame, time: str, by: str, minutes: int = 15, delay: str = "1 hour"
 ) -> DataFrame:
