@@ -1,11 +1,13 @@
 """Names, limits and tables that the operators take as their defaults.
 
-Fixed values: these must read exactly so for results to be the same.
+Values marked as fixed must be these for results to be the same. Column names are those
+of the records in small letters.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
 
 # Column roles of an application record.
 NUMERIC = [
@@ -63,8 +65,6 @@ TOP_REASONS = 4
 MAX_DRIFTED_SHARE = 0.3
 DRIFT_LIMIT = 0.1
 P_VALUE_LIMIT = 0.05
-LARGE_SAMPLE = 1000
-FEW_VALUES = 5
 
 # Splits.
 SEED = 42
@@ -99,11 +99,14 @@ DESCRIPTIONS = {
 }
 
 
-def model_columns(use_protected: bool = False) -> tuple[list[str], list[str]]:
-    """Numeric and categorical columns that a model may see."""
-    if use_protected:
-        return list(NUMERIC), list(CATEGORICAL)
-    return (
-        [c for c in NUMERIC if c not in PROTECTED],
-        [c for c in CATEGORICAL if c not in PROTECTED],
-    )
+#: What each column of an application record holds.
+KINDS = dict.fromkeys(NUMERIC, "number") | dict.fromkeys(CATEGORICAL, "code")
+
+
+def model_inputs(hidden: Iterable[str] = PROTECTED) -> tuple[list[str], list[str]]:
+    """Numbers and codes of a record, in the order of ``KINDS``, without the ``hidden`` columns."""
+    sorted_in: dict[str, list[str]] = {"number": [], "code": []}
+    for column, kind in KINDS.items():
+        if column not in hidden:
+            sorted_in[kind].append(column)
+    return sorted_in["number"], sorted_in["code"]

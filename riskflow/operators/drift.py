@@ -186,69 +186,59 @@ def drift_report(
     current: DataFrame,
     numeric: Sequence[str],
     categorical: Sequence[str],
-    method: str = "auto",
+    method: str = "distance",
     limit: float = catalog.DRIFT_LIMIT,
     p_limit: float = catalog.P_VALUE_LIMIT,
 ) -> DataFrame:
     """One row per column: method, score, threshold and verdict.
 
-    ``auto`` uses distances above 1,000 reference rows (Wasserstein per spread for
-    numbers, Jensen-Shannon for codes) and significance tests up to there (KS for
-    numbers; z for two codes, chi-square for more). A number with five values or
-    fewer is judged as a code. ``distance`` and ``test`` force one family. A
-    distance drifts above its limit, a p-value below.
+    ``distance`` judges numbers by the Wasserstein distance per spread and codes by the
+    Jensen-Shannon distance, ``test`` numbers by the Kolmogorov-Smirnov test and codes
+    by a z test (two values) or chi-square. The lists alone say what a column is and
+    the parameter alone how it is judged, whatever the size of the tables. A distance
+    drifts above its limit, a p-value below.
     """
+    if method not in ("distance", "test"):
+        raise ValueError(f"method {method!r} is neither distance nor test")
     rows = both(reference, current, [*numeric, *categorical])
     two = F.col("distinct_values") <= 2
-    code = [
-        F.lit("jensen_shannon").alias("distance_method"),
-        F.col("js").alias("distance"),
-        F.when(two, F.lit("z")).otherwise(F.lit("chi2")).alias("test_method"),
-        F.when(two, _proportion_z()).otherwise(F.col("chi2")).alias("statistic"),
-    ]
-    number = [
-        F.lit("wasserstein_normed").alias("distance_method"),
-        F.col("normed").alias("distance"),
-        F.lit("ks").alias("test_method"),
-        F.col("ks").alias("statistic"),
-    ]
     shared = ["column", "reference_rows", "current_rows", F.col("dof").cast("double").alias("dof")]
     found = []
     if categorical:
-        found.append(categorical_distances(rows, categorical).select(*shared, *code))
+        codes = categorical_distances(rows, categorical)
+        found.append(
+            codes.select(
+                *shared,
+                F.lit("jensen_shannon").alias("distance_method"),
+                F.col("js").alias("distance"),
+                F.when(two, F.lit("z")).otherwise(F.lit("chi2")).alias("test_method"),
+                F.when(two, _proportion_z()).otherwise(F.col("chi2")).alias("statistic"),
+            )
+        )
     if numeric:
-        made = numeric_distances(rows, numeric)
-        few = F.col("distinct_values") <= catalog.FEW_VALUES
-        either = [
-            F.when(few, c).otherwise(n).alias(name)
-            for name, c, n in zip(
-                ["distance_method", "distance", "test_method", "statistic"],
-                code,
-                number,
-                strict=True,
+        found.append(
+            numeric_distances(rows, numeric).select(
+                *shared,
+                F.lit("wasserstein_normed").alias("distance_method"),
+                F.col("normed").alias("distance"),
+                F.lit("ks").alias("test_method"),
+                F.col("ks").alias("statistic"),
             )
-        ]
-        found.append(made.select(*shared, *either))
+        )
     frames = reduce(DataFrame.unionByName, found)
-    tested = {
-        "auto": F.col("reference_rows") <= catalog.LARGE_SAMPLE,
-        "test": F.lit(True),
-        "distance": F.lit(False),
-    }[method]
-    judged = frames.withColumn("_test", tested)
-    p = p_value("test_method", "statistic", "dof", "reference_rows", "current_rows")
-    scored = judged.withColumn("_p", p) if method != "distance" else judged.withColumn(
-        "_p", F.lit(None).cast("double")
-    )
-    score = F.when(F.col("_test"), F.col("_p")).otherwise(F.col("distance"))
-    return scored.select(
+    if method == "test":
+        p = p_value("test_method", "statistic", "dof", "reference_rows", "current_rows")
+        judged = frames.withColumns({"method": F.col("test_method"), "score": p})
+        verdict, threshold = F.col("score") < p_limit, p_limit
+    else:
+        judged = frames.withColumns({"method": F.col("distance_method"), "score": F.col("distance")})
+        verdict, threshold = F.col("score") > limit, limit
+    return judged.select(
         "column",
-        F.when(F.col("_test"), F.col("test_method"))
-        .otherwise(F.col("distance_method"))
-        .alias("method"),
-        score.alias("score"),
-        F.when(F.col("_test"), F.lit(p_limit)).otherwise(F.lit(limit)).alias("threshold"),
-        F.when(F.col("_test"), score < p_limit).otherwise(score > limit).alias("drifted"),
+        "method",
+        "score",
+        F.lit(threshold).alias("threshold"),
+        verdict.alias("drifted"),
         "reference_rows",
         "current_rows",
     )

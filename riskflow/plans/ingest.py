@@ -279,13 +279,13 @@ def contract_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     "feature_projection",
     with_views(
         "SELECT customer_id, "
-        + ", ".join(sum(catalog.model_columns(), []))
+        + ", ".join(sum(catalog.model_inputs(), []))
         + " FROM applications",
         "applications",
     ),
 )
 def feature_projection(spark: SparkSession, sf: str) -> DataFrame:
-    numeric, categorical = catalog.model_columns()
+    numeric, categorical = catalog.model_inputs()
     return contract.project_features(
         standins.applications(spark, sf), numeric, categorical, keep=["customer_id"]
     )

@@ -14,7 +14,7 @@ from riskflow.plans.registry import query, rounded
 from riskflow.session import shared_folder
 
 KEY, LABEL = "customer_id", catalog.TARGET
-NUMERIC, CODES = catalog.model_columns()
+NUMERIC, CODES = catalog.model_inputs()
 EVEN = [i / 16 for i in range(1, 16)]
 # Rounds of boosting in the registered queries; the library default is 400.
 ROUNDS = 5
@@ -243,7 +243,7 @@ def ablation_compare(spark: SparkSession, sf: str) -> DataFrame:
     train, test = parts(records(spark, sf))
     found = None
     for variant, protected in {"with_protected": True, "without": False}.items():
-        numeric, codes = catalog.model_columns(protected)
+        numeric, codes = catalog.model_inputs(() if protected else catalog.PROTECTED)
         scored = fit_logistic(numeric, codes)(train).decide(test)
         rank = only_row(metrics.ranking(scored, LABEL, "probability", bounds=EVEN))
         audited = fairness.audit(

@@ -143,7 +143,7 @@ def drift_psi(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def report_sql(tag: str = "") -> str:
-    """Distances only: more than 1,000 reference rows, more than five values."""
+    """Distances of all columns."""
     return f"""
       SELECT col AS "column", 'wasserstein_normed' AS method, ROUND(normed, 6) AS score,
         {double(LIMIT)} AS threshold, normed > {double(LIMIT)} AS drifted,
@@ -161,7 +161,7 @@ _SUMMARY = """SELECT *, drifted_share <= 0.3::DOUBLE AS passed FROM (
 
 
 def report(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.drift_report(*cohorts(spark, sf), NUMBERS, CODES, method="distance")
+    return drift.drift_report(*cohorts(spark, sf), NUMBERS, CODES)
 
 
 @query(
@@ -180,6 +180,34 @@ def drift_summary(spark: SparkSession, sf: str) -> DataFrame:
     return drift.drift_summary(report(spark, sf))
 
 
+# Columns whose p-values have closed sums: numbers, and codes of three values.
+TESTED_CODES = ["l_returnflag"]
+
+
+@query(
+    "drift_test",
+    with_views(
+        f"""SELECT "column", method, ROUND(p, 9) AS score, 0.05::DOUBLE AS threshold, p < 0.05::DOUBLE AS drifted,
+              reference_rows, current_rows
+            FROM (
+              SELECT col AS "column", 'ks' AS method, rr AS reference_rows, rk AS current_rows,
+                CASE WHEN x < 0.2::DOUBLE THEN 1.0::DOUBLE ELSE LEAST(1.0::DOUBLE, GREATEST(0.0::DOUBLE, 2 * list_sum(
+                  list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * EXP(-2.0::DOUBLE * k * k * x * x))))) END AS p
+              FROM (SELECT *, SQRT(CAST(rr AS DOUBLE) * rk / (rr + rk)) * ks AS x FROM nd)
+              UNION ALL
+              SELECT col, 'chi2', rr, rk, EXP(-chi2 / 2) FROM cd
+              WHERE col IN ({", ".join(f"'{c}'" for c in TESTED_CODES)}))""",
+        "cohort_lines",
+        **_NUMERIC,
+        **_CODES,
+    ),
+)
+def drift_test(spark: SparkSession, sf: str) -> DataFrame:
+    """p-values of the tests, by the limit distributions."""
+    old, new = cohorts(spark, sf)
+    return rounded(drift.drift_report(old, new, NUMBERS, TESTED_CODES, method="test"), "score", places=9)
+
+
 # A downturn in the current lines: quantities and prices shrink, return flags turn.
 STRESSED = {"l_quantity": 0.7, "l_extendedprice": 0.7}
 _LINE_U = uniform("l_orderkey || '-' || l_partkey || '-' || l_suppkey")
@@ -206,7 +234,7 @@ def stressed_report(spark: SparkSession, sf: str) -> DataFrame:
             "l_returnflag": F.when(turned, "R").otherwise(F.col("l_returnflag")),
         }
     )
-    return drift.drift_report(old, new, NUMBERS, CODES, method="distance")
+    return drift.drift_report(old, new, NUMBERS, CODES)
 
 
 @query(
@@ -222,7 +250,7 @@ def stressed_report(spark: SparkSession, sf: str) -> DataFrame:
 def drift_control(spark: SparkSession, sf: str) -> DataFrame:
     """A cohort against itself does not drift; the stressed columns do, and no others."""
     old, _ = cohorts(spark, sf)
-    same = drift.drift_report(old, old, NUMBERS, CODES, method="distance")
+    same = drift.drift_report(old, old, NUMBERS, CODES)
     moved = stressed_report(spark, sf)
     keep = ["column", "drifted", "score"]
     both = moved.select(*keep, F.lit("stressed").alias("run")).unionByName(

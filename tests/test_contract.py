@@ -71,10 +71,10 @@ def test_normalise_needs_the_target(spark):
 
 
 def test_protected_columns_end_at_the_projection(applications):
-    numeric, codes = catalog.model_columns()
+    numeric, codes = catalog.model_inputs()
     made = contract.project_features(applications, numeric, codes)
     assert not set(catalog.PROTECTED) & set(made.columns)
-    assert len(catalog.model_columns(True)[0] + catalog.model_columns(True)[1]) == 23
+    assert len(catalog.model_inputs(())[0] + catalog.model_inputs(())[1]) == 23
 
 
 def test_threshold_is_inclusive_and_missing_keys_are_filled(spark):

@@ -7,7 +7,7 @@ from riskflow.operators import metrics, model, sampling, trees
 from riskflow.session import shared_folder
 
 LABEL, KEY = catalog.TARGET, "customer_id"
-NUMERIC, CODES = catalog.model_columns()
+NUMERIC, CODES = catalog.model_inputs()
 
 
 @pytest.fixture(scope="module")

@@ -44,7 +44,7 @@ def test_a_folder_and_a_file_stream_alike(spark):
 
 
 def test_scoring_uses_the_trained_pipeline(spark, applications):
-    numeric, codes = catalog.model_columns()
+    numeric, codes = catalog.model_inputs()
     scorer = model.train(applications, catalog.TARGET, numeric, codes, model.logistic)
     bad = F.when(F.col("customer_id") == 3, F.lit(5)).otherwise(F.col("age"))
     source = applications.withColumn("age", bad)

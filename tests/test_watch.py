@@ -47,9 +47,12 @@ def test_shifted_columns_are_flagged_and_no_others(cohorts):
     assert drift.retrain_decision(calm, force=True).first().retrain is True
 
 
-def test_small_samples_are_tested(cohorts):
+def test_the_method_is_chosen_and_never_the_size(cohorts):
     old, new = (c.where("customer_id < 150") for c in cohorts)
-    report = {r.column: r for r in drift.drift_report(old, new, NUMERIC, CODES).collect()}
+    small = {r.method for r in drift.drift_report(old, new, NUMERIC, CODES).collect()}
+    assert small == {"wasserstein_normed", "jensen_shannon"}
+    made = drift.drift_report(old, new, NUMERIC, CODES, method="test")
+    report = {r.column: r for r in made.collect()}
     assert report["age"].method == "ks" and report["sex"].method == "z"
     assert report["education"].method == "chi2"
     assert not any(r.drifted for r in report.values())
@@ -57,6 +60,8 @@ def test_small_samples_are_tested(cohorts):
     moved = new.withColumn("sex", F.lit(1))
     again = drift.drift_report(old, moved, [], ["sex"], method="test").first()
     assert again.drifted and again.score < 0.001
+    with pytest.raises(ValueError, match="neither"):
+        drift.drift_report(old, new, NUMERIC, CODES, method="auto")
 
 
 def test_distances_against_numpy(cohorts):
@@ -73,9 +78,9 @@ def test_distances_against_numpy(cohorts):
     assert made.normed == pytest.approx(w1 / a.std())
 
 
-def test_few_numbers_count_as_codes(cohorts):
-    report = drift.drift_report(*cohorts, ["sex"], []).first()
-    assert report.method == "jensen_shannon"
+def test_the_lists_say_what_a_column_is(cohorts):
+    assert drift.drift_report(*cohorts, ["sex"], []).first().method == "wasserstein_normed"
+    assert drift.drift_report(*cohorts, [], ["sex"]).first().method == "jensen_shannon"
 
 
 def test_tails_have_known_values():
