@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskflow import catalog
 from riskflow.functions.scalar import as_column, count_where, only_row, ratio
-from riskflow.operators.prefix import exact_quantiles
+from riskflow.operators.prefix import exact_quantiles, ordered_prefix
 from riskflow.operators.views import Feature, count_of, count_when, mean, parts_of
 
 
@@ -103,18 +103,24 @@ def window_quantiles(
     value: str,
     probs: dict[str, float],
     size: int = 5,
-    accuracy: int = 10_000,
+    bounds: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Quantiles per window by mergeable sketches, so a busy window has no large buffer."""
-    sketch = F.percentile_approx(value, list(probs.values()), accuracy)
-    made = df.groupBy(pane_start(time, size).alias("_start")).agg(
-        F.count(value).alias("n"), sketch.alias("_q")
-    )
-    return made.select(
-        F.col("_start").cast("timestamp_ntz").alias("window_start"),
-        "n",
-        *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)],
-    )
+    """Exact quantiles per window: the value at rank ceil(q * n), however many rows a window has.
+
+    Equal values fold before the shuffle and a window is cut into value ranges, so a
+    busy one is neither a buffer nor a task.
+    """
+    paned = df.select(pane_start(time, size).alias("_start"), F.col(value).alias("_v"))
+    cells = ordered_prefix(paned, "_v", {"n": F.lit(1)}, ["_start"], bounds=bounds)
+    picks = []
+    for name, q in probs.items():
+        rank = F.greatest(F.ceil(F.lit(float(q)) * F.col("all_n")), F.lit(1))
+        hit = (F.col("cum_n") - F.col("n") < rank) & (rank <= F.col("cum_n"))
+        picks.append(F.max(F.when(hit, F.col("_v"))).alias(name))
+    found = cells.groupBy("_start").agg(*picks)
+    # A window without a value is a window still.
+    made = paned.groupBy("_start").agg(F.count("_v").alias("n")).join(found, "_start", "left")
+    return made.select(F.col("_start").cast("timestamp_ntz").alias("window_start"), "n", *probs)
 
 
 def score_histogram(
@@ -156,7 +162,8 @@ def histogram_quantiles(histogram: DataFrame, probs: dict[str, float]) -> DataFr
 def calendar(df: DataFrame, time: str, step: int) -> DataFrame:
     """Every ``step`` minutes from the first row to the last, with or without rows.
 
-    Long spans are laid out day by day, so no row holds a long array.
+    Long spans are laid out day by day: no row holds a long array, and the days are
+    dealt out, so a stray time far away does not leave all minutes to one task.
     """
     ends = df.agg(
         F.unix_seconds(pane_start(F.min(time), step)).alias("_a"),
@@ -167,7 +174,7 @@ def calendar(df: DataFrame, time: str, step: int) -> DataFrame:
         "*", F.explode(F.sequence(F.col("_a"), F.col("_z"), F.lit(day))).alias("_day")
     )
     last = F.least(F.col("_day") + day - step * 60, F.col("_z"))
-    moments = days.select(F.explode(F.sequence(F.col("_day"), last, F.lit(step * 60))).alias("_s"))
+    moments = days.repartition("_day").select(F.explode(F.sequence(F.col("_day"), last, F.lit(step * 60))).alias("_s"))
     return moments.select(F.timestamp_seconds("_s").cast("timestamp_ntz").alias("window_start"))
 
 

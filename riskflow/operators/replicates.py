@@ -85,19 +85,57 @@ def replicate_pr_auc(
     return found.select("replicate", F.when(both, F.col("_part") / F.col("_p")).alias("pr_auc"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: close inputs give unrelated outputs."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _uniform(code: np.ndarray) -> np.ndarray:
+    """In (0, 1), never an end."""
+    return ((code >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+
+
+#: Above this mean a rounded normal number stands for a Poisson number.
+_NORMAL = 64.0
+
+
+def poisson_counts(mean: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """A Poisson number per mean, decided by its 64-bit code alone."""
+    u, drawn = _uniform(code), np.zeros(len(mean))
+    small = mean <= _NORMAL
+    m, v = mean[small], u[small]
+    chance = np.exp(-m)
+    below, counts, k = chance.copy(), np.zeros(len(m)), 0
+    while len(m) and (open_ := v > below).any() and k < 1000:
+        k += 1
+        chance = chance * m / k
+        counts[open_] = k
+        below += chance
+    drawn[small] = counts
+    angle = 2 * np.pi * _uniform(_mixed(code[~small] + np.uint64(1)))
+    normal = np.sqrt(-2 * np.log(u[~small])) * np.cos(angle)
+    drawn[~small] = np.maximum(0.0, np.rint(mean[~small] + np.sqrt(mean[~small]) * normal))
+    return drawn
+
+
 def poisson_weights(seed: int, score: str, label: str, weight: str, count: str) -> Prepare:
-    """Each cell counts a Poisson number of times. The numbers depend on the seed, the
-    range and the replicate, and on cells in a fixed order, so a retried task repeats them."""
+    """Each cell counts a Poisson number of times, from a hash of seed, draw and the cell's
+    values. Ranges and tasks do not enter, so any layout of the data draws the same."""
 
     def prepare(rows: pd.DataFrame, number: int) -> Weighting:
-        rows = rows.sort_values([score, label, weight])
         n, place = by_score(rows[score])
         mean = rows[count].to_numpy(dtype=float)
         w = rows[weight].to_numpy(dtype=float)
         positive = rows[label].to_numpy() == 1
+        cell = np.full(len(rows), seed, np.uint64)
+        for values in (rows[score], rows[weight], rows[label]):
+            bits = (values.to_numpy(dtype=np.float64) + 0.0).view(np.uint64)
+            cell = _mixed(cell * np.uint64(0x9E3779B97F4A7C15) + bits)
 
         def weigh(r: int) -> tuple[np.ndarray, np.ndarray]:
-            drawn = w * np.random.default_rng([seed, number, r]).poisson(mean)
+            drawn = w * poisson_counts(mean, _mixed(cell + np.uint64(r + 1) * np.uint64(0xD1342543DE82EF95)))
             return (
                 np.bincount(place, drawn * positive, n),
                 np.bincount(place, drawn * ~positive, n),

@@ -13,6 +13,8 @@ from riskflow.operators import drift, monitor
 from riskflow.plans import standins
 from riskflow.plans.oracle import double, uniform, with_views
 from riskflow.plans.registry import query, rounded
+from riskflow.session import shared_folder
+from riskflow.sources.summary import read_summary, write_summary
 
 NUMBERS, CODES = standins.LINE_NUMBERS, standins.LINE_CODES
 LIMIT = catalog.DRIFT_LIMIT
@@ -208,6 +210,18 @@ def drift_test(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(drift.drift_report(old, new, NUMBERS, TESTED_CODES, method="test"), "score", places=9)
 
 
+@query(
+    "summary_json",
+    with_views(_SUMMARY, "cohort_lines", **_NUMERIC, **_CODES, report=report_sql()),
+)
+def summary_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The drift summary, written as JSON and read back."""
+    made = drift.drift_summary(report(spark, sf))
+    path = shared_folder(spark)
+    write_summary(made, path)
+    return read_summary(spark, path, made.schema)
+
+
 # A downturn in the current lines: quantities and prices shrink, return flags turn.
 STRESSED = {"l_quantity": 0.7, "l_extendedprice": 0.7}
 _LINE_U = uniform("l_orderkey || '-' || l_partkey || '-' || l_suppkey")

@@ -7,7 +7,13 @@ from riskflow import catalog
 from riskflow.functions.scalar import hash_uniform
 from riskflow.operators import decide, fairness, metrics
 from riskflow.operators.prefix import exact_quantiles, ordered_prefix, range_bounds, with_range
-from riskflow.operators.replicates import by_score, poisson_weights, replicate_pr_auc
+from riskflow.operators.replicates import (
+    _mixed,
+    by_score,
+    poisson_counts,
+    poisson_weights,
+    replicate_pr_auc,
+)
 
 
 def average_precision(y, p, w):
@@ -143,8 +149,17 @@ def test_bootstrap_error_is_near_brute_force(scored):
     made = metrics.bootstrap_std_error(scored, "y", "p", "w", draws=80, bounds=cuts).first()
     assert made.draws == 80 and made.std_error == pytest.approx(np.std(draws, ddof=1), rel=0.35)
     moved = scored.repartition(5)
-    again = metrics.bootstrap_std_error(moved, "y", "p", "w", draws=80, bounds=cuts).first()
-    assert again.std_error == pytest.approx(made.std_error)
+    for other in (cuts, [0.1, 0.2, 0.4, 0.45, 0.7], []):
+        again = metrics.bootstrap_std_error(moved, "y", "p", "w", draws=80, bounds=other).first()
+        assert again.std_error == pytest.approx(made.std_error, rel=1e-9)
+
+
+def test_poisson_counts_have_mean_and_variance():
+    for mean in (0.5, 5.0, 64.0, 500.0):
+        code = _mixed(np.arange(100_000, dtype=np.uint64))
+        drawn = poisson_counts(np.full(len(code), mean), code)
+        assert drawn.mean() == pytest.approx(mean, rel=0.02)
+        assert drawn.var() == pytest.approx(mean, rel=0.03)
 
 
 def test_poisson_weights_have_the_mean_of_the_counts(scored):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskflow.plans import standins
 from riskflow.session import shared_folder
-from riskflow.sources import log, tables
+from riskflow.sources import log, summary, tables
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +102,12 @@ def test_newest_rows_without_a_global_sort(spark, served):
     want = sorted((r.predicted_at, r.event_id) for r in served.collect())[-5:]
     assert sorted((r.predicted_at, r.event_id) for r in made.collect()) == want
     assert "TakeOrderedAndProject" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_summaries_round_trip_and_stay_small(spark, tmp_path):
+    made = spark.createDataFrame([("a", 0.1 + 0.2, None), ("b", None, 3)], "name string, x double, n long")
+    summary.write_summary(made, str(tmp_path / "s"))
+    back = summary.read_summary(spark, str(tmp_path / "s"), made.schema)
+    assert sorted(back.collect()) == sorted(made.collect())
+    with pytest.raises(ValueError, match="at most"):
+        summary.write_summary(spark.range(11), str(tmp_path / "t"), most=10)
