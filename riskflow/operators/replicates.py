@@ -135,7 +135,8 @@ def poisson_weights(seed: int, score: str, label: str, weight: str, count: str)
             cell = _mixed(cell * np.uint64(0x9E3779B97F4A7C15) + bits)
 
         def weigh(r: int) -> tuple[np.ndarray, np.ndarray]:
-            drawn = w * poisson_counts(mean, _mixed(cell + np.uint64(r + 1) * np.uint64(0xD1342543DE82EF95)))
+            step = np.uint64((r + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1)
+            drawn = w * poisson_counts(mean, _mixed(cell + step))
             return (
                 np.bincount(place, drawn * positive, n),
                 np.bincount(place, drawn * ~positive, n),
