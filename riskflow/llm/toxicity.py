@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -93,20 +94,34 @@ class Toxicity:
     expect: float = 0.05
 
     def scorer(self):
-        """A dictionary that scores words as they come."""
-        zero = np.log(self.base / (1 - self.base))
+        """A dictionary that scores words as they come; forgets everything when it has grown large."""
+        toxic, clean = memoryview(self.toxic), memoryview(self.clean)
+        base, mass, caution = self.base, self.mass, self.caution
+        offset = math.log(base / (1 - base)) + self.drift
+        places, longest = PLACES - 1, max(STEMS)
+        stems: dict[str, tuple[float, float]] = {}
+
+        def after(keys: list[str], share: float, doubt: float) -> tuple[float, float]:
+            """Toxic share and its standard error after the counts of these keys."""
+            for key in keys:
+                u = zlib.crc32(key.encode()) & places
+                t, n = toxic[u], toxic[u] + clean[u] + mass
+                share = (t + mass * share) / n
+                own = (t + mass * base) / n
+                doubt = caution / math.sqrt(n * own * (1 - own))
+            return share, doubt
 
         class Scores(dict):
             def __missing__(own, word: str) -> float:  # noqa: N805
-                if len(own) > 300_000:
+                if len(own) > 400_000:
                     own.clear()
-                p, n = self.base, self.mass
-                for u in units(word):
-                    n = self.toxic[u] + self.clean[u] + self.mass
-                    p = (self.toxic[u] + self.mass * p) / n
-                own_share = (self.toxic[u] + self.mass * self.base) / n
-                doubt = self.caution / np.sqrt(n * own_share * (1 - own_share))
-                found = own[word] = float(np.log(p / (1 - p)) - zero - doubt - self.drift)
+                    stems.clear()
+                # Long words with the same first letters share what their stems say.
+                stem = word[:longest] + "~" if len(word) > longest else word
+                if stem not in stems:
+                    stems[stem] = after([f"{k}:{word[:k]}" for k in STEMS if len(word) > k], base, 0.0)
+                share, doubt = after([f"={word}"], *stems[stem])
+                found = own[word] = math.log(share / (1 - share)) - offset - doubt
                 return found
 
         return Scores()
@@ -114,6 +129,12 @@ class Toxicity:
     def runs(self, text: str, scorer) -> tuple[int, list[tuple[int, int, float]]]:
         words = words_of(text)
         scores = np.fromiter(map(scorer.__getitem__, words), float, len(words))
+        # Words were counted once per text, so the k-th time one is worth a k-th.
+        seen: dict[str, int] = {}
+        for i in np.flatnonzero(scores > 0).tolist():
+            k = seen[words[i]] = seen.get(words[i], 0) + 1
+            if k > 1:
+                scores[i] /= k
         return len(words), maximal_runs(scores)
 
     def expected(self, n: int, score: float) -> float:
@@ -214,11 +235,13 @@ def _calibrated(model: Toxicity, tried: pd.DataFrame) -> Toxicity:
     n, toxic = tried["n"].to_numpy(float), tried["label"].to_numpy() > 0
     rate, log_k = 1.0, 0.0
     if (~toxic).sum() >= 20:
-        # Moments of the law: the spread gives lambda, the mean K; the length shifts it.
+        # Two quantiles of the law, so that a few wrong labels do not stretch it: their
+        # distance gives lambda, the median K; the length shifts both.
         for _ in range(20):
-            rest = best[~toxic] - np.log(n[~toxic]) / rate
-            rate = float(np.clip(np.pi / (np.sqrt(6) * max(rest.std(), 0.1)), 0.2, 10.0))
-        log_k = float((rate * best[~toxic] - np.log(n[~toxic])).mean() - 0.5772156649)
+            middle, high = np.quantile(best[~toxic] - np.log(n[~toxic]) / rate, [0.5, 0.9])
+            gap = np.log(np.log(2)) - np.log(-np.log(0.9))
+            rate = float(np.clip(gap / max(high - middle, 0.05), 0.2, 10.0))
+        log_k = float(np.median(rate * best[~toxic] - np.log(n[~toxic])) + np.log(np.log(2)))
     model = replace(model, rate=rate, log_k=log_k)
     curve = (-20.0, 0.0, 0.0)
     if toxic.any():
