@@ -43,9 +43,9 @@ def fit_logistic(numeric=tuple(NUMERIC), codes=tuple(CODES)):
     return fit
 
 
-def fit_boosted(numeric=tuple(NUMERIC), codes=tuple(CODES), rounds=ROUNDS, depth=4, step=0.05):
+def fit_boosted(numeric=tuple(NUMERIC), codes=tuple(CODES), rounds=ROUNDS, **params):
     def fit(df: DataFrame) -> model.Scorer:
-        return model.train(df, LABEL, numeric, codes, model.boosted(rounds, depth, step))
+        return model.train(df, LABEL, numeric, codes, model.boosted(rounds, **params))
 
     return fit
 
@@ -146,12 +146,13 @@ def oof_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("param_search")
 def param_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The hand-picked parameters against drawn ones. Trials and rounds are few here: Spark grows
+    the trees of a model one after another."""
     train, _ = parts(records(spark, sf))
-    candidates = {
-        "depth4_step0.05": fit_boosted(rounds=3),
-        "depth2_step0.2": fit_boosted(rounds=3, depth=2, step=0.2),
-    }
-    return model.search(train, KEY, LABEL, candidates, "depth4_step0.05", k=2)
+    candidates = {"hand_picked": fit_boosted()}
+    for name, drawn in model.draw_candidates(trials=2).items():
+        candidates[name] = fit_boosted(**(drawn | {"rounds": ROUNDS}))
+    return model.search(train, KEY, LABEL, candidates, "hand_picked", k=3)
 
 
 @query("score_batch")
@@ -159,7 +160,7 @@ def score_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Train, tune the cutoff, save, load, and score with the cutoff that was saved."""
     train, test = parts(records(spark, sf))
     fit = fit_logistic()
-    oof = model.out_of_fold(model.stored_folds(train, KEY, LABEL, 3), fit, 3)
+    oof = model.out_of_fold(model.stored_folds(train, KEY, LABEL), fit)
     cutoff = model.tuned_cutoff(oof, LABEL).first()["threshold"]
     scorer = fit(train)
     inputs = train.select(*NUMERIC, *CODES).schema

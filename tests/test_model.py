@@ -76,6 +76,15 @@ def test_every_row_is_scored_out_of_fold(applications):
     assert choice.expected_cost <= choice.cost_at_half
 
 
+def test_candidates_are_drawn_from_the_space():
+    drawn = model.draw_candidates(30, seed=1)
+    assert len(drawn) == 30 and drawn == model.draw_candidates(30, seed=1)
+    assert list(model.draw_candidates(5, seed=1).items()) == list(drawn.items())[:5]
+    for name, (low, high, _) in model.SEARCH_SPACE.items():
+        values = [float(d[name]) for d in drawn.values()]
+        assert low <= min(values) and max(values) <= high and len(set(values)) > 3
+
+
 def test_search_reports_the_lead_over_the_baseline(applications):
     def fit(columns):
         return lambda df: model.train(df, LABEL, columns, [], model.logistic)
