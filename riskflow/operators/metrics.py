@@ -260,14 +260,16 @@ def holdout_sweep(
     rates = sorted(rates)
     if bounds is None:
         bounds = range_bounds(truth, "probability")
-    repeats = F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")
+    def drawn(number: Column) -> Column:
+        u = hash_uniform(F.concat_ws(":", number.cast("string"), F.col(key)), seed)
+        return F.struct(number.alias("draw"), u.alias("_u"))
+
+    # Draws that take a row are picked before a row is made for each.
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(draws)), drawn)
+    taking = F.filter(numbers, lambda d: d["_u"] < rates[-1])
     declined = (
         truth.where("prediction = 1")
-        .select(key, "probability", "label", repeats)
-        .withColumn(
-            "_u", hash_uniform(F.concat_ws(":", F.col("draw").cast("string"), F.col(key)), seed)
-        )
-        .where(F.col("_u") < rates[-1])
+        .select("probability", "label", F.inline(taking))
         .withColumn("first", sum((F.col("_u") >= r).cast("int") for r in rates))
         .groupBy((F.col("draw") - 1).alias("draw"), "first", "probability", "label")
         .agg(F.count(F.lit(1)).alias("n"))

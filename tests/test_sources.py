@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskflow.plans import standins
 from riskflow.session import shared_folder
-from riskflow.sources import log, summary, tables
+from riskflow.sources import log, store, summary, tables
 
 
 @pytest.fixture(scope="module")
@@ -111,3 +111,15 @@ def test_summaries_round_trip_and_stay_small(spark, tmp_path):
     assert sorted(back.collect()) == sorted(made.collect())
     with pytest.raises(ValueError, match="at most"):
         summary.write_summary(spark.range(11), str(tmp_path / "t"), most=10)
+
+
+def test_a_batch_meets_only_the_folders_of_its_keys(spark, tmp_path):
+    rows = [(f"k{i}", dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1), i % 2) for i in range(300)]
+    feed = spark.createDataFrame(rows, tables.OUTCOMES)
+    kept = store.OutcomeStore(spark, str(tmp_path / "o"), buckets=16)
+    assert kept.record(feed) == 300 and kept.record(feed) == 0
+    one = spark.createDataFrame([("k7", *rows[0][1:]), ("new", *rows[0][1:])], tables.OUTCOMES)
+    near = kept.touched(one)
+    assert 0 < near.count() < 100 and near.filter("application_id = 'k7'").count() == 1
+    assert "PartitionFilters: [key_bucket" in near._jdf.queryExecution().executedPlan().toString()
+    assert kept.record(one) == 1 and kept.read().count() == 301
