@@ -30,6 +30,11 @@ def both(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> Da
     return old.unionByName(current.select(*columns, F.lit(1).alias("_side")))
 
 
+def sides(rows: DataFrame, current: Column, columns: Sequence[str]) -> DataFrame:
+    """One table whose rows are current where the condition holds: read once, not once per side."""
+    return rows.select(*columns, F.when(current, 1).otherwise(0).alias("_side"))
+
+
 def _sides() -> list[Column]:
     return [
         F.count(F.when(F.col("_side") == 0, 1)).alias("r"),
@@ -189,6 +194,19 @@ def drift_report(
     method: str = "distance",
     limit: float = catalog.DRIFT_LIMIT,
     p_limit: float = catalog.P_VALUE_LIMIT,
+) -> DataFrame:
+    """``report_of`` for two tables."""
+    rows = both(reference, current, [*numeric, *categorical])
+    return report_of(rows, numeric, categorical, method, limit, p_limit)
+
+
+def report_of(
+    rows: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    method: str = "distance",
+    limit: float = catalog.DRIFT_LIMIT,
+    p_limit: float = catalog.P_VALUE_LIMIT,
 ) -> DataFrame:
     """One row per column: method, score, threshold and verdict.
 
@@ -200,7 +218,6 @@ def drift_report(
     """
     if method not in ("distance", "test"):
         raise ValueError(f"method {method!r} is neither distance nor test")
-    rows = both(reference, current, [*numeric, *categorical])
     two = F.col("distinct_values") <= 2
     shared = ["column", "reference_rows", "current_rows", F.col("dof").cast("double").alias("dof")]
     found = []
