@@ -168,8 +168,11 @@ CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 )
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)]
-    rows = rows.unionByName(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CONTROL_TEXT).alias("text")
+    )
+    rows = rows.unionByName(extra)
     return chat.digests(chat.format_chats(rows))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.functions.scalar import as_column
@@ -105,6 +105,8 @@ def judge(pages: DataFrame, rules: UrlRules, default: str = "allow", url: str =
     return found.withColumn("verdict", verdict).select(*kept, *added)
 
 
-def rules_frame(spark, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """(host, path, verdict) tuples as a frame."""
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+def rules_frame(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """(host, path, verdict) tuples as a frame of literals."""
+    names = ("host", "path", "verdict")
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
