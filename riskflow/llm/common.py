@@ -14,9 +14,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A frame of at most this many rows of a few plain columns may be broadcast.
 BROADCAST_ROWS = 100_000
 
-#: Copies of each row of the small side when it is too large to broadcast.
-SALTS = 64
-
 
 def stored(df: DataFrame) -> DataFrame:
     """The frame, written once to the shared folder and read back.
@@ -34,20 +31,17 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(as_column(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def attach(rows: DataFrame, few: DataFrame, key: str, salt: Column, limit: int = BROADCAST_ROWS) -> DataFrame:
+def attach(rows: DataFrame, few: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Left join of ``rows`` to a table with one row per key; null is a key like any other.
 
-    Broadcasts ``few`` after counting it. A larger one is copied ``SALTS`` times and
-    the rows are dealt by key and salt, so a key with a third of all rows is split.
-    ``few`` should be stored, because it is counted first.
+    Broadcasts ``few`` after counting it. A larger one is joined by a shuffle, where
+    adaptive execution splits a key that holds many of the rows; salting would copy
+    every key of what may be as large as the rows themselves. ``few`` should be
+    stored, because it is counted first.
     """
     few = few.withColumnRenamed(key, "_key")
-    if few.limit(limit + 1).count() <= limit:
-        return rows.join(F.broadcast(few), rows[key].eqNullSafe(few["_key"]), "left").drop("_key")
-    few = few.withColumn("_few_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
-    on = rows[key].eqNullSafe(few["_key"]) & (rows["_salt"] == few["_few_salt"])
-    return rows.join(few, on, "left").drop("_key", "_salt", "_few_salt")
+    side = F.broadcast(few) if few.limit(limit + 1).count() <= limit else few.hint("merge")
+    return rows.join(side, rows[key].eqNullSafe(few["_key"]), "left").drop("_key")
 
 
 def labelled_sample(labels: DataFrame, column: str, held_out: Column, rows: int, seed: int) -> DataFrame:

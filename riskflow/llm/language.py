@@ -121,7 +121,6 @@ def identify(pages: DataFrame, docs: DataFrame, mass: float = 4.0, most: float =
         F.substring_index(host, ".", -2).alias("domain"),
         F.element_at(pieces, -1).alias("suffix"),
         F.nullif(F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), _DECLARED, 1)), F.lit("")).alias("declared"),
-        F.xxhash64("url", "html").alias("_salt"),
         (_likelihoods(pages, table, most) if langs else F.array().cast("array<double>")).alias("_text"),
     )
     if not langs:
@@ -142,7 +141,7 @@ def identify(pages: DataFrame, docs: DataFrame, mass: float = 4.0, most: float =
     rows = base
     for key in ("suffix", "domain", "host"):
         few = stored(counts(key).withColumnRenamed("_n", f"_{key}_n"))
-        rows = attach(rows, few, key, F.col("_salt"))
+        rows = attach(rows, few, key)
     # At most one row per language and one for none: how declarations and guesses agree.
     agree = {r["declared"]: r["_n"] for r in counts("declared").collect()}
 

@@ -94,10 +94,10 @@ def mix_thresholds(sized: DataFrame, weights: Sequence[int], share: tuple[int, i
             targets = stored(targets.withColumn("epochs", epochs))
             rest = F.col("target") - F.col("epochs") * F.col("source_size")
             state = targets.select("source", rest.alias("_rest"), F.lit(0).cast("long").alias("_before"))
-            hist = attach(hist, state, "source", F.col("_bucket"))
+            hist = attach(hist, state, "source")
         else:
             # Only documents of the bucket in which the rest runs out.
-            rows = attach(sized, state.withColumnRenamed("_bucket", "_prefix"), "source", F.col("hash"))
+            rows = attach(sized, state.withColumnRenamed("_bucket", "_prefix"), "source")
             rows = rows.filter(F.shiftright("hash", left + bits) == F.col("_prefix"))
             hist = rows.groupBy("source", "_rest", "_before", bucket.alias("_bucket"))
             hist = hist.agg(F.sum("size").alias("_words"))
@@ -141,7 +141,7 @@ def mix(
         mix_hash("doc_id", seed).alias("_mix_hash"),
         word_count("text").alias("size"),
     )
-    rows = attach(rows, ends.withColumnRenamed("source", "_mix_source"), "_mix_source", F.col("_mix_hash"))
+    rows = attach(rows, ends.withColumnRenamed("source", "_mix_source"), "_mix_source")
     extra = (F.col("_mix_hash") <= F.col("threshold")).cast("long")
     copies = F.when(F.col("source_size") > 0, F.col("epochs") + extra).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
