@@ -217,7 +217,11 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, most: int = 16_384) -> Dat
     one with the smallest hash, of repeated rows any one. Components whose rows all lack
     an id keep one row likewise.
     """
-    found = stored(_components(docs, radius, most))
+    return kept_rows(docs, stored(_components(docs, radius, most)))
+
+
+def kept_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of ``docs`` per root; ``found`` is stored (doc_id, doc_hash, root, component_id)."""
     lead = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = lead.groupBy("root", F.col("doc_id").alias("_id")).agg(F.min("doc_hash").alias("_hash"))
     first = stored(first.select("_id", "_hash").distinct())

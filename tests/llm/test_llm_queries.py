@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 
 import oracle
 import pytest
@@ -75,6 +76,37 @@ def test_pipeline_of_nothing(spark, tables):
     assert docs.count() == 0
 
 
+def test_near_dedup_stage_drops_every_near_copy(spark):
+    """Near copies of five-word Jaccard 0.8 or more, most beyond three bits, and pairs just below; against all pairs."""
+    source = random.Random(7)
+    texts = []
+    for size in (12, 40, 120, 600):
+        for _ in range(6):
+            base = [f"w{source.randrange(5000)}" for _ in range(size)]
+            for edits in (0, 1, 1, 2, max(size // 60, 1), size // 40, size // 25):
+                copy = base.copy()
+                for at in source.sample(range(size), edits):
+                    copy[at] = f"e{source.randrange(5000)}"
+                texts.append(" ".join(copy))
+    line = " ".join(f"common{i}" for i in range(30))
+    texts += [f"{line} own{i} own{i + 1}" for i in range(40)] + [f"{line} " + " ".join(f"x{i}-{j}" for j in range(60)) for i in range(20)]
+    texts += ["", None, " ", "few words here", "Few  WORDS here", "few words there"]
+    source.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)})
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    kept = corpus_pipeline.near_dedup_stage(spark, docs.unionByName(docs.limit(9)), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+
+
 def test_run_is_the_chain_of_stages(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 0 and "epoch" in got.columns
