@@ -5,8 +5,10 @@ shifts them, and orders them along a Hilbert curve. Spark sorts every ordering b
 range partitions, which gives each vector a rank in each. A query looks at its
 window, all vectors up to ``reach`` ranks away, in every ordering; windows are cut
 into blocks of fixed size, so the work of a task is bounded by the block. Within a
-block distances come from 8-bit copies of the vectors, and the best few of each
-block are merged and ranked again by exact distances.
+block distances come from 8-bit copies of the vectors. What rounding and clipping took
+from a vector is known, so each distance has a lower and an upper bound; every
+candidate whose lower bound does not exceed the k-th upper bound stays, however many,
+and these are merged and ranked again by exact distances.
 
 ``reach`` is measured, not guessed: for a bounded sample of vectors the true
 neighbours are found against all rows, and the window is made as wide as it takes
@@ -36,7 +38,6 @@ class Curves:
     directions: int = 12
     bits: int = 5
     block: int = 4096
-    keep: int = 40
     recall: float = 0.97
     sample: int = 4096
     trials: int = 96
@@ -103,20 +104,26 @@ class _Index:
         self.low = [p.mean(0) - 3.5 * p.std(0) for p in flat]
         self.span = [max(float((7 * p.std(0)).max()), 1e-12) for p in flat]
         self.shift = [rng.random(d) for _ in range(curves.orderings)]
-        self.scale = max(float(np.abs(sample).max()), 1e-12) / 127.0
+        # A few long vectors must not set the scale of all; what they lose is in their error.
+        most = float(np.abs(sample).max())
+        usual = 1.6 * float(np.quantile(np.abs(sample), 0.99))
+        self.scale = max(min(usual or most, most), 1e-12) / 127.0
 
     def keys(self, vectors: np.ndarray, o: int) -> np.ndarray:
         at = ((vectors @ self.turn[o] - self.low[o]) / self.span[o] + self.shift[o]) / 2
         cells = np.clip(np.floor(at * (1 << self.bits)), 0, (1 << self.bits) - 1).astype(np.int64)
         return hilbert_keys(cells, self.bits)
 
-    def small(self, vectors: np.ndarray) -> list[bytes]:
-        """8-bit copies. Components beyond the sample's largest are clipped: only the first look uses them."""
-        return [r.tobytes() for r in np.clip(np.rint(vectors / self.scale), -127, 127).astype(np.int8)]
+    def small(self, vectors: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """8-bit copies, large components clipped, and how far each is from its vector, in steps of the scale."""
+        scaled = vectors / self.scale
+        codes = np.clip(np.rint(scaled), -127, 127)
+        away = np.sqrt(((scaled - codes) ** 2).sum(1)) * (1 + 1e-9) + 1e-9
+        return [r.tobytes() for r in codes.astype(np.int8)], away
 
 
 def _ranked(classes: DataFrame, index: _Index, curves: Curves) -> DataFrame:
-    """(o, rank, id, q): every vector in every ordering, with its rank along the curve."""
+    """(o, rank, id, q, e): every vector in every ordering, with its rank along the curve."""
     state = classes.sparkSession.sparkContext.broadcast(vars(index))
     orderings = curves.orderings
 
@@ -128,11 +135,11 @@ def _ranked(classes: DataFrame, index: _Index, curves: Curves) -> DataFrame:
             for i in range(0, len(batch), 2048):
                 part = batch.iloc[i : i + 2048]
                 m = _matrix(part["v"])
-                q = own.small(m)
+                q, e = own.small(m)
                 for o in range(orderings):
-                    yield pd.DataFrame({"o": o, "key": own.keys(m, o), "id": part["id"].to_numpy(), "q": q})
+                    yield pd.DataFrame({"o": o, "key": own.keys(m, o), "id": part["id"].to_numpy(), "q": q, "e": e})
 
-    keys = classes.mapInPandas(keyed, "o int, key long, id long, q binary")
+    keys = classes.mapInPandas(keyed, "o int, key long, id long, q binary, e double")
     width = max(orderings, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sorted_ = keys.repartitionByRange(width, "o", "key", "id").sortWithinPartitions("o", "key", "id")
 
@@ -142,18 +149,18 @@ def _ranked(classes: DataFrame, index: _Index, curves: Curves) -> DataFrame:
         part, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
             n = len(batch)
-            yield pd.DataFrame({"part": part, "pos": np.arange(seen, seen + n), "o": batch["o"], "id": batch["id"], "q": batch["q"]})
+            yield pd.DataFrame({"part": part, "pos": np.arange(seen, seen + n), **{c: batch[c] for c in ("o", "id", "q", "e")}})
             seen += n
 
     # Stored before ranks are derived, so that a lost task cannot renumber its rows.
-    rows = stored(sorted_.mapInPandas(numbered, "part int, pos long, o int, id long, q binary"))
+    rows = stored(sorted_.mapInPandas(numbered, "part int, pos long, o int, id long, q binary, e double"))
     # One row per partition and ordering: how many come before, and where the ordering begins.
     runs = rows.groupBy("part", "o").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     upto = Window.partitionBy("o").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("base", F.coalesce(F.sum("n").over(upto), F.lit(0)) - F.col("first"))
     starts = stored(runs.select("part", "o", "base"))
     return stored(
-        rows.join(F.broadcast(starts), ["part", "o"]).select("o", (F.col("pos") + F.col("base")).alias("rank"), "id", "q")
+        rows.join(F.broadcast(starts), ["part", "o"]).select("o", (F.col("pos") + F.col("base")).alias("rank"), "id", "q", "e")
     )
 
 
@@ -211,41 +218,39 @@ def search_classes(classes: DataFrame, asked: DataFrame, k: int, curves: Curves)
     tiles = ranked.withColumn("tile", F.floor(F.col("rank") / block))
     wanted = ranked.join(asked.select("id"), "id", "left_semi")
     low, high = F.greatest(F.floor((F.col("rank") - reach) / block), F.lit(0)), F.floor((F.col("rank") + reach) / block)
-    wanted = stored(wanted.select("o", "rank", "id", "q", F.explode(F.sequence(low, high)).alias("tile")))
-    keep = curves.keep
+    wanted = stored(wanted.select("o", "rank", "id", "q", "e", F.explode(F.sequence(low, high)).alias("tile")))
 
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = {"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "low": np.zeros(0), "high": np.zeros(0)}
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "rough": []}).astype({"query_id": "int64", "id": "int64", "rough": "int64"})
-        x = np.frombuffer(b"".join(left["q"]), np.int8).reshape(len(left), -1).astype(np.float32)
-        xx, ids, ranks = (x * x).sum(1), left["id"].to_numpy(), left["rank"].to_numpy()
-        made = []
+            return pd.DataFrame(none)
+        x = np.frombuffer(b"".join(left["q"]), np.int8).reshape(len(left), -1)
+        # Sums of products below 2^24 are exact in single precision.
+        kind = np.float32 if 4 * 127 * 127 * x.shape[1] < 1 << 24 else np.float64
+        x = x.astype(kind)
+        xx, ids, ranks, ex = (x * x).sum(1), left["id"].to_numpy(), left["rank"].to_numpy(), left["e"].to_numpy()
+        made = [pd.DataFrame(none)]
         for i in range(0, len(right), 256):
             part = right.iloc[i : i + 256]
-            m = np.frombuffer(b"".join(part["q"]), np.int8).reshape(len(part), -1).astype(np.float32)
-            d = (m * m).sum(1)[:, None] + xx - 2 * (m @ x.T)
+            m = np.frombuffer(b"".join(part["q"]), np.int8).reshape(len(part), -1).astype(kind)
+            d = np.sqrt(((m * m).sum(1)[:, None] + xx - 2 * (m @ x.T)).astype(np.float64))
+            slack = part["e"].to_numpy()[:, None] + ex
+            low, high = d * (1 - 1e-9) - slack, d * (1 + 1e-9) + slack
             away = np.abs(part["rank"].to_numpy()[:, None] - ranks) > reach
-            d[away | (part["id"].to_numpy()[:, None] == ids)] = np.inf
-            n = min(keep, d.shape[1])
-            best = np.argpartition(d, n - 1, axis=1)[:, :n]
-            rough = np.take_along_axis(d, best, 1)
-            real = np.isfinite(rough)
-            made.append(
-                pd.DataFrame(
-                    {
-                        "query_id": np.repeat(part["id"].to_numpy(), n)[real.ravel()],
-                        "id": ids[best][real],
-                        "rough": rough[real].astype(np.int64),
-                    }
-                )
-            )
+            high[away | (part["id"].to_numpy()[:, None] == ids)] = np.inf
+            n = min(k, high.shape[1])
+            bound = np.partition(high, n - 1, axis=1)[:, n - 1 : n]
+            at, found = np.nonzero((low <= bound) & np.isfinite(high))
+            made.append(pd.DataFrame({"query_id": part["id"].to_numpy()[at], "id": ids[found], "low": low[at, found], "high": high[at, found]}))
         return pd.concat(made)
 
     found = tiles.groupBy("o", "tile").cogroup(wanted.groupBy("o", "tile"))
-    found = found.applyInPandas(near, "query_id long, id long, rough long")
-    merged = found.groupBy("query_id", "id").agg(F.min("rough").alias("rough"))
-    order = Window.partitionBy("query_id").orderBy("rough", "id")
-    short = merged.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= keep).drop("n")
+    found = found.applyInPandas(near, "query_id long, id long, low double, high double")
+    merged = found.groupBy("query_id", "id").agg(F.min("low").alias("low"), F.min("high").alias("high"))
+    order = Window.partitionBy("query_id").orderBy("high", "id")
+    ranks = merged.withColumn("n", F.row_number().over(order))
+    bound = F.max(F.when(F.col("n") <= k, F.col("high"))).over(Window.partitionBy("query_id"))
+    short = ranks.withColumn("bound", bound).filter("low <= bound")
     mine = asked.select(F.col("id").alias("query_id"), F.col("v").alias("a"))
     pairs = stored(short.select("query_id", "id")).join(classes.select("id", F.col("v").alias("b")), "id").join(mine, "query_id")
     scored = pairs.select("query_id", "id", distance(F.col("a"), F.col("b")).alias("score"))

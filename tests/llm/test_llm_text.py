@@ -234,6 +234,25 @@ def test_neighbours_with_ties_copies_and_bad_vectors(spark):
     assert [(r["query_id"], r["rank"]) for r in few.orderBy("rank").collect()] == [(0, 1), (0, 2)]
 
 
+@pytest.mark.parametrize("case", ["near copies", "outlier"])
+def test_neighbours_among_thousands_of_near_copies_and_beside_an_outlier(spark, case):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(3000, 16))
+    if case == "near copies":
+        m[:2500] = m[0] + 0.001 * rng.normal(size=(2500, 16))
+    else:
+        m[-1] *= 1000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    curves = ann.Curves(recall=1.0, sample=3000, trials=3000 if case == "outlier" else 96)
+    got = ann.nearest(df, F.col("id") % 100 == 0, curves=curves).toPandas()
+    hits = 0
+    for q in range(0, 3000, 100):
+        d = np.sqrt(((m - m[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & set(got[got["query_id"] == q]["vec_id"]))
+    assert hits >= 0.95 * 300
+
+
 def test_hilbert_curve_visits_neighbouring_cells():
     bits, d = 3, 3
     cells = np.array(list(itertools.product(range(1 << bits), repeat=d)))
