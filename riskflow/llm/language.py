@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.llm.common import attach, stored
@@ -53,16 +53,27 @@ def triples(text: str, places: _Places) -> np.ndarray:
 def fit_text(docs: DataFrame, rows: int = 8_192, seed: int = 8) -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and log shares of the letter triples (languages x places).
 
-    Learned from at most ``rows`` documents with a language, those with the smallest hash
-    of their text. Each task adds up its own counts; as many rows as languages times
-    places, at most, come to the driver.
+    The languages are those of all documents with a letter. Each is learned from at most
+    ``rows`` distinct texts of its own, those with the smallest hashes, so a rare one is
+    learned from all it has and none falls out. Each task adds up its own counts; as many
+    rows as languages times places, at most, come to the driver.
     """
-    known = docs.filter("lang is not null and text is not null").select("lang", "text")
-    cut = known.select(F.xxhash64(F.lit(seed), "text").alias("h")).distinct().orderBy("h").limit(rows)
-    top = cut.agg(F.max("h")).first()[0]
-    if top is None:
+    known = docs.filter("lang is not null").filter(F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    code = F.xxhash64(F.lit(seed), "text")
+    hashes = stored(known.select("lang", code.alias("h")).distinct())
+    sizes = hashes.groupBy("lang").count().withColumnRenamed("lang", "_lang")
+    # Hashes are even: a language's smallest lie below a share of their range, so that
+    # no task orders a whole language. Twice the share leaves enough for any draw.
+    share = F.least(2.0 * rows / F.col("count"), F.lit(1.0))
+    low = hashes.join(F.broadcast(sizes), F.col("lang") == F.col("_lang")).filter(
+        (share == 1.0) | (F.col("h") / F.lit(2.0**64) + 0.5 <= share)
+    )
+    n = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    tops = stored(low.withColumn("_n", n).filter(F.col("_n") <= rows).groupBy(F.col("lang").alias("_lang")).agg(F.max("h").alias("_top")))
+    langs = sorted(r["_lang"] for r in tops.select("_lang").collect())
+    if not langs:
         return [], np.zeros((0, PLACES))
-    sample = known.filter(F.xxhash64(F.lit(seed), "text") <= top)
+    sample = known.join(F.broadcast(tops), (F.col("lang") == F.col("_lang")) & (code <= F.col("_top"))).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         places, sums = _Places(), {}
@@ -76,7 +87,6 @@ def fit_text(docs: DataFrame, rows: int = 8_192, seed: int = 8) -> tuple[list[st
 
     counted = sample.mapInPandas(count, "lang string, place int, n long")
     found = counted.groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(found["lang"].unique())
     table = np.full((len(langs), PLACES), 0.5)
     for i, lang in enumerate(langs):
         own = found[found["lang"] == lang]

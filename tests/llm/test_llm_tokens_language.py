@@ -72,6 +72,20 @@ def test_languages_of_hard_pages(spark, documents):
     assert len(blind) == len(rows) and {r["lang"] for r in blind} == {None}
 
 
+def test_a_rare_language_is_answered(spark):
+    """One text among 12,000, with a hash beyond the sample's, is learned like any other."""
+    rare = "der schnelle braune fuchs springt über den faulen hund und seine dinge"
+    rows = [("en", f"{EN} {i}") for i in range(6000)] + [("fr", f"{FR} {i}") for i in range(6000)]
+    drawn = spark.createDataFrame([(f"{rare} {i}",) for i in range(50)], "text string")
+    last = drawn.orderBy(F.xxhash64(F.lit(8), "text").desc()).first()["text"]
+    docs = spark.createDataFrame([*rows, ("de", last), ("xx", "12 34")], "lang string, text string")
+    assert language.fit_text(docs)[0] == ["de", "en", "fr"]
+    assert language.fit_text(docs, rows=1)[0] == ["de", "en", "fr"]
+    pages = [(i, f"http://a{i}.site.de/", page("de", rare)) for i in range(5)] + [(9, "http://b.site.com/", page("en", EN))]
+    got = language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()
+    assert {r["page_id"]: (r["declared"], r["lang"]) for r in got} == {i: ("de", "de") for i in range(5)} | {9: ("en", "en")}
+
+
 def test_languages_of_the_given_pages(spark):
     sf = "/root/testdata/sf0.01"
     pages, docs = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("pages", "documents"))
