@@ -6,7 +6,8 @@ Aho-Corasick automaton finds all pieces that end at each place of a word; dynami
 programming carries only the best score, the number of pieces and whether the last one
 is unknown. Ties: of pieces that end at one place with equal sums the longest stays;
 a character without a piece of its own may be unknown, which wins only if it is
-better; unknown characters in a row are one token. Words repeat, so counts are
+better; unknown characters in a row are one token, or one token per UTF-8 byte where the
+vocabulary declares byte fallback. Byte pieces never match text. Words repeat, so counts are
 remembered per worker.
 """
 
@@ -66,11 +67,25 @@ def read_vocabulary(path: str) -> list[tuple[str, float]]:
     return found
 
 
+def byte_fallback(path: str) -> bool:
+    """Whether the model file declares byte fallback (field 35 of its trainer's, field 2) and has all byte pieces (kind 6)."""
+    with open(path, "rb") as f:
+        data = f.read()
+    declared, pieces = False, 0
+    for number, value in _fields(data):
+        if number == 1:
+            pieces += dict(_fields(value)).get(3, 1) == 6
+        elif number == 2:
+            declared = bool(dict(_fields(value)).get(35, 0))
+    return declared and pieces == 256
+
+
 class Counter(dict):
     """Number of tokens by word; counts a new word when it is asked for."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]]) -> None:
+    def __init__(self, vocabulary: list[tuple[str, float]], fallback: bool = False) -> None:
         super().__init__()
+        self.fallback = fallback
         self.pieces = ahocorasick.Automaton()
         for piece, score in vocabulary:
             if piece:
@@ -103,7 +118,8 @@ class Counter(dict):
             if not single:
                 total = best[end - 1] + self.unknown
                 if top is None or total > top:
-                    top, n, odd = total, count[end - 1] + (not strange[end - 1]), True
+                    more = len(word[end - 1].encode()) if self.fallback else not strange[end - 1]
+                    top, n, odd = total, count[end - 1] + more, True
             best.append(top)
             count.append(n)
             strange.append(odd)
@@ -123,11 +139,11 @@ _WORDS = re.compile(f"{MARK}[^{MARK}]*")
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY, text: str = "text") -> Column:
     """Tokens of each whole text. The vocabulary, one file, is read on the driver and broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    shared = docs.sparkSession.sparkContext.broadcast((read_vocabulary(path), byte_fallback(path)))
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = Counter(shared.value)
+        counter = Counter(*shared.value)
         for batch in batches:
             yield pd.Series([counter.count_text(t) for t in batch], dtype="int64")
 

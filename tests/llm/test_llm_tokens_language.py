@@ -29,6 +29,20 @@ def test_counts_equal_the_tokenizer(vocabulary):
     assert [t for t in texts if count.count_text(t) != want(t)] == []
 
 
+def test_unknown_characters_fall_back_to_bytes(spark):
+    least = min(s for _, s in VOCABULARY)
+    more = [(f"<0x{b:02X}>", 0.0) for b in range(256)]
+    made = Tokenizer(models.Unigram([("<unk>", least), *VOCABULARY, *more], 0, True))
+    made.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always")
+    assert tokens.byte_fallback(tokens.VOCABULARY)
+    source = random.Random(5)
+    texts = ["", "a\n\nb", "𐍈", "𐍈𐍈 𐍈\x01", "日本\n語"]
+    texts += ["".join(source.choices("abab ▁cé\n日𐍈\x02", k=source.randint(1, 40))) for _ in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs).collect()}
+    assert got == {i: len(made.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_counts_of_hard_rows(spark):
     rows = [(1, None), (2, ""), (3, "some words"), (3, "some words"), (None, "x"), (4, "word " * 50_000)]
     docs = spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, text string, n_tokens string")
