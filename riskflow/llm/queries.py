@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import ann, chat, decontaminate, language, mixing, quality, simhash, tokens, toxicity, urls
+from riskflow.llm import ann, chat, decontaminate, language, mixing, quality, rules, simhash, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -207,3 +207,56 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_language_id")
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+@_query(
+    "op12_quality_rules",
+    r"""
+    WITH d AS (SELECT doc_id, lang, COALESCE(text, '') AS text, row_number() OVER () AS r FROM documents),
+    w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+                 list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, text FROM d),
+    spots AS (SELECT r, s, array_to_string(w[s:s + 2], ' ') AS win
+              FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS s FROM w WHERE len(w) >= 3)),
+    twice AS (SELECT r, win FROM spots GROUP BY r, win HAVING COUNT(*) > 1),
+    rep AS (SELECT r, COUNT(DISTINCT p) AS n FROM (SELECT r, unnest(range(s, s + 3)) AS p FROM spots JOIN twice USING (r, win)) GROUP BY r),
+    m AS (
+      SELECT d.doc_id, d.lang, d.r, len(w.w)::BIGINT AS n_words, COALESCE(list_sum(list_transform(w.w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             (length(w.text) - length(regexp_replace(w.text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, COALESCE(rep.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines
+      FROM d JOIN w USING (r) LEFT JOIN rep USING (r)),
+    b AS (
+      SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+             LEAST(COALESCE(word_chars * 100 // NULLIF(n_words, 0), 0), 10000) AS len100,
+             [COALESCE(n_symbols * 10000 // NULLIF(word_chars, 0), 0), COALESCE(n_dup_lines * 10000 // NULLIF(n_lines, 0), 0),
+              COALESCE(n_repeat_words * 10000 // NULLIF(n_words, 0), 0), len100, 10000 - len100] AS v FROM m),
+    l AS (SELECT doc_id, MAX(quality) AS label FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+    k AS (SELECT b.*, label, ('0x' || substr(md5(doc_id::VARCHAR), 1, 1))::INT % 2 = 1 AS holdout FROM b JOIN l USING (doc_id) WHERE NOT base_failed),
+    rungs(j, share) AS (VALUES (0, 0), (1, 1), (2, 2), (3, 3), (4, 5), (5, 8), (6, 12), (7, 20)),
+    h AS (
+      SELECT lang, i, v[i] AS x, COUNT(*) FILTER (label = 1) AS g, COUNT(*) FILTER (label = 0) AS bad
+      FROM k, range(1, 6) AS q(i) WHERE NOT holdout GROUP BY ALL),
+    c AS (
+      SELECT *, COALESCE(SUM(g) OVER o, 0) AS ga, COALESCE(SUM(bad) OVER o, 0) AS ba, SUM(g) OVER p AS ng, SUM(bad) OVER p AS nb
+      FROM h WINDOW o AS (PARTITION BY lang, i ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), p AS (PARTITION BY lang, i)),
+    cut AS (
+      SELECT lang, i, j, MIN(x) AS x, arg_min(ga, x) AS lost, arg_min(ba, x) AS caught, MAX(ng) AS ng, MAX(nb) AS nb
+      FROM c, rungs WHERE g > 0 AND ga * 1000 <= ng * share GROUP BY lang, i, j),
+    used AS (SELECT cut.* FROM cut JOIN (SELECT lang AS ul, i AS ui FROM cut WHERE j = 7 AND caught * ng > lost * nb)
+             ON ul IS NOT DISTINCT FROM lang AND ui = i),
+    hit AS (SELECT b.r, MIN(j) AS j FROM b JOIN used ON used.lang IS NOT DISTINCT FROM b.lang AND b.v[used.i] > used.x GROUP BY b.r),
+    t AS (SELECT k.lang, hit.j FROM k LEFT JOIN hit USING (r) WHERE holdout AND label = 1),
+    n AS (SELECT lang, COUNT(*) AS n FROM t GROUP BY lang),
+    lost AS (SELECT n.lang, n.n, rungs.j, (SELECT COUNT(*) FROM t WHERE t.lang IS NOT DISTINCT FROM n.lang AND t.j <= rungs.j) AS lost FROM n, rungs),
+    cdf AS (
+      SELECT lang, i, SUM(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02) + (n - i) * ln(0.98))) OVER (PARTITION BY lang ORDER BY i) AS p
+      FROM (SELECT lang, n, unnest(range(0, ceil(n * 0.02)::BIGINT + 1)) AS i FROM n)),
+    crit AS (SELECT lang, MAX(i) AS most FROM cdf WHERE p <= 0.05 / (SELECT COUNT(*) FROM n) GROUP BY lang),
+    best AS (SELECT lost.lang, MAX(j) AS j FROM lost JOIN crit ON crit.lang IS NOT DISTINCT FROM lost.lang AND lost.lost <= most GROUP BY lost.lang)
+    SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND COALESCE(hit.j > best.j, TRUE) AS kept
+    FROM b LEFT JOIN hit USING (r) LEFT JOIN best ON best.lang IS NOT DISTINCT FROM b.lang
+    """,
+)
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return rules.judge(docs, _table(spark, sf_dir, "labels")).drop("stratum", "n_lines")
