@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import ann, chat, decontaminate, language, mixing, quality, rules, simhash, tokens, toxicity, urls
+from riskflow.llm import ann, chat, decontaminate, language, mixing, negatives, quality, rules, simhash, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -251,7 +251,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT lang, i, SUM(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02) + (n - i) * ln(0.98))) OVER (PARTITION BY lang ORDER BY i) AS p
       FROM (SELECT lang, n, unnest(range(0, ceil(n * 0.02)::BIGINT + 1)) AS i FROM n)),
     crit AS (SELECT lang, MAX(i) AS most FROM cdf WHERE p <= 0.05 / (SELECT COUNT(*) FROM n) GROUP BY lang),
-    best AS (SELECT lost.lang, MAX(j) AS j FROM lost JOIN crit ON crit.lang IS NOT DISTINCT FROM lost.lang AND lost.lost <= most GROUP BY lost.lang)
+    caught AS (SELECT k.lang, rungs.j, COUNT(*) AS n FROM k JOIN hit USING (r) JOIN rungs ON hit.j <= rungs.j WHERE NOT holdout AND label = 0 GROUP BY ALL),
+    best AS (
+      SELECT lost.lang, arg_min(lost.j, COALESCE(caught.n, 0) * -100 + lost.j) AS j
+      FROM lost JOIN crit ON crit.lang IS NOT DISTINCT FROM lost.lang AND lost.lost <= most
+      LEFT JOIN caught ON caught.lang IS NOT DISTINCT FROM lost.lang AND caught.j = lost.j GROUP BY lost.lang)
     SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
            NOT base_failed AND COALESCE(hit.j > best.j, TRUE) AS kept
     FROM b LEFT JOIN hit USING (r) LEFT JOIN best ON best.lang IS NOT DISTINCT FROM b.lang
@@ -260,3 +264,28 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return rules.judge(docs, _table(spark, sf_dir, "labels")).drop("stratum", "n_lines")
+
+
+@_query(
+    "op13_hard_negatives",
+    r"""
+    WITH e AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS s
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+    n AS (
+      SELECT p.a AS anchor_id, p.b AS positive_id, s.b AS negative_id, p.s AS positive_score, s.s AS negative_score,
+             row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b)::INT AS rank
+      FROM p JOIN s ON s.a = p.a AND NOT same AND 80 * p.s <= 100 * s.s AND 100 * s.s <= 100 * p.s)
+    SELECT * FROM n WHERE rank <= 5
+    """,
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=moved)

@@ -12,8 +12,9 @@ of their id. Per stratum
    limit is at most ``delta`` divided by the number of strata (Bonferroni); rungs are
    tested from the mildest on and the first failure ends the climb (a fixed sequence,
    which needs no further correction);
-3. the highest certified rung decides for the stratum. A stratum with too few labels has
-   none and its rules reject nothing.
+3. of the certified rungs the one that rejects the most bad proposals decides for the
+   stratum, the mildest of several. A stratum with too few labels has none and its rules
+   reject nothing.
 
 With probability 1 - ``delta`` no stratum loses more than ``risk`` of its good documents
 to the rules, as far as its labelled documents are independent draws.
@@ -152,12 +153,12 @@ def critical_count(n: Column, risk: float, log_delta: Column) -> Column:
 
 
 def _rung(cutoffs: Column) -> Column:
-    """First rung on which some rule rejects the row; the number of rungs if none does."""
-    values = rule_values()
-    by_rule = [
-        F.coalesce(F.size(F.filter(cutoffs[name], lambda c, v=v: v <= c)), F.lit(2**31 - 1)) for name, v in values.items()
-    ]
-    return F.least(*by_rule)
+    """First rung on which some rule rejects the row; a number beyond the last if none does."""
+
+    def passed(name: str, value: Column) -> Column:
+        return F.coalesce(F.size(F.filter(cutoffs[name], lambda c: value <= c)), F.lit(2**31 - 1))
+
+    return F.least(*[passed(name, value) for name, value in rule_values().items()])
 
 
 def fit_cutoffs(rows: DataFrame, labels: DataFrame, risk: Risk | None = None, column: str = "quality") -> DataFrame:
@@ -192,17 +193,17 @@ def fit_cutoffs(rows: DataFrame, labels: DataFrame, risk: Risk | None = None, co
     by_rule = [F.max(F.when(F.col("rule") == n, F.col("cutoffs"))).alias(n) for n in names]
     ladder = stored(ladder.groupBy("stratum").agg(*by_rule).select("stratum", F.struct(*names).alias("cutoffs")))
 
-    tested = attach(known.filter("holdout and label = 1"), ladder, "stratum")
-    rungs = tested.withColumn("rung", _rung(F.col("cutoffs"))).groupBy("stratum")
-    lost = [F.count(F.when(F.col("rung") <= j, 1)).alias(f"lost{j}") for j in range(len(risk.rungs))]
-    counts = rungs.agg(F.count("*").alias("n_good"), *lost)
-    strata = stored(counts)
+    # Good holdouts are at risk; bad proposals tell which certified rung is of most use.
+    tested = attach(known.filter("holdout = (label = 1)"), ladder, "stratum").withColumn("rung", _rung(F.col("cutoffs")))
+    steps = range(len(risk.rungs))
+    counts = [F.count(F.when((F.col("label") == y) & (F.col("rung") <= j), 1)).alias(f"{c}{j}") for j in steps for c, y in (("lost", 1), ("caught", 0))]
+    strata = stored(tested.groupBy("stratum").agg(good.alias("n_good"), *counts).filter("n_good > 0"))
     share = F.log(F.lit(risk.delta) / F.lit(max(strata.count(), 1)))
     strata = strata.withColumn("most", critical_count(F.col("n_good"), risk.risk, share))
-    # The counts grow with the rung, so the highest rung within the bound ends the sequence.
-    passed = F.array_max(F.array(F.lit(None).cast("int"), *[F.when(F.col(f"lost{j}") <= F.col("most"), j) for j in range(len(risk.rungs))]))
-    strata = strata.withColumn("rung", passed)
-    lost = F.get(F.array(*[f"lost{j}" for j in range(len(risk.rungs))]), F.col("rung")).alias("n_lost")
+    # The losses grow with the rung, so the rungs within the bound are those before the first failure.
+    certified = [F.when(F.col(f"lost{j}") <= F.col("most"), F.struct(F.col(f"caught{j}").alias("caught"), F.lit(-j).alias("j"))) for j in steps]
+    strata = strata.withColumn("rung", -F.array_max(F.array(*certified))["j"])
+    lost = F.get(F.array(*[f"lost{j}" for j in steps]), F.col("rung")).alias("n_lost")
     model = ladder.withColumnRenamed("stratum", "s")
     model = strata.join(model, F.col("stratum").eqNullSafe(F.col("s")), "left")
     cutoff = F.struct(*[F.get(F.col("cutoffs")[n], F.col("rung")).alias(n) for n in names]).alias("cutoff")
