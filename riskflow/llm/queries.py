@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm import ann, chat, decontaminate, language, mixing, negatives, quality, rules, simhash, tokens, toxicity, urls
+from riskflow.llm import ann, chat, decontaminate, language, mixing, negatives, phrases, quality, rules, simhash, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -289,3 +289,36 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=moved)
+
+
+@_query(
+    "op11_collocations",
+    r"""
+    WITH t AS (
+      SELECT COALESCE(lang, 'und') AS lang, row_number() OVER () AS r,
+             translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+          FROM (SELECT lang, r, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
+    g AS (
+      SELECT lang, m, array_to_string(w[s:s + m - 1], ' ') AS phrase
+      FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM p, range(1, 5) AS q(m) WHERE len(w) >= m)),
+    f AS (SELECT lang, m, phrase, COUNT(*) AS f FROM g GROUP BY ALL),
+    n AS (SELECT lang, SUM(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+    c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+    inner_ AS (
+      SELECT lang, array_to_string(w[s:s + k - 1], ' ') AS phrase, MAX(a) AS longer
+      FROM (SELECT lang, w, a, m, k, unnest(range(1, m - k + 2)) AS s FROM c, range(2, 4) AS q(k) WHERE k < m) GROUP BY ALL),
+    kept AS (SELECT c.* FROM c LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+    cuts AS (
+      SELECT lang, phrase, a, k, array_to_string(w[:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS last
+      FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+    s AS (
+      SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+      FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first JOIN f y ON y.lang = cuts.lang AND y.phrase = last),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM b JOIN n USING (lang) QUALIFY rank <= 2000
+    """,
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
