@@ -11,11 +11,13 @@ and hand them on as (prefix, next, count), one row per entry: a prefix with a th
 all words spreads over all tasks when stripes are merged element by element, and its
 total is another grouping set of the same shuffle.
 
-Prefixes grow word by word, one pass over the texts each. A phrase can be frequent only
-if its first and its last words are, so a pass builds only stripes whose prefix was
-frequent, and in them only entries whose last L words were. Tasks know that from a bitmap
-of hashes, sized by the number of frequent phrases: a wrong "yes" costs a row, which the
-exact counts then drop, so no bound of the bitmap changes a result.
+Texts are read three times. A phrase can be frequent only if its first and its last words
+are, so stripes hold only entries that may be frequent: first 64-bit hashes of words and
+word pairs are counted, then the stripes of prefixes of one and two words are built, then
+those of three. What may be frequent, tasks know from bitmaps of hashes, sized by the
+number of frequent phrases. Hashes that coincide and bitmaps that are full can only say
+yes too often; such a yes costs a row, which the exact counts then drop, so neither
+changes a result.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ _BYTES = bytes(
     0xFF if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256)
 )
 #: Bytes of a text whose words are listed at a time, and codes, entries and words kept by a task.
-_CHUNK, _CODES, _ENTRIES, _WORDS = 1 << 20, 1 << 20, 1 << 21, 1 << 20
+_CHUNK, _CODES, _ENTRIES, _WORDS = 1 << 18, 1 << 18, 1 << 19, 1 << 18
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,130 +100,192 @@ class Known:
         return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def known_phrases(phrases: DataFrame, size: int, per_phrase: int = 32, most: int = 27) -> Known:
-    """Bitmap of (lang, phrase) with ``per_phrase`` bits for each, of at most 2^``most`` bits.
+def bitmap(places: DataFrame, size: int, per_phrase: int = 32, most: int = 27) -> Known:
+    """Bitmap of stored 64-bit hashes ``h``, with ``per_phrase`` bits for each, of at most 2^``most`` bits.
 
     Only the bitmap comes to the driver, in words of 64 bits.
     """
-    n = max(phrases.count(), 1)
+    n = max(places.count(), 1)
     power = min(max((n * per_phrase - 1).bit_length(), 16), most)
-    shift = 64 - power
+    at = F.shiftrightunsigned("h", 64 - power)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - power}) & 63 as int))")
+    found = places.groupBy(F.shiftright(at, 6).alias("place")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    table = np.zeros(1 << (power - 6), np.int64)
+    table[found["place"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return Known(size, table.view(np.uint8), 64 - power)
+
 
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def phrase_hashes(phrases: DataFrame, size: int) -> DataFrame:
+    """Hash ``h`` of each (lang, phrase) of ``size`` words, as tasks compute it. Stored."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seeds = {x: xxhash.xxh64_intdigest(x.encode()) for x in batch["lang"].unique()}
-            rows = [[xxhash.xxh64_intdigest(w, seeds[l]) for w in p.encode().split(b" ")] for l, p in zip(batch["lang"], batch["phrase"], strict=True)]
+            pairs = zip(batch["lang"], batch["phrase"], strict=True)
+            rows = [[xxhash.xxh64_intdigest(w, seeds[x]) for w in p.encode().split(b" ")] for x, p in pairs]
             table = np.array(rows, np.uint64).reshape(len(rows), size)
-            at = _mixed([table[:, i] for i in range(size)]) >> np.uint64(shift)
-            yield pd.DataFrame({"place": (at >> np.uint64(6)).astype(np.int64), "bit": np.left_shift(np.uint64(1), at & np.uint64(63)).view(np.int64)})
+            yield pd.DataFrame({"h": _mixed([table[:, i] for i in range(size)]).view(np.int64)})
 
-    found = phrases.select("lang", "phrase").mapInPandas(places, "place long, bit long")
-    found = found.groupBy("place").agg(F.bit_or("bit").alias("bits")).toPandas()
-    table = np.zeros(1 << (power - 6), np.int64)
-    table[found["place"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return Known(size, table.view(np.uint8), shift)
+    return stored(phrases.select("lang", "phrase").mapInPandas(of, "h long"))
+
+
+def likely(texts: DataFrame, fewest: int) -> list[Known]:
+    """Bitmaps of the words and of the word pairs that occur ``fewest`` times or more, by counts of hashes."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, hashes, langs, codes, held = [], [], {}, [], [(), ()]
+        size = kept = 0
+
+        def fold() -> None:
+            c, h = np.concatenate(codes), np.fromiter(hashes, np.uint64, len(hashes))
+            codes.clear()
+            if not len(h):
+                return
+            word = h[np.maximum(c, 0)]
+            for i, found in enumerate((_mixed([word])[c >= 0], _mixed([word[:-1], word[1:]])[(c[:-1] >= 0) & (c[1:] >= 0)])):
+                held[i] = _sum_hashes(held[i], np.unique(found, return_counts=True))
+
+        def rows() -> Iterator[pd.DataFrame]:
+            for i, part in enumerate(held):
+                if part:
+                    yield pd.DataFrame({"size": i + 1, "h": part[0].view(np.int64), "n": part[1]})
+
+        for batch in batches:
+            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+                if lang not in langs:
+                    langs[lang] = _Codes(lang, names, hashes)
+                codes.append(codes_of(text, langs[lang]))
+                size += len(codes[-1])
+                if size > _CODES:
+                    fold()
+                    size, kept = 0, sum(len(x[0]) for x in held if x)
+                if kept > _ENTRIES or len(names) > _WORDS:
+                    if codes:
+                        fold()
+                    yield from rows()
+                    langs, held, size, kept = {}, [(), ()], 0, 0
+                    names.clear()
+                    hashes.clear()
+        if codes:
+            fold()
+        yield from rows()
+
+    made = texts.mapInPandas(count, "size int, h long, n long").groupBy("size", "h").agg(F.sum("n").alias("n"))
+    found = stored(made.filter(F.col("n") >= fewest).select("size", "h"))
+    return [bitmap(found.filter(F.col("size") == i), i) for i in (1, 2)]
+
+
+def _sum_hashes(a: tuple, b: tuple) -> tuple:
+    if not a:
+        return b
+    h, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.add.reduceat(n, first) if len(h) else n
+
+
+def _sum_rows(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((low, high))
+    high, low, n = high[order], low[order], n[order]
+    first = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
+    return high[first], low[first], np.add.reduceat(n, first)
 
 
 @dataclass
 class _Tally:
-    """Stripes of one task for prefixes of ``size`` words."""
+    """Stripes of one task, for prefixes of each of ``sizes`` words."""
 
-    size: int
-    known: Known | None
+    sizes: tuple[int, ...]
+    known: list[Known]
     names: list = field(default_factory=list)
     hashes: list = field(default_factory=list)
     langs: dict = field(default_factory=dict)
+    words: dict = field(default_factory=dict)
     codes: list = field(default_factory=list)
+    folded: dict = field(default_factory=dict)
     n_codes: int = 0
-    folded: list = field(default_factory=list)
-    n_folded: int = 0
 
     def add(self, lang: str, text: str) -> None:
         if lang not in self.langs:
             self.langs[lang] = _Codes(lang, self.names, self.hashes)
         found = codes_of(text, self.langs[lang])
+        self.words[lang] = self.words.get(lang, 0) + int((found >= 0).sum())
         self.codes.append(found)
         self.n_codes += len(found)
         if self.n_codes > _CODES:
             self.fold()
 
     def fold(self) -> None:
-        """The stripes of the codes at hand, as rows (first words, last words, count)."""
-        c = np.concatenate(self.codes) if self.codes else np.zeros(0, np.int64)
+        """Adds the stripes of the codes at hand, as rows (first words, last words, count)."""
+        if self.codes and self.hashes:
+            c = np.concatenate(self.codes)
+            word = np.fromiter(self.hashes, np.uint64, len(self.hashes))[np.maximum(c, 0)]
+            for size in self.sizes:
+                self._fold(size, c, word)
         self.codes, self.n_codes = [], 0
-        m = len(c) - self.size
+
+    def _fold(self, size: int, c: np.ndarray, word: np.ndarray) -> None:
+        known = self.known[size - 1]
+        m = len(c) - size
         if m < 1:
             return
-        w = [c[i : i + m] for i in range(self.size + 1)]
-        take = np.logical_and.reduce([x >= 0 for x in w[:-1]])
-        follows = w[-1]
-        if self.known is not None:
-            h = np.fromiter(self.hashes, np.uint64, len(self.hashes))
-            if not len(h):
-                return
-            parts = h[np.maximum(c, 0)]
-            # The phrase that starts at each place, known or not.
-            some = self.known.test([parts[i : i + m + 1] for i in range(self.size)])
-            take &= some[:m]
-            follows = np.where(some[1:], follows, -1)
+        take = np.logical_and.reduce([c[i : i + m] >= 0 for i in range(size)])
+        take &= known.test([word[i : i + m] for i in range(size)])
         at = np.flatnonzero(take)
         if not len(at):
             return
-        prefix = [x[at] for x in w[:-1]]
-        high = prefix[0]
-        for x in prefix[1:-1] if self.size > 2 else []:
-            high = high << 32 | x
-        low = (prefix[-1] << 32 if self.size > 1 else 0) | (follows[at] + 1)
-        high = high if self.size > 1 else prefix[0]
-        self.folded.append(_sum_rows(high, low, np.ones(len(at), np.int64)))
-        self.n_folded += len(self.folded[-1][0])
-        if self.n_folded > _ENTRIES:
-            self.folded = [_sum_rows(*[np.concatenate(x) for x in zip(*self.folded, strict=True)])]
-            self.n_folded = len(self.folded[0][0])
+        follows = c[at + size]
+        # An entry of its own if the last words may be frequent: pairs for one word, else as many as the prefix has.
+        last = self.known[1] if size == 1 else known
+        parts = [word[at + size - last.size + 1 + i] for i in range(last.size)]
+        follows = np.where((follows >= 0) & last.test(parts), follows, -1)
+        high = c[at] if size < 3 else c[at] << 32 | c[at + 1]
+        low = (c[at + size - 1] << 32 if size > 1 else 0) | (follows + 1)
+        rows = self.folded.setdefault(size, [])
+        rows.append(_sum_rows(high, low, np.ones(len(at), np.int64)))
+        if len(rows) > 1 and sum(len(x[0]) for x in rows) > _ENTRIES:
+            rows[:] = [_sum_rows(*[np.concatenate(x) for x in zip(*rows, strict=True)])]
 
     @property
     def full(self) -> bool:
-        return 2 * self.n_folded > _ENTRIES or len(self.names) > _WORDS
+        return 2 * sum(len(x[0]) for rows in self.folded.values() for x in rows) > _ENTRIES or len(self.names) > _WORDS
 
     def flush(self) -> Iterator[pd.DataFrame]:
-        """Entries of all stripes so far, the rest as a null next word; the tally is empty afterwards."""
+        """Entries of all stripes so far, the rest as a null next word, and numbers of words; leaves nothing."""
         self.fold()
-        if self.folded:
-            high, low, n = _sum_rows(*[np.concatenate(x) for x in zip(*self.folded, strict=True)])
-            text = [w.decode() for _, w in self.names]
-            lang = [x for x, _ in self.names]
-            for i in range(0, len(n), 1 << 16):
-                a, b = high[i : i + (1 << 16)], low[i : i + (1 << 16)]
-                words = [a] if self.size == 1 else [a, b >> 32] if self.size == 2 else [a >> 32, a & 0xFFFFFFFF, b >> 32]
-                follows = (b & 0xFFFFFFFF) - 1
+        for size, rows in self.folded.items():
+            high, low, n = _sum_rows(*[np.concatenate(x) for x in zip(*rows, strict=True)])
+            for i in range(0, len(n), 1 << 15):
+                a, b = high[i : i + (1 << 15)], low[i : i + (1 << 15)]
+                words = [a] if size == 1 else [a, b >> 32] if size == 2 else [a >> 32, a & 0xFFFFFFFF, b >> 32]
+                spelt = [[self.names[x][1].decode() for x in w] for w in words]
+                follows = [self.names[x][1].decode() if x >= 0 else None for x in (b & 0xFFFFFFFF) - 1]
                 yield pd.DataFrame(
                     {
-                        "lang": [lang[x] for x in words[0]],
-                        "prefix": [" ".join([text[x] for x in p]) for p in zip(*words, strict=True)],
-                        "next": [text[x] if x >= 0 else None for x in follows],
-                        "n": n[i : i + (1 << 16)],
+                        "size": size,
+                        "lang": [self.names[x][0] for x in words[0]],
+                        "prefix": spelt[0] if size == 1 else [" ".join(p) for p in zip(*spelt, strict=True)],
+                        "next": pd.Series(follows, dtype=object),
+                        "n": n[i : i + (1 << 15)],
                     }
                 )
-        self.folded, self.n_folded, self.langs = [], 0, {}
+        if self.words:
+            yield pd.DataFrame({"size": 0, "lang": list(self.words), "prefix": None, "next": None, "n": list(self.words.values())})
+        self.folded, self.langs, self.words = {}, {}, {}
         self.names.clear()
         self.hashes.clear()
 
 
-def _sum_rows(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((low, high))
-    high, low, n = high[order], low[order], n[order]
-    first = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
-    return high[first], low[first], np.add.reduceat(n, first)
-
-
-def stripes(texts: DataFrame, size: int, known: Known | None, fewest: int) -> DataFrame:
-    """(lang, prefix, next, n, kind): merged entries (kind 0) and totals (kind 1) of at least ``fewest``,
-    and the number of words of each language (kind 3) where ``size`` is 1. Stored.
+def stripes(texts: DataFrame, sizes: tuple[int, ...], known: list[Known], fewest: int) -> DataFrame:
+    """(size, lang, prefix, next, n, kind): merged entries (kind 0) and totals (kind 1) of at least
+    ``fewest``; of size 0, the words of each language. Stored. ``known`` has a bitmap for each
+    size of prefix, and for pairs.
     """
     shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tally = _Tally(size, shared.value)
+        tally = _Tally(sizes, shared.value)
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 tally.add(lang, text)
@@ -229,11 +293,12 @@ def stripes(texts: DataFrame, size: int, known: Known | None, fewest: int) -> Da
                     yield from tally.flush()
         yield from tally.flush()
 
-    made = texts.mapInPandas(count, "lang string, prefix string, next string, n long")
-    sets = [["lang", "prefix", "next"], ["lang", "prefix"], *([["lang"]] if size == 1 else [])]
-    merged = made.groupingSets([[F.col(c) for c in s] for s in sets], "lang", "prefix", "next")
+    made = texts.mapInPandas(count, "size int, lang string, prefix string, next string, n long")
+    keys = ["size", "lang", "prefix", "next"]
+    merged = made.groupingSets([[F.col(c) for c in s] for s in (keys, keys[:-1])], *keys)
     merged = merged.agg(F.sum("n").alias("n"), F.grouping_id().cast("int").alias("kind"))
-    return stored(merged.filter((F.col("kind") == 3) | ((F.col("n") >= fewest) & ((F.col("kind") == 1) | F.col("next").isNotNull()))))
+    entry = (F.col("kind") == 1) | F.col("next").isNotNull()
+    return stored(merged.filter(((F.col("size") == 0) & (F.col("kind") == 1)) | ((F.col("size") > 0) & (F.col("n") >= fewest) & entry)))
 
 
 def _tail(phrase: Column | str) -> Column:
@@ -249,25 +314,21 @@ def phrase_counts(docs: DataFrame, fewest: int = FEWEST, longest: int = LONGEST)
     if not 2 <= longest <= 4:
         raise ValueError("phrases of up to 2, 3 or 4 words")
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    known, found, longer, sums = None, [], [], None
-    for size in range(1, longest):
-        rows = stripes(texts, size, known, fewest)
-        entries = rows.filter("kind = 0").select("lang", "prefix", F.concat_ws(" ", "prefix", "next").alias("phrase"), "n")
-        if size == 1:
-            sums = rows.filter("kind = 3").select("lang", "n")
-        found.append(rows.filter("kind = 1").select("lang", F.lit(size).alias("size"), F.col("prefix").alias("phrase"), F.col("n").alias("f")))
-        if size > 1:
-            longer += [entries.select("lang", F.col("prefix").alias("phrase"), "n"), entries.select("lang", _tail("phrase").alias("phrase"), "n")]
-        if size + 1 < longest:
-            known = known_phrases(entries.select("lang", "phrase"), size + 1)
-    found.append(entries.select("lang", F.lit(longest).alias("size"), "phrase", F.col("n").alias("f")))
-    counts = found[0]
-    for x in found[1:]:
-        counts = counts.unionByName(x)
-    nothing = counts.limit(0).select("lang", "phrase", F.col("f").alias("n"))
-    for x in longer:
-        nothing = nothing.unionByName(x)
-    most = nothing.groupBy("lang", "phrase").agg(F.max("n").alias("longer"))
+    known = likely(texts, fewest)
+    rows = stripes(texts, tuple(range(1, min(longest, 3))), known, fewest)
+    sums = rows.filter("size = 0").select("lang", "n")
+    phrase = F.concat_ws(" ", "prefix", "next").alias("phrase")
+    if longest == 4:
+        triples = rows.filter("size = 2 and kind = 0").select("lang", phrase)
+        known.append(bitmap(phrase_hashes(triples, 3), 3))
+        rows = rows.unionByName(stripes(texts, (3,), known, fewest).filter("size > 0"))
+    totals = rows.filter("size > 0 and kind = 1").select("lang", "size", F.col("prefix").alias("phrase"), F.col("n").alias("f"))
+    entries = rows.filter("size > 0 and kind = 0").select("lang", "size", "prefix", phrase, "n")
+    ends = entries.filter(F.col("size") == longest - 1).select("lang", F.lit(longest).alias("size"), "phrase", F.col("n").alias("f"))
+    counts = totals.unionByName(ends)
+    held = entries.filter("size > 1")
+    held = held.select("lang", F.col("prefix").alias("phrase"), "n").unionByName(held.select("lang", _tail("phrase").alias("phrase"), "n"))
+    most = held.groupBy("lang", "phrase").agg(F.max("n").alias("longer"))
     return stored(counts.join(most, ["lang", "phrase"], "left").select("lang", "size", "phrase", "f", "longer")), sums
 
 

@@ -31,7 +31,7 @@ def quality_corpus():
     source, rows, labels = random.Random(3), [], []
     for i in range(1500):
         lang = "en" if i % 3 else "fr" if i % 2 else None
-        n, bad = source.randrange(51, 120), i % 9 == 0
+        n, bad = source.randrange(51, 120), i % 7 == 0
         words = ["".join(source.choices("abcdefg", k=source.randrange(3, 8))) for _ in range(n)]
         if bad:
             words = [w + "|" for w in words] if i % 2 else [w * 3 for w in words]
@@ -188,10 +188,11 @@ def test_collocations_against_plain_python(spark, monkeypatch):
 
 def test_a_full_bitmap_changes_no_result(spark):
     texts = spark.createDataFrame([(f"t{i % 11} t{i % 7} t{i % 5} t{i % 3} t{i % 2}", "en") for i in range(3000)], "text string, lang string")
-    known = phrases.known_phrases(phrases.stripes(texts, 1, None, 30).filter("kind = 0").select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase")), 2)
-    full = phrases.Known(2, np.full_like(known.bits, 255), known.shift)
-    narrow, wide = (sorted(map(tuple, phrases.stripes(texts, 2, k, 30).collect())) for k in (known, full))
+    known = phrases.likely(texts, 30)
+    full = [phrases.Known(k.size, np.full_like(k.bits, 255), k.shift) for k in known]
+    narrow, wide = (sorted(map(repr, phrases.stripes(texts, (1, 2), k, 30).collect())) for k in (known, full))
     assert narrow == wide and len(narrow) > 50
+    assert min(k.bits.size for k in known) == 1 << 13
 
 
 def mined(rows, anchors, positives=5, negatives_=5):
