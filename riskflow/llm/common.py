@@ -67,3 +67,14 @@ def held_out(modulus: int, rest: int, key: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves ``rest``; false without an id."""
     code = F.crc32(F.col(key).cast("string").cast("binary"))
     return F.coalesce(code % modulus == rest, F.lit(False))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be none of the frame's columns."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskflow.llm.bits import Bits, bitmap
 from riskflow.llm.common import BROADCAST_ROWS, stored
 
 #: Limits of the data contract.
@@ -89,30 +90,13 @@ def _mixed(parts: list[np.ndarray]) -> np.ndarray:
 
 @dataclass
 class Known:
-    """A bitmap of hashes of phrases of ``size`` words; may say yes to others."""
+    """Phrases of ``size`` words that may be frequent, by their hashes."""
 
     size: int
-    bits: np.ndarray
-    shift: int
+    bits: Bits
 
     def test(self, parts: list[np.ndarray]) -> np.ndarray:
-        at = _mixed(parts) >> np.uint64(self.shift)
-        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def bitmap(places: DataFrame, size: int, per_phrase: int = 32, most: int = 27) -> Known:
-    """Bitmap of stored 64-bit hashes ``h``, with ``per_phrase`` bits for each, of at most 2^``most`` bits.
-
-    Only the bitmap comes to the driver, in words of 64 bits.
-    """
-    n = max(places.count(), 1)
-    power = min(max((n * per_phrase - 1).bit_length(), 16), most)
-    at = F.shiftrightunsigned("h", 64 - power)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - power}) & 63 as int))")
-    found = places.groupBy(F.shiftright(at, 6).alias("place")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    table = np.zeros(1 << (power - 6), np.int64)
-    table[found["place"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return Known(size, table.view(np.uint8), 64 - power)
+        return self.bits.test(_mixed(parts))
 
 
 def phrase_hashes(phrases: DataFrame, size: int) -> DataFrame:
@@ -172,7 +156,7 @@ def likely(texts: DataFrame, fewest: int) -> list[Known]:
 
     made = texts.mapInPandas(count, "size int, h long, n long").groupBy("size", "h").agg(F.sum("n").alias("n"))
     found = stored(made.filter(F.col("n") >= fewest).select("size", "h"))
-    return [bitmap(found.filter(F.col("size") == i), i) for i in (1, 2)]
+    return [Known(i, bitmap(found.filter(F.col("size") == i))) for i in (1, 2)]
 
 
 def _sum_hashes(a: tuple, b: tuple) -> tuple:
@@ -320,7 +304,7 @@ def phrase_counts(docs: DataFrame, fewest: int = FEWEST, longest: int = LONGEST)
     phrase = F.concat_ws(" ", "prefix", "next").alias("phrase")
     if longest == 4:
         triples = rows.filter("size = 2 and kind = 0").select("lang", phrase)
-        known.append(bitmap(phrase_hashes(triples, 3), 3))
+        known.append(Known(3, bitmap(phrase_hashes(triples, 3))))
         rows = rows.unionByName(stripes(texts, (3,), known, fewest).filter("size > 0"))
     totals = rows.filter("size > 0 and kind = 1").select("lang", "size", F.col("prefix").alias("phrase"), F.col("n").alias("f"))
     entries = rows.filter("size > 0 and kind = 0").select("lang", "size", "prefix", phrase, "n")

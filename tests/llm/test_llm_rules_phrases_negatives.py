@@ -189,10 +189,10 @@ def test_collocations_against_plain_python(spark, monkeypatch):
 def test_a_full_bitmap_changes_no_result(spark):
     texts = spark.createDataFrame([(f"t{i % 11} t{i % 7} t{i % 5} t{i % 3} t{i % 2}", "en") for i in range(3000)], "text string, lang string")
     known = phrases.likely(texts, 30)
-    full = [phrases.Known(k.size, np.full_like(k.bits, 255), k.shift) for k in known]
+    full = [phrases.Known(k.size, phrases.Bits(np.full_like(k.bits.table, 255), k.bits.shift)) for k in known]
     narrow, wide = (sorted(map(repr, phrases.stripes(texts, (1, 2), k, 30).collect())) for k in (known, full))
     assert narrow == wide and len(narrow) > 50
-    assert min(k.bits.size for k in known) == 1 << 13
+    assert min(k.bits.table.size for k in known) == 1 << 13
 
 
 def mined(rows, anchors, positives=5, negatives_=5):
