@@ -11,10 +11,10 @@ and hand them on as (prefix, next, count), one row per entry: a prefix with a th
 all words spreads over all tasks when stripes are merged element by element, and its
 total is another grouping set of the same shuffle.
 
-Texts are read three times. A phrase can be frequent only if its first and its last words
-are, so stripes hold only entries that may be frequent: first 64-bit hashes of words and
-word pairs are counted, then the stripes of prefixes of one and two words are built, then
-those of three. What may be frequent, tasks know from bitmaps of hashes, sized by the
+A phrase can be frequent only if its first and its last words are, so stripes hold only
+entries that may be frequent. Texts are read three times: 64-bit hashes of words and word
+pairs are counted, then those of triples whose pairs may be frequent, then all stripes are
+built at once. What may be frequent, tasks know from bitmaps of hashes, sized by the
 number of frequent phrases. Hashes that coincide and bitmaps that are full can only say
 yes too often; such a yes costs a row, which the exact counts then drop, so neither
 changes a result.
@@ -47,10 +47,18 @@ _BYTES = bytes(
     0xFF if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256)
 )
 #: Bytes of a text whose words are listed at a time, and codes, entries and words kept by a task.
-_CHUNK, _CODES, _ENTRIES, _WORDS = 1 << 18, 1 << 18, 1 << 19, 1 << 18
+_CHUNK, _CODES, _ENTRIES, _WORDS = 1 << 18, 1 << 18, 1 << 19, 1 << 17
+#: Hashes that a task counts at a time.
+_HASHES = 1 << 21
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _hash(word: bytes, seed: int) -> int:
+    """64 bits, but never all of them set: that stands for the end of a piece."""
+    h = xxhash.xxh64_intdigest(word, seed)
+    return 0 if h == (1 << 64) - 1 else h
+
+
 class _Codes(dict):
     """Numbers of the words of one language; ``names`` and ``hashes`` are common to all."""
 
@@ -62,7 +70,7 @@ class _Codes(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = code = len(self.names)
         self.names.append((self.lang, word))
-        self.hashes.append(xxhash.xxh64_intdigest(word, self.seed))
+        self.hashes.append(_hash(word, self.seed))
         return code
 
 
@@ -99,64 +107,76 @@ class Known:
         return self.bits.test(_mixed(parts))
 
 
-def phrase_hashes(phrases: DataFrame, size: int) -> DataFrame:
-    """Hash ``h`` of each (lang, phrase) of ``size`` words, as tasks compute it. Stored."""
+class _Hashes(dict):
+    """Signed hashes of the words of one language, forgotten when they are many; -1 at the end of a piece."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seeds = {x: xxhash.xxh64_intdigest(x.encode()) for x in batch["lang"].unique()}
-            pairs = zip(batch["lang"], batch["phrase"], strict=True)
-            rows = [[xxhash.xxh64_intdigest(w, seeds[x]) for w in p.encode().split(b" ")] for x, p in pairs]
-            table = np.array(rows, np.uint64).reshape(len(rows), size)
-            yield pd.DataFrame({"h": _mixed([table[:, i] for i in range(size)]).view(np.int64)})
+    def __init__(self, lang: str):
+        super().__init__({_END: -1})
+        self.seed = xxhash.xxh64_intdigest(lang.encode())
 
-    return stored(phrases.select("lang", "phrase").mapInPandas(of, "h long"))
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > _WORDS:
+            self.clear()
+            self[_END] = -1
+        h = _hash(word, self.seed)
+        self[word] = found = h - (1 << 64) if h >> 63 else h
+        return found
 
 
-def likely(texts: DataFrame, fewest: int) -> list[Known]:
-    """Bitmaps of the words and of the word pairs that occur ``fewest`` times or more, by counts of hashes."""
+def likely(texts: DataFrame, fewest: int, sizes: tuple[int, ...], known: list[Known]) -> list[Known]:
+    """Bitmaps of the phrases of each of ``sizes`` words that occur ``fewest`` times or more, by counts of hashes.
+
+    Only phrases are counted whose parts of one word less are ``known``, where that is told.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def hashes(c: np.ndarray, size: int) -> np.ndarray:
+        word, end = c.view(np.uint64), c == -1
+        m = len(c) - size + 1
+        if m < 1:
+            return np.zeros(0, np.uint64)
+        take = ~np.logical_or.reduce([end[i : i + m] for i in range(size)])
+        if size - 1 <= len(shared.value) and size > 1:
+            part = shared.value[size - 2].test([word[i : i + m + 1] for i in range(size - 1)])
+            take &= part[:-1] & part[1:]
+        return _mixed([word[i : i + m][take] for i in range(size)])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, hashes, langs, codes, held = [], [], {}, [], [(), ()]
-        size = kept = 0
+        langs, codes, size = {}, [], 0
+        held = {s: () for s in sizes}
 
-        def fold() -> None:
-            c, h = np.concatenate(codes), np.fromiter(hashes, np.uint64, len(hashes))
+        def fold() -> int:
+            c = np.concatenate(codes)
             codes.clear()
-            if not len(h):
-                return
-            word = h[np.maximum(c, 0)]
-            for i, found in enumerate((_mixed([word])[c >= 0], _mixed([word[:-1], word[1:]])[(c[:-1] >= 0) & (c[1:] >= 0)])):
-                held[i] = _sum_hashes(held[i], np.unique(found, return_counts=True))
+            for s in sizes:
+                held[s] = _sum_hashes(held[s], np.unique(hashes(c, s), return_counts=True))
+            return sum(len(x[0]) for x in held.values())
 
         def rows() -> Iterator[pd.DataFrame]:
-            for i, part in enumerate(held):
-                if part:
-                    yield pd.DataFrame({"size": i + 1, "h": part[0].view(np.int64), "n": part[1]})
+            for s in sizes:
+                if held[s]:
+                    h, n = held[s]
+                    for i in range(0, len(h), 1 << 18):
+                        yield pd.DataFrame({"size": s, "h": h[i : i + (1 << 18)].view(np.int64), "n": n[i : i + (1 << 18)]})
+                held[s] = ()
 
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 if lang not in langs:
-                    langs[lang] = _Codes(lang, names, hashes)
+                    langs[lang] = _Hashes(lang)
                 codes.append(codes_of(text, langs[lang]))
                 size += len(codes[-1])
                 if size > _CODES:
-                    fold()
-                    size, kept = 0, sum(len(x[0]) for x in held if x)
-                if kept > _ENTRIES or len(names) > _WORDS:
-                    if codes:
-                        fold()
-                    yield from rows()
-                    langs, held, size, kept = {}, [(), ()], 0, 0
-                    names.clear()
-                    hashes.clear()
+                    size = 0
+                    if fold() > _HASHES:
+                        yield from rows()
         if codes:
             fold()
         yield from rows()
 
     made = texts.mapInPandas(count, "size int, h long, n long").groupBy("size", "h").agg(F.sum("n").alias("n"))
     found = stored(made.filter(F.col("n") >= fewest).select("size", "h"))
-    return [Known(i, bitmap(found.filter(F.col("size") == i))) for i in (1, 2)]
+    return [Known(s, bitmap(found.filter(F.col("size") == s))) for s in sizes]
 
 
 def _sum_hashes(a: tuple, b: tuple) -> tuple:
@@ -220,8 +240,8 @@ class _Tally:
         if not len(at):
             return
         follows = c[at + size]
-        # An entry of its own if the last words may be frequent: pairs for one word, else as many as the prefix has.
-        last = self.known[1] if size == 1 else known
+        # An entry of its own if the phrase may be frequent, or its last words where phrases of its size are not known.
+        last = self.known[min(size, len(self.known) - 1)]
         parts = [word[at + size - last.size + 1 + i] for i in range(last.size)]
         follows = np.where((follows >= 0) & last.test(parts), follows, -1)
         high = c[at] if size < 3 else c[at] << 32 | c[at + 1]
@@ -264,7 +284,7 @@ class _Tally:
 def stripes(texts: DataFrame, sizes: tuple[int, ...], known: list[Known], fewest: int) -> DataFrame:
     """(size, lang, prefix, next, n, kind): merged entries (kind 0) and totals (kind 1) of at least
     ``fewest``; of size 0, the words of each language. Stored. ``known`` has a bitmap for each
-    size of prefix, and for pairs.
+    size from one word on, at least for each size of prefix and for pairs.
     """
     shared = texts.sparkSession.sparkContext.broadcast(known)
 
@@ -298,14 +318,12 @@ def phrase_counts(docs: DataFrame, fewest: int = FEWEST, longest: int = LONGEST)
     if not 2 <= longest <= 4:
         raise ValueError("phrases of up to 2, 3 or 4 words")
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    known = likely(texts, fewest)
-    rows = stripes(texts, tuple(range(1, min(longest, 3))), known, fewest)
+    known = likely(texts, fewest, (1, 2), [])
+    if longest > 2:
+        known += likely(texts, fewest, (3,), known)
+    rows = stripes(texts, tuple(range(1, longest)), known, fewest)
     sums = rows.filter("size = 0").select("lang", "n")
     phrase = F.concat_ws(" ", "prefix", "next").alias("phrase")
-    if longest == 4:
-        triples = rows.filter("size = 2 and kind = 0").select("lang", phrase)
-        known.append(Known(3, bitmap(phrase_hashes(triples, 3))))
-        rows = rows.unionByName(stripes(texts, (3,), known, fewest).filter("size > 0"))
     totals = rows.filter("size > 0 and kind = 1").select("lang", "size", F.col("prefix").alias("phrase"), F.col("n").alias("f"))
     entries = rows.filter("size > 0 and kind = 0").select("lang", "size", "prefix", phrase, "n")
     ends = entries.filter(F.col("size") == longest - 1).select("lang", F.lit(longest).alias("size"), "phrase", F.col("n").alias("f"))

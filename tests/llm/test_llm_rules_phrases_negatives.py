@@ -179,6 +179,7 @@ def test_collocations_against_plain_python(spark, monkeypatch):
         monkeypatch.setattr(phrases, "_CHUNK", chunk)
         monkeypatch.setattr(phrases, "_ENTRIES", entries)
         monkeypatch.setattr(phrases, "_CODES", entries)
+        monkeypatch.setattr(phrases, "_HASHES", entries)
         got = sorted(map(tuple, phrases.collocations(docs, fewest=12, top=top).collect()))
         assert got == phrases_of(rows, 12, 4, top)
     got = sorted(map(tuple, phrases.collocations(docs, fewest=12, longest=2).collect()))
@@ -188,7 +189,7 @@ def test_collocations_against_plain_python(spark, monkeypatch):
 
 def test_a_full_bitmap_changes_no_result(spark):
     texts = spark.createDataFrame([(f"t{i % 11} t{i % 7} t{i % 5} t{i % 3} t{i % 2}", "en") for i in range(3000)], "text string, lang string")
-    known = phrases.likely(texts, 30)
+    known = phrases.likely(texts, 30, (1, 2), [])
     full = [phrases.Known(k.size, phrases.Bits(np.full_like(k.bits.table, 255), k.bits.shift)) for k in known]
     narrow, wide = (sorted(map(repr, phrases.stripes(texts, (1, 2), k, 30).collect())) for k in (known, full))
     assert narrow == wide and len(narrow) > 50
