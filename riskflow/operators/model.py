@@ -7,7 +7,6 @@ frame by itself. Its fitted numbers are literals of one projection.
 from __future__ import annotations
 
 import json
-import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -29,37 +28,6 @@ from riskflow.session import shared_folder
 MAX_LEVELS = 1000
 
 
-# Low end, high end and scale of what the search draws, for the parameters
-# that Spark's boosting has.
-SEARCH_SPACE = {
-    "rounds": (200, 900, "hundreds"),
-    "depth": (2, 7, "whole"),
-    "step": (0.01, 0.2, "log"),
-    "subsamplingRate": (0.6, 1.0, "even"),
-    "featureSubsetStrategy": (0.5, 1.0, "even"),
-    "minInstancesPerNode": (1, 20, "whole"),
-}
-
-
-def draw_candidates(trials: int = 30, seed: int = catalog.SEED) -> dict[str, dict[str, float]]:
-    """Named parameter sets from ``SEARCH_SPACE``. The first n of two draws with one seed agree."""
-    found = {}
-    for trial in range(trials):
-        source = random.Random(f"{seed}:{trial}")
-        drawn: dict[str, float] = {}
-        for name, (low, high, scale) in SEARCH_SPACE.items():
-            if scale == "log":
-                drawn[name] = low * (high / low) ** source.random()
-            elif scale == "even":
-                drawn[name] = low + (high - low) * source.random()
-            else:
-                unit = 100 if scale == "hundreds" else 1
-                drawn[name] = source.randrange(low, high + 1, unit)
-        # Spark wants the share of features as text.
-        found[f"trial{trial}"] = drawn | {"featureSubsetStrategy": f"{drawn['featureSubsetStrategy']:.3f}"}
-    return found
-
-
 @dataclass(frozen=True)
 class Encoding:
     """What preprocessing learned: means and deviations, and the codes of each category."""

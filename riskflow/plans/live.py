@@ -103,11 +103,27 @@ def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def stream_session(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions closed by the watermark, and those still open when the stream ends."""
-    log = standins.log_of(table_stream(spark, sf, "events"))
+    """Sessions as the watermark closes them, the last ones at the end of the feed."""
+    log = live.with_end(standins.log_of(table_stream(spark, sf, "events")), "predicted_at")
     closed = appended(live.sessions(log, "predicted_at", "caller"))
-    left = live.open_sessions(standins.prediction_log(spark, sf), closed, "predicted_at", "caller")
-    return wall_clock(closed.unionByName(left), "session_start", "session_end")
+    return wall_clock(closed, "session_start", "session_end")
+
+
+@query(
+    "stream_silence",
+    with_views(
+        """SELECT caller, predicted_at + INTERVAL 15 MINUTE AS at, 'silent' AS state
+           FROM g WHERE after IS NULL OR after > predicted_at + INTERVAL 15 MINUTE
+           UNION ALL SELECT caller, after, 'back' FROM g WHERE after > predicted_at + INTERVAL 15 MINUTE""",
+        "prediction_log",
+        g="""SELECT caller, predicted_at, LEAD(predicted_at) OVER (
+               PARTITION BY caller ORDER BY predicted_at) AS after FROM prediction_log""",
+    ),
+)
+def stream_silence(spark: SparkSession, sf: str) -> DataFrame:
+    """When each caller fell silent for 15 minutes, and when it came back."""
+    log = live.with_end(standins.log_of(table_stream(spark, sf, "events")), "predicted_at")
+    return wall_clock(appended(live.silence_states(log, "predicted_at", ["caller"])), "at")
 
 
 def outcome_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,15 +162,14 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def stream_label_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Two streams joined within a horizon past the longest lag; decisions without a label are pending."""
+    """Two streams joined within a horizon past the longest lag; the join itself tells
+    which decisions stay without a label, once the watermark has passed their horizon."""
     decisions = standins.decisions_of(table_stream(spark, sf, "orders")).drop("customer_id")
-    outcomes = outcome_stream(spark, sf).drop("outcome_at")
+    decisions = live.with_end(decisions, "predicted_at")
+    outcomes = live.with_end(outcome_stream(spark, sf).drop("outcome_at"), "observed_at", key="application_id")
     columns = ["application_id", "predicted_at", "probability", "prediction", "observed_at", "label"]
-    made = appended(live.label_stream(decisions, outcomes, horizon_days=150)).select(*columns)
-    # What an outer stream join would hold back until its watermark passes the horizon.
-    made = wall_clock(made, "predicted_at", "observed_at")
-    pending = standins.decisions(spark, sf).join(made, "application_id", "left_anti")
-    return made.unionByName(pending.select(*columns[:4]), allowMissingColumns=True)
+    joined = live.label_stream(decisions, outcomes, horizon_days=150, how="leftOuter")
+    return wall_clock(appended(joined).select(*columns), "predicted_at", "observed_at")
 
 
 @query(
@@ -166,15 +181,19 @@ def stream_label_join(spark: SparkSession, sf: str) -> DataFrame:
            SELECT s.rule, s.ended_at + e.step * INTERVAL 1 MINUTE, 'resolved'
            FROM st s JOIN (SELECT rule, MAX(step) AS step, MAX(window_start) AS last
                            FROM ev GROUP BY rule) e ON e.rule = s.rule
-           WHERE s.minutes >= s.hold AND s.ended_at < e.last""",
+           WHERE s.minutes >= s.hold AND s.ended_at < e.last
+           UNION ALL
+           SELECT rule, MAX(window_start) + INTERVAL 60 MINUTE, 'no_data' FROM ev GROUP BY rule""",
         "prediction_log",
         **watch.ALERT_STEPS,
     ),
 )
 def stream_alert_state(spark: SparkSession, sf: str) -> DataFrame:
-    """The evaluations are stored first and then streamed through the alert states."""
+    """The evaluations are stored first and then streamed through the alert states; when
+    they end, timers tell that there is no data."""
     root = shared_folder(spark)
     rows = watch.evaluations(spark, sf)
     rows.write.parquet(f"{root}/evaluations")
     stream = spark.readStream.schema(rows.schema).parquet(f"{root}/evaluations")
+    stream = live.with_end(stream, "window_start")
     return wall_clock(appended(live.alert_states(stream)), "at")

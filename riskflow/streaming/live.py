@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from riskflow.functions.scalar import count_where
 from riskflow.operators.contract import Contract, decide
+from riskflow.session import shared_folder
 from riskflow.sources.store import OutcomeStore
 from riskflow.streaming.runs import event_time, finish
 
@@ -93,23 +95,6 @@ def sessions(
     )
 
 
-def open_sessions(
-    rows: DataFrame, closed: DataFrame, time: str, by: str, gap: str = "30 minutes"
-) -> DataFrame:
-    """Sessions of stored rows that no watermark has closed yet, in the form of ``sessions``.
-
-    Sessions of a caller follow each other, so open ones hold the rows from its last closed end on.
-    """
-    ends = closed.groupBy(by).agg(F.max("session_end").alias("_end"))
-    rows = rows.withColumn(time, F.col(time).cast("timestamp")).join(ends, by, "left")
-    rest = rows.filter(F.col("_end").isNull() | (F.col(time) >= F.col("_end")))
-    made = rest.groupBy(F.session_window(time, gap).alias("_w"), by)
-    made = made.agg(F.count(F.lit(1)).alias("requests"))
-    return made.select(
-        by, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "requests"
-    )
-
-
 def silences(
     stream: DataFrame, time: str, by: str, minutes: int = 15, delay: str = "1 hour"
 ) -> DataFrame:
@@ -156,46 +141,172 @@ def label_stream(
     return left.join(right, (F.col(key) == F.col("_key")) & due, how).drop("_key")
 
 
-ALERT_OUTPUT = "rule string, at timestamp, state string"
-ALERT_STATE = "since bigint, firing boolean"
-
-
-def _alert_steps(
-    key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(chunks)).sort_values("at")
-    since, firing = state.get if state.exists else (None, False)
-    changes = []
-    for at, breached, hold in zip(rows["at"], rows["breached"], rows["hold"], strict=True):
-        if not breached:
-            if firing:
-                changes.append((key[0], at, "resolved"))
-            since, firing = None, False
-            continue
-        since = at if since is None else since
-        if not firing and at - since >= hold * 60:
-            firing = True
-            changes.append((key[0], at, "firing"))
-    state.update((None if since is None else int(since), bool(firing)))
-    if changes:
-        made = pd.DataFrame(changes, columns=["rule", "at", "state"])
-        made["at"] = pd.to_datetime(made["at"], unit="s", utc=True).dt.tz_localize(None)
-        yield made
-
-
-def alert_states(evaluations: DataFrame) -> DataFrame:
-    """Changes of each alert: it fires once its condition has held for ``hold`` minutes
-    and is resolved by the first evaluation without a breach.
-
-    Takes evaluations, one row per rule and step, never log rows: what a rule gets
-    per batch is bounded by the clock.
+ALERT_OUTPUT = "{keys}, at timestamp, state string"
+ALERT_STATE = "since bigint, firing boolean, last bigint, timer bigint"
+SILENCE_STATE = "last bigint, silent boolean, timer bigint"
+
+#: What timers and state with a value per key need.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Timed(StatefulProcessor):
+    """A value per key, one timer that is moved as rows come, and rows in order of time.
+
+    What a key gets per batch is one row per evaluation or pane, so it is bounded by the
+    clock and not by the log; of each only the time and two numbers are held.
     """
-    rows = evaluations.select(
-        "rule",
-        F.unix_seconds(F.col("window_start").cast("timestamp")).alias("at"),
-        "breached",
-        F.col("hold").cast("bigint").alias("hold"),
-    )
-    return rows.groupBy("rule").applyInPandasWithState(
-        _alert_steps, ALERT_OUTPUT, ALERT_STATE, "append", GroupStateTimeout.NoTimeout
+
+    def __init__(self, keys: Sequence[str], state: str):
+        self.keys, self.state = list(keys), state
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("value", self.state)
+
+    def close(self) -> None:
+        pass
+
+    def arrange(self, old: int | None, new: int | None) -> None:
+        """Move the key's timer; both are seconds."""
+        if old == new:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old * 1000)
+        if new is not None:
+            self.handle.registerTimer(new * 1000)
+
+    def told(self, key: tuple, changes: list[tuple[int, str]], unit: str) -> Iterator[pd.DataFrame]:
+        if changes:
+            made = pd.DataFrame({k: [v] * len(changes) for k, v in zip(self.keys, key, strict=True)})
+            made["at"] = pd.to_datetime([at for at, _ in changes], unit=unit)
+            made["state"] = [state for _, state in changes]
+            yield made
+
+
+class _Alerts(_Timed):
+    """Firing after ``hold`` minutes of breaches, resolved without one, no data without evaluations."""
+
+    def __init__(self, keys: Sequence[str], patience: int):
+        super().__init__(keys, ALERT_STATE)
+        self.patience = patience * 60
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = [np.column_stack([r["at"], r["breached"], r["hold"] * 60]).astype(np.int64) for r in rows]
+        table = np.concatenate(parts)
+        since, firing, last, timer = self.value.get() if self.value.exists() else (None, False, None, None)
+        changes = []
+        for at, breached, hold in table[np.argsort(table[:, 0], kind="stable")].tolist():
+            if last is not None and at - last > self.patience:
+                changes.append((last + self.patience, "no_data"))
+                since, firing = None, False
+            last = at if last is None else max(at, last)
+            if not breached:
+                if firing:
+                    changes.append((at, "resolved"))
+                since, firing = None, False
+                continue
+            since = at if since is None else since
+            if not firing and at - since >= hold:
+                firing = True
+                changes.append((at, "firing"))
+        due = last + self.patience
+        self.arrange(timer, due)
+        self.value.update((since, bool(firing), last, due))
+        yield from self.told(key, changes, "s")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        since, firing, last, timer = self.value.get()
+        if last is not None and timer is not None and expiredTimerInfo.getExpiryTimeInMs() == timer * 1000:
+            self.value.clear()
+            yield from self.told(key, [(timer, "no_data")], "s")
+
+
+class _Silences(_Timed):
+    """Silent once the watermark has passed the tolerated pause, back with the next row."""
+
+    def __init__(self, keys: Sequence[str], minutes: int):
+        super().__init__(keys, SILENCE_STATE)
+        self.pause = minutes * 60_000_000
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        table = np.concatenate([r[["first", "last"]].to_numpy(np.int64) for r in rows])
+        last, silent, timer = self.value.get() if self.value.exists() else (None, False, None)
+        changes = []
+        for first, end in table[np.lexsort((table[:, 1], table[:, 0]))].tolist():
+            if last is not None and (silent or first - last > self.pause):
+                if not silent:
+                    changes.append((last + self.pause, "silent"))
+                changes.append((first, "back"))
+            last, silent = end if last is None else max(last, end), False
+        # Timers are kept in whole seconds, rounded up: never before the pause is over.
+        due = -(-(last + self.pause) // 1_000_000)
+        self.arrange(timer, due)
+        self.value.update((last, False, due))
+        yield from self.told(key, changes, "us")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, silent, timer = self.value.get()
+        if not silent and timer is not None and expiredTimerInfo.getExpiryTimeInMs() == timer * 1000:
+            self.value.update((last, True, None))
+            yield from self.told(key, [(last + self.pause, "silent")], "us")
+
+
+def _with_timers(stream: DataFrame, keys: Sequence[str], processor: StatefulProcessor) -> DataFrame:
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    output = ALERT_OUTPUT.format(keys=", ".join(f"`{k}` {types[k]}" for k in keys))
+    return stream.groupBy(*keys).transformWithStateInPandas(processor, output, "append", "eventTime")
+
+
+def alert_states(
+    evaluations: DataFrame, by: Sequence[str] = ("rule",), patience: int = 60, delay: str = "1 hour"
+) -> DataFrame:
+    """Changes of each alert: it fires once its condition has held for ``hold`` minutes,
+    is resolved by the first evaluation without a breach, and goes to ``no_data`` when
+    none has come for ``patience`` minutes, by the watermark if nothing follows. A null
+    condition is no breach.
+
+    Takes evaluations, one row per key and step, never log rows. Keys may be a rule and a
+    caller: the more keys, the more tasks. After ``no_data`` a key holds no state.
+    """
+    rows = event_time(evaluations, "window_start", delay).select(
+        *by,
+        "window_start",
+        F.unix_seconds("window_start").alias("at"),
+        F.coalesce(F.col("breached").cast("bigint"), F.lit(0)).alias("breached"),
+        F.coalesce(F.col("hold").cast("bigint"), F.lit(0)).alias("hold"),
     )
+    return _with_timers(rows, by, _Alerts(by, patience))
+
+
+def silence_states(
+    stream: DataFrame, time: str, by: Sequence[str], minutes: int = 15, delay: str = "1 hour"
+) -> DataFrame:
+    """When each caller fell silent and when it came back: ``minutes`` without a row.
+
+    Rows fold into panes of a minute before any state is kept per caller, so a caller
+    with a third of all rows brings one row a minute. The end of a silence that nothing
+    follows is told by a timer.
+    """
+    first, last = F.min(time), F.max(time)
+    made = event_time(stream, time, delay).groupBy(F.window(time, "1 minute").alias("_w"), *by)
+    made = made.agg(F.unix_micros(first).alias("first"), F.unix_micros(last).alias("last"))
+    panes = made.select(*by, F.window_time("_w").alias("_t"), "first", "last")
+    return _with_timers(panes, by, _Silences(by, minutes))
+
+
+def with_end(stream: DataFrame, *times: str, at: str = "2200-01-01", key: str | None = None) -> DataFrame:
+    """The stream and, as its last row, a moment far ahead that moves the watermark on.
+
+    For a feed that is read to its end: windows, sessions and outer joins close, and timers
+    run out. The row has nulls elsewhere, so it joins nothing; what it opens itself stays
+    open and is never told. It must come with or after the last rows, as it does
+    when all that is available is read as one batch.
+    """
+    spark = stream.sparkSession
+    root = shared_folder(spark)
+    marks = {t: at for t in times} | ({key: "\uffff end"} if key else {})
+    row = [F.lit(marks.get(f.name)).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
+    spark.range(1).select(*row).coalesce(1).write.parquet(root)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(root))

@@ -76,14 +76,6 @@ def test_every_row_is_scored_out_of_fold(applications):
     assert choice.expected_cost <= choice.cost_at_half
 
 
-def test_candidates_are_drawn_from_the_space():
-    drawn = model.draw_candidates(30, seed=1)
-    assert len(drawn) == 30 and drawn == model.draw_candidates(30, seed=1)
-    assert list(model.draw_candidates(5, seed=1).items()) == list(drawn.items())[:5]
-    for name, (low, high, _) in model.SEARCH_SPACE.items():
-        values = [float(d[name]) for d in drawn.values()]
-        assert low <= min(values) and max(values) <= high and len(set(values)) > 3
-
 
 def test_search_reports_the_lead_over_the_baseline(applications):
     def fit(columns):
@@ -186,21 +178,3 @@ def test_loose_split_is_about_right_and_repeatable(applications):
     share = {r.cohort: r["count"] / 400 for r in made.groupBy("cohort").count().collect()}
     assert share["current"] == pytest.approx(0.25, abs=0.07)
     assert share["test"] == pytest.approx(0.15, abs=0.07)
-
-
-def test_published_rounds_and_trials_are_fitted(monkeypatch):
-    """The registered queries fit 400 rounds, and the search its drawn rounds in 30 trials."""
-    from riskflow.plans import models
-
-    used, seen = [], {}
-    monkeypatch.setattr(models, "records", lambda spark, sf: None)
-    monkeypatch.setattr(models, "parts", lambda df: (None, None))
-    monkeypatch.setattr(models.model, "boosted", lambda rounds, **params: used.append(rounds))
-    monkeypatch.setattr(models.model, "train", lambda df, label, numeric, codes, estimator: estimator)
-    monkeypatch.setattr(models.model, "search", lambda df, key, label, candidates, base, k: seen.update(candidates))
-    models.param_search(None, "")
-    drawn = models.model.draw_candidates()
-    assert seen.keys() == {"hand_picked", *drawn} and len(drawn) == 30
-    for fit in seen.values():
-        fit(None)
-    assert used == [400, *[d["rounds"] for d in drawn.values()]]

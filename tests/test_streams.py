@@ -148,6 +148,38 @@ def test_alert_state_survives_batches(spark, files):
     assert len(made) == 2 and at == {"firing": 20, "resolved": 30}
 
 
+def test_alerts_without_evaluations_have_no_data(spark):
+    """A gap between batches, one inside a batch, and the end of the feed."""
+    start = dt.datetime(2024, 1, 1)
+    minutes = [[0, 5, 10, 15, 20], [200, 205, 210, 215, 500, 505]]
+    root = shared_folder(spark)
+    for part in minutes:
+        data = [("r", c, start + dt.timedelta(minutes=m), True, 15) for m in part for c in ("a", "b") if c == "a" or m < 100]
+        df = spark.createDataFrame(data, "rule string, caller string, window_start timestamp_ntz, breached boolean, hold int")
+        df.coalesce(1).write.mode("append").parquet(root)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    made = appended(live.alert_states(live.with_end(stream, "window_start"), ["rule", "caller"], patience=60))
+    found = sorted((c, (at - start).total_seconds() / 60, state) for _, c, at, state in rows(wall_clock(made, "at")))
+    assert found == [
+        ("a", 15, "firing"), ("a", 80, "no_data"), ("a", 215, "firing"), ("a", 275, "no_data"), ("a", 565, "no_data"),
+        ("b", 15, "firing"), ("b", 80, "no_data"),
+    ]
+
+
+def test_silences_begin_by_timer_and_end_with_the_next_row(spark):
+    start = dt.datetime(2024, 1, 1)
+    root = shared_folder(spark)
+    for part in ([0, 10, 25, 41], [100, 101, 300]):
+        data = [("a", start + dt.timedelta(minutes=m, microseconds=7)) for m in part]
+        df = spark.createDataFrame(data, "caller string, at timestamp_ntz")
+        df.coalesce(1).write.mode("append").parquet(root)
+    for files in (1, 10):
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(root)
+        made = wall_clock(appended(live.silence_states(live.with_end(stream, "at"), "at", ["caller"])), "at")
+        found = sorted(((at - start) / dt.timedelta(minutes=1), state) for _, at, state in rows(made))
+        assert [(round(m, 3), s) for m, s in found] == [(40, "silent"), (41, "back"), (56, "silent"), (100, "back"), (116, "silent"), (300, "back"), (315, "silent")]
+
+
 def test_failed_batch_is_repeated_in_place(spark):
     stream = streamed(spark, spark.range(10), 2)
     root = shared_folder(spark)
