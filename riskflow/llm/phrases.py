@@ -47,7 +47,7 @@ _BYTES = bytes(
     0xFF if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256)
 )
 #: Bytes of a text whose words are listed at a time, and codes, entries and words kept by a task.
-_CHUNK, _CODES, _ENTRIES, _WORDS = 1 << 18, 1 << 18, 1 << 19, 1 << 17
+_CHUNK, _CODES, _ENTRIES, _WORDS = 1 << 18, 1 << 18, 1 << 20, 1 << 17
 #: Hashes that a task counts at a time.
 _HASHES = 1 << 21
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -60,22 +60,41 @@ def _hash(word: bytes, seed: int) -> int:
 
 
 class _Codes(dict):
-    """Numbers of the words of one language; ``names`` and ``hashes`` are common to all."""
+    """Numbers of the frequent words of one language, -2 for the others, -1 at the end of a piece.
 
-    def __init__(self, lang: str, names: list, hashes: list):
+    ``names`` and ``hashes`` of the numbered words are common to all languages; other
+    words are forgotten when they are many.
+    """
+
+    def __init__(self, lang: str, names: list, hashes: list, known: Known):
         super().__init__({_END: -1})
         self.lang, self.names, self.hashes = lang, names, hashes
         self.seed = xxhash.xxh64_intdigest(lang.encode())
+        self.table, self.shift = known.bits.table.tobytes(), known.bits.shift
+        self.others = 0
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = code = len(self.names)
-        self.names.append((self.lang, word))
-        self.hashes.append(_hash(word, self.seed))
-        return code
+        h = _hash(word, self.seed)
+        # As ``_mixed`` and ``Bits.test`` do for whole columns.
+        at = (h * int(_FACTOR)) & 0xFFFFFFFFFFFFFFFF
+        at = (at ^ at >> 29) >> self.shift
+        if self.table[at >> 3] >> (at & 7) & 1:
+            self[word] = code = len(self.names)
+            self.names.append((self.lang, word))
+            self.hashes.append(h)
+            return code
+        if self.others > _WORDS:
+            kept = {w: c for w, c in self.items() if c > -2}
+            self.clear()
+            self.update(kept)
+            self.others = 0
+        self.others += 1
+        self[word] = -2
+        return -2
 
 
 def codes_of(text: str, codes: dict) -> np.ndarray:
-    """Codes of the words of a whole text, -1 at the end of each piece."""
+    """Numbers of the words of a whole text, -1 at the end of each piece."""
     raw = text.encode().translate(_BYTES).replace(_END, b" \xff ")
     made, at = [], 0
     while at < len(raw):
@@ -212,9 +231,9 @@ class _Tally:
 
     def add(self, lang: str, text: str) -> None:
         if lang not in self.langs:
-            self.langs[lang] = _Codes(lang, self.names, self.hashes)
+            self.langs[lang] = _Codes(lang, self.names, self.hashes, self.known[0])
         found = codes_of(text, self.langs[lang])
-        self.words[lang] = self.words.get(lang, 0) + int((found >= 0).sum())
+        self.words[lang] = self.words.get(lang, 0) + int((found != -1).sum())
         self.codes.append(found)
         self.n_codes += len(found)
         if self.n_codes > _CODES:
@@ -248,12 +267,12 @@ class _Tally:
         low = (c[at + size - 1] << 32 if size > 1 else 0) | (follows + 1)
         rows = self.folded.setdefault(size, [])
         rows.append(_sum_rows(high, low, np.ones(len(at), np.int64)))
-        if len(rows) > 1 and sum(len(x[0]) for x in rows) > _ENTRIES:
+        if len(rows) > 1 and 2 * sum(len(x[0]) for x in rows) > _ENTRIES:
             rows[:] = [_sum_rows(*[np.concatenate(x) for x in zip(*rows, strict=True)])]
 
     @property
     def full(self) -> bool:
-        return 2 * sum(len(x[0]) for rows in self.folded.values() for x in rows) > _ENTRIES or len(self.names) > _WORDS
+        return max([sum(len(x[0]) for x in rows) for rows in self.folded.values()], default=0) > _ENTRIES or len(self.names) > 2 * _WORDS
 
     def flush(self) -> Iterator[pd.DataFrame]:
         """Entries of all stripes so far, the rest as a null next word, and numbers of words; leaves nothing."""
