@@ -1,20 +1,19 @@
 """Collocations by stripes: each prefix keys a counter of the words that follow it.
 
-A stripe of a prefix of L words counts, for each next word, how often it follows; what
-follows too rarely to matter, and the ends of pieces, are counted together as "rest". So
-one structure gives the counts of all extensions (its entries), the count of the prefix
-(the sum of the stripe) and the largest count among the extensions (its maximum), which
-tells whether a longer phrase subsumes the prefix.
+A stripe of a prefix of L words counts, for each next word, how often it follows, and in
+an entry without a next word how often the prefix occurs, whatever follows. So one
+structure gives the counts of all extensions (its entries), the count of the prefix (its
+total) and the largest count among the extensions (its maximum), which tells whether a
+longer phrase subsumes the prefix.
 
 Tasks build stripes of the texts that they read, folded in sorted arrays of bounded size,
 and hand them on as (prefix, next, count), one row per entry: a prefix with a third of
-all words spreads over all tasks when stripes are merged element by element, and its
-total is another grouping set of the same shuffle.
+all words spreads over all tasks when stripes are merged element by element.
 
 A phrase can be frequent only if its first and its last words are, so stripes hold only
-entries that may be frequent. Texts are read three times: 64-bit hashes of words and word
-pairs are counted, then those of triples whose pairs may be frequent, then all stripes are
-built at once. What may be frequent, tasks know from bitmaps of hashes, sized by the
+entries that may be frequent. Texts are read four times: 64-bit hashes of words are
+counted, then those of pairs and of triples whose parts may be frequent, then all stripes
+are built at once. What may be frequent, tasks know from bitmaps of hashes, sized by the
 number of frequent phrases. Hashes that coincide and bitmaps that are full can only say
 yes too often; such a yes costs a row, which the exact counts then drop, so neither
 changes a result.
@@ -262,11 +261,13 @@ class _Tally:
         # An entry of its own if the phrase may be frequent, or its last words where phrases of its size are not known.
         last = self.known[min(size, len(self.known) - 1)]
         parts = [word[at + size - last.size + 1 + i] for i in range(last.size)]
-        follows = np.where((follows >= 0) & last.test(parts), follows, -1)
+        some = (follows >= 0) & last.test(parts)
         high = c[at] if size < 3 else c[at] << 32 | c[at + 1]
-        low = (c[at + size - 1] << 32 if size > 1 else 0) | (follows + 1)
+        low = c[at + size - 1] << 32 if size > 1 else np.zeros(len(at), np.int64)
+        # Each prefix in its total, and with its next word where that may matter.
+        high, low = np.concatenate([high, high[some]]), np.concatenate([low, low[some] | (follows[some] + 1)])
         rows = self.folded.setdefault(size, [])
-        rows.append(_sum_rows(high, low, np.ones(len(at), np.int64)))
+        rows.append(_sum_rows(high, low, np.ones(len(high), np.int64)))
         if len(rows) > 1 and 2 * sum(len(x[0]) for x in rows) > _ENTRIES:
             rows[:] = [_sum_rows(*[np.concatenate(x) for x in zip(*rows, strict=True)])]
 
@@ -275,7 +276,7 @@ class _Tally:
         return max([sum(len(x[0]) for x in rows) for rows in self.folded.values()], default=0) > _ENTRIES or len(self.names) > 2 * _WORDS
 
     def flush(self) -> Iterator[pd.DataFrame]:
-        """Entries of all stripes so far, the rest as a null next word, and numbers of words; leaves nothing."""
+        """Entries of all stripes so far, totals with a null next word, and numbers of words; leaves nothing."""
         self.fold()
         for size, rows in self.folded.items():
             high, low, n = _sum_rows(*[np.concatenate(x) for x in zip(*rows, strict=True)])
@@ -301,7 +302,7 @@ class _Tally:
 
 
 def stripes(texts: DataFrame, sizes: tuple[int, ...], known: list[Known], fewest: int) -> DataFrame:
-    """(size, lang, prefix, next, n, kind): merged entries (kind 0) and totals (kind 1) of at least
+    """(size, lang, prefix, next, n): merged entries and, with a null next word, totals of at least
     ``fewest``; of size 0, the words of each language. Stored. ``known`` has a bitmap for each
     size from one word on, at least for each size of prefix and for pairs.
     """
@@ -317,11 +318,8 @@ def stripes(texts: DataFrame, sizes: tuple[int, ...], known: list[Known], fewest
         yield from tally.flush()
 
     made = texts.mapInPandas(count, "size int, lang string, prefix string, next string, n long")
-    keys = ["size", "lang", "prefix", "next"]
-    merged = made.groupingSets([[F.col(c) for c in s] for s in (keys, keys[:-1])], *keys)
-    merged = merged.agg(F.sum("n").alias("n"), F.grouping_id().cast("int").alias("kind"))
-    entry = (F.col("kind") == 1) | F.col("next").isNotNull()
-    return stored(merged.filter(((F.col("size") == 0) & (F.col("kind") == 1)) | ((F.col("size") > 0) & (F.col("n") >= fewest) & entry)))
+    merged = made.groupBy("size", "lang", "prefix", "next").agg(F.sum("n").alias("n"))
+    return stored(merged.filter((F.col("size") == 0) | (F.col("n") >= fewest)))
 
 
 def _tail(phrase: Column | str) -> Column:
@@ -337,14 +335,14 @@ def phrase_counts(docs: DataFrame, fewest: int = FEWEST, longest: int = LONGEST)
     if not 2 <= longest <= 4:
         raise ValueError("phrases of up to 2, 3 or 4 words")
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    known = likely(texts, fewest, (1, 2), [])
-    if longest > 2:
-        known += likely(texts, fewest, (3,), known)
+    known: list[Known] = []
+    for size in range(1, max(longest, 3)):
+        known += likely(texts, fewest, (size,), known)
     rows = stripes(texts, tuple(range(1, longest)), known, fewest)
     sums = rows.filter("size = 0").select("lang", "n")
     phrase = F.concat_ws(" ", "prefix", "next").alias("phrase")
-    totals = rows.filter("size > 0 and kind = 1").select("lang", "size", F.col("prefix").alias("phrase"), F.col("n").alias("f"))
-    entries = rows.filter("size > 0 and kind = 0").select("lang", "size", "prefix", phrase, "n")
+    totals = rows.filter("size > 0 and next is null").select("lang", "size", F.col("prefix").alias("phrase"), F.col("n").alias("f"))
+    entries = rows.filter("size > 0 and next is not null").select("lang", "size", "prefix", phrase, "n")
     ends = entries.filter(F.col("size") == longest - 1).select("lang", F.lit(longest).alias("size"), "phrase", F.col("n").alias("f"))
     counts = totals.unionByName(ends)
     held = entries.filter("size > 1")
