@@ -24,7 +24,7 @@ def test_matches_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert QUERIES.keys() | {"pipeline"} <= entry.queries().keys()
     assert set(QUERIES) - set(ORACLES) == {
         "op1_nearest_neighbours", "op3_toxicity", "op4_quality_classifier", "op5_token_counts", "op6_simhash_near_dedup", "op8_language_id"}
