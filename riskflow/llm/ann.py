@@ -8,7 +8,8 @@ into blocks of fixed size, so the work of a task is bounded by the block. Within
 block distances come from 8-bit copies of the vectors. What rounding and clipping took
 from a vector is known, so each distance has a lower and an upper bound; every
 candidate whose lower bound does not exceed the k-th upper bound stays, however many,
-and these are merged and ranked again by exact distances.
+and these are merged and ranked again by exact distances. Every cut counts ids, not
+vectors: an id is where the nearest of its vectors is, and takes one place.
 
 ``reach`` is measured, not guessed: for a bounded sample of vectors the true
 neighbours are found against all rows, and the window is made as wide as it takes
@@ -123,7 +124,7 @@ class _Index:
 
 
 def _ranked(classes: DataFrame, index: _Index, curves: Curves) -> DataFrame:
-    """(o, rank, id, q, e): every vector in every ordering, with its rank along the curve."""
+    """(o, rank, id, q, e, own): every vector in every ordering, with its rank along the curve."""
     state = classes.sparkSession.sparkContext.broadcast(vars(index))
     orderings = curves.orderings
 
@@ -137,30 +138,31 @@ def _ranked(classes: DataFrame, index: _Index, curves: Curves) -> DataFrame:
                 m = _matrix(part["v"])
                 q, e = own.small(m)
                 for o in range(orderings):
-                    yield pd.DataFrame({"o": o, "key": own.keys(m, o), "id": part["id"].to_numpy(), "q": q, "e": e})
+                    keys = own.keys(m, o)
+                    yield pd.DataFrame({"o": o, "key": keys, "id": part["id"].to_numpy(), "q": q, "e": e, "own": part["own"].to_numpy()})
 
-    keys = classes.mapInPandas(keyed, "o int, key long, id long, q binary, e double")
+    keys = classes.mapInPandas(keyed, "o int, key long, id long, q binary, e double, own array<long>")
     width = max(orderings, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sorted_ = keys.repartitionByRange(width, "o", "key", "id").sortWithinPartitions("o", "key", "id")
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, seen = TaskContext.get().partitionId(), 0
+        part, seen, kept = TaskContext.get().partitionId(), 0, ("o", "id", "q", "e", "own")
         for batch in batches:
             n = len(batch)
-            yield pd.DataFrame({"part": part, "pos": np.arange(seen, seen + n), **{c: batch[c] for c in ("o", "id", "q", "e")}})
+            yield pd.DataFrame({"part": part, "pos": np.arange(seen, seen + n), **{c: batch[c] for c in kept}})
             seen += n
 
     # Stored before ranks are derived, so that a lost task cannot renumber its rows.
-    rows = stored(sorted_.mapInPandas(numbered, "part int, pos long, o int, id long, q binary, e double"))
+    rows = stored(sorted_.mapInPandas(numbered, "part int, pos long, o int, id long, q binary, e double, own array<long>"))
     # One row per partition and ordering: how many come before, and where the ordering begins.
     runs = rows.groupBy("part", "o").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     upto = Window.partitionBy("o").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("base", F.coalesce(F.sum("n").over(upto), F.lit(0)) - F.col("first"))
     starts = stored(runs.select("part", "o", "base"))
     return stored(
-        rows.join(F.broadcast(starts), ["part", "o"]).select("o", (F.col("pos") + F.col("base")).alias("rank"), "id", "q", "e")
+        rows.join(F.broadcast(starts), ["part", "o"]).select("o", (F.col("pos") + F.col("base")).alias("rank"), "id", "q", "e", "own")
     )
 
 
@@ -201,9 +203,11 @@ def _reach(ranked: DataFrame, truth: DataFrame, recall: float) -> int:
 
 
 def search_classes(classes: DataFrame, asked: DataFrame, k: int, curves: Curves) -> DataFrame:
-    """(query_id, id, score): up to k near classes of each asked class, itself excluded.
+    """(query_id, member, score): the k nearest ids found of each asked class, those of the class included.
 
-    ``classes`` is stored (id, v) with distinct vectors, ``asked`` a subset of it.
+    ``classes`` is stored (id, v, own) with distinct vectors and the ids, at most a fixed
+    number, that have this vector; ``asked`` is a subset of it. An id comes once, with its
+    nearest vector, ties by smaller id.
     """
     by_draw = classes.orderBy(F.xxhash64(F.lit(curves.seed), "id"), "id").limit(curves.sample)
     sample = stored(by_draw.select("id", "v")).toPandas()
@@ -211,17 +215,17 @@ def search_classes(classes: DataFrame, asked: DataFrame, k: int, curves: Curves)
     ranked = _ranked(classes, index, curves)
     tried = sample["id"].head(curves.trials).tolist()
     if not tried:
-        return asked.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0)
+        return asked.select(F.col("id").alias("query_id"), F.col("id").alias("member"), F.lit(0.0).alias("score")).limit(0)
     truth = stored(exact_neighbours(classes, classes.filter(F.col("id").isin(tried)), k))
     reach = _reach(ranked, truth, curves.recall)
     block = curves.block
     tiles = ranked.withColumn("tile", F.floor(F.col("rank") / block))
-    wanted = ranked.join(asked.select("id"), "id", "left_semi")
+    wanted = ranked.drop("own").join(asked.select("id"), "id", "left_semi")
     low, high = F.greatest(F.floor((F.col("rank") - reach) / block), F.lit(0)), F.floor((F.col("rank") + reach) / block)
     wanted = stored(wanted.select("o", "rank", "id", "q", "e", F.explode(F.sequence(low, high)).alias("tile")))
 
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = {"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "low": np.zeros(0), "high": np.zeros(0)}
+        none = {"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "member": np.zeros(0, np.int64), "low": np.zeros(0), "high": np.zeros(0)}
         if left.empty or right.empty:
             return pd.DataFrame(none)
         x = np.frombuffer(b"".join(left["q"]), np.int8).reshape(len(left), -1)
@@ -229,32 +233,51 @@ def search_classes(classes: DataFrame, asked: DataFrame, k: int, curves: Curves)
         kind = np.float32 if 4 * 127 * 127 * x.shape[1] < 1 << 24 else np.float64
         x = x.astype(kind)
         xx, ids, ranks, ex = (x * x).sum(1), left["id"].to_numpy(), left["rank"].to_numpy(), left["e"].to_numpy()
+        # One column for each (member, class), those of a member side by side.
+        members, cls = np.concatenate(left["own"].to_list()), np.repeat(np.arange(len(left)), left["own"].str.len())
+        order = np.argsort(members, kind="stable")
+        members, cls = members[order], cls[order]
+        begin = np.flatnonzero(np.r_[True, members[1:] != members[:-1]])
+        who = np.cumsum(np.r_[0, members[1:] != members[:-1]])
+        step = max((256 << 12) // len(members), 1)
         made = [pd.DataFrame(none)]
-        for i in range(0, len(right), 256):
-            part = right.iloc[i : i + 256]
+        for i in range(0, len(right), step):
+            part = right.iloc[i : i + step]
             m = np.frombuffer(b"".join(part["q"]), np.int8).reshape(len(part), -1).astype(kind)
             d = np.sqrt(((m * m).sum(1)[:, None] + xx - 2 * (m @ x.T)).astype(np.float64))
             slack = part["e"].to_numpy()[:, None] + ex
             low, high = d * (1 - 1e-9) - slack, d * (1 + 1e-9) + slack
-            away = np.abs(part["rank"].to_numpy()[:, None] - ranks) > reach
-            high[away | (part["id"].to_numpy()[:, None] == ids)] = np.inf
-            n = min(k, high.shape[1])
-            bound = np.partition(high, n - 1, axis=1)[:, n - 1 : n]
+            high[np.abs(part["rank"].to_numpy()[:, None] - ranks) > reach] = np.inf
+            # What a member can be at most away, and the k-th smallest of these.
+            low, high = low[:, cls], high[:, cls]
+            most = np.minimum.reduceat(high, begin, axis=1)
+            n = min(k, most.shape[1])
+            bound = np.partition(most, n - 1, axis=1)[:, n - 1 : n]
             at, found = np.nonzero((low <= bound) & np.isfinite(high))
-            made.append(pd.DataFrame({"query_id": part["id"].to_numpy()[at], "id": ids[found], "low": low[at, found], "high": high[at, found]}))
+            best = low[at, found] <= most[at, who[found]]
+            at, found = at[best], found[best]
+            pairs = {"query_id": part["id"].to_numpy()[at], "id": ids[cls[found]], "member": members[found]}
+            made.append(pd.DataFrame(pairs | {"low": low[at, found], "high": high[at, found]}))
         return pd.concat(made)
 
     found = tiles.groupBy("o", "tile").cogroup(wanted.groupBy("o", "tile"))
-    found = found.applyInPandas(near, "query_id long, id long, low double, high double")
-    merged = found.groupBy("query_id", "id").agg(F.min("low").alias("low"), F.min("high").alias("high"))
-    order = Window.partitionBy("query_id").orderBy("high", "id")
-    ranks = merged.withColumn("n", F.row_number().over(order))
-    bound = F.max(F.when(F.col("n") <= k, F.col("high"))).over(Window.partitionBy("query_id"))
-    short = ranks.withColumn("bound", bound).filter("low <= bound")
-    mine = asked.select(F.col("id").alias("query_id"), F.col("v").alias("a"))
-    pairs = stored(short.select("query_id", "id")).join(classes.select("id", F.col("v").alias("b")), "id").join(mine, "query_id")
+    found = found.applyInPandas(near, "query_id long, id long, member long, low double, high double")
+    merged = found.groupBy("query_id", "id", "member").agg(F.min("low").alias("low"), F.min("high").alias("high"))
+    # The same over all tiles, in one exchange: a member's least upper bound, and the k-th of these.
+    merged = merged.repartition("query_id")
+    mine = Window.partitionBy("query_id", "member").orderBy("high", "id")
+    ranks = merged.withColumn("most", F.min("high").over(mine.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranks = ranks.withColumn("first", (F.row_number().over(mine) == 1).cast("int"))
+    upto = Window.partitionBy("query_id").orderBy("most", "member", "high", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = ranks.withColumn("n", F.sum("first").over(upto))
+    bound = F.max(F.when(F.col("n") <= k, F.col("most"))).over(Window.partitionBy("query_id"))
+    short = ranks.withColumn("bound", bound).filter("low <= bound and low <= most")
+    short = stored(short.select("query_id", "id", "member"))
+    a = asked.select(F.col("id").alias("query_id"), F.col("v").alias("a"))
+    pairs = short.select("query_id", "id").distinct().join(classes.select("id", F.col("v").alias("b")), "id").join(a, "query_id")
     scored = pairs.select("query_id", "id", distance(F.col("a"), F.col("b")).alias("score"))
-    best = Window.partitionBy("query_id").orderBy("score", "id")
+    scored = short.join(scored, ["query_id", "id"]).groupBy("query_id", "member").agg(F.min("score").alias("score"))
+    best = Window.partitionBy("query_id").orderBy("score", "member")
     return scored.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).drop("n")
 
 
@@ -272,7 +295,7 @@ def nearest(
     with the query's own id; nearest first by Euclidean distance of the original
     vectors, ties to the smaller id. Equal vectors fold into one class with its k + 1
     smallest ids, which is all that any answer can use, so any number of copies
-    costs one place on the curves. Null, zero, non-finite and null-holding vectors,
+    costs one place on the curves; a smaller id of the same vector is always ahead. Null, zero, non-finite and null-holding vectors,
     rows without an id and vectors of another than the most common length take no
     part. Rows that repeat an id and vector count once; an id with several vectors is
     searched with each and answers with its nearest. No rows give no rows; other
@@ -293,16 +316,12 @@ def nearest(
         classes = stored(classes.withColumn("id", F.when(F.col("twin") > 0, code).otherwise(F.col("id"))))
     asked_rows = stored(good.filter(queries).distinct().join(classes.withColumnRenamed("id", "cls"), "v").select("id", "cls"))
     asked = stored(classes.join(asked_rows.select(F.col("cls").alias("id")).distinct(), "id", "left_semi").select("id", "v"))
-    near = search_classes(classes.select("id", "v"), asked, k, curves)
-    own = asked.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"))
-    near = stored(near.unionByName(own).withColumnRenamed("query_id", "cls"))
-    members = stored(ids.join(classes.select("v", "id"), "v").select("id", "member"))
-    # At most (k + 1)^2 rows for a class, whatever the number of its copies.
-    choices = near.join(members, "id").select("cls", "member", "score")
-    order = Window.partitionBy("cls").orderBy("score", "member")
-    choices = stored(choices.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= 2 * k + 2).drop("n"))
-    found = asked_rows.select(F.col("id").alias("query_id"), "cls").join(choices, "cls").filter("member <> query_id")
-    found = found.groupBy("query_id", "member").agg(F.min("score").alias("score"))
+    own = ids.groupBy("v").agg(F.sort_array(F.collect_set("member")).alias("own"))
+    classes = stored(classes.select("id", "v").join(own, "v"))
+    # One more than asked for: the query's own id is among them.
+    near = search_classes(classes, asked, k + 1, curves)
+    found = asked_rows.select(F.col("id").alias("query_id"), "cls").join(near.withColumnRenamed("query_id", "cls"), "cls")
+    found = found.filter("member <> query_id").groupBy("query_id", "member").agg(F.min("score").alias("score"))
     last = Window.partitionBy("query_id").orderBy("score", "member")
     found = found.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("member").alias("vec_id"), "score")

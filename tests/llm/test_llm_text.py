@@ -234,6 +234,25 @@ def test_neighbours_with_ties_copies_and_bad_vectors(spark):
     assert [(r["query_id"], r["rank"]) for r in few.orderBy("rank").collect()] == [(0, 1), (0, 2)]
 
 
+def test_neighbours_where_ids_have_many_near_vectors(spark):
+    """One id, the query's own id and a pair of ids with the same vectors must not take the places of others."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    at = np.array(rows[0][1])
+    for i in (0, 7):
+        rows += [(i, (at + 0.01 * rng.normal(size=4)).tolist()) for _ in range(30)]
+    for _ in range(20):
+        v = (at + 0.02 * rng.normal(size=4)).tolist()
+        rows += [(8, v), (9, v)]
+    rows += [(i, rows[70][1]) for i in range(300, 330)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict = {}
+    found = ann.nearest(df, F.col("id") % 100 == 0, curves=ann.Curves(recall=1.0, trials=400, block=16))
+    for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for _, i in w] for q, w in brute(rows, 10).items()}
+
+
 @pytest.mark.parametrize("case", ["near copies", "outlier"])
 def test_neighbours_among_thousands_of_near_copies_and_beside_an_outlier(spark, case):
     rng = np.random.default_rng(4)
