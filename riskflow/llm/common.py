@@ -39,9 +39,10 @@ def attach(rows: DataFrame, few: DataFrame, key: str, limit: int = BROADCAST_ROW
     every key of what may be as large as the rows themselves. ``few`` should be
     stored, because it is counted first.
     """
-    few = few.withColumnRenamed(key, "_key")
+    (other,) = fresh(rows, "_key")
+    few = few.withColumnRenamed(key, other)
     side = F.broadcast(few) if few.limit(limit + 1).count() <= limit else few.hint("merge")
-    return rows.join(side, rows[key].eqNullSafe(few["_key"]), "left").drop("_key")
+    return rows.join(side, rows[key].eqNullSafe(few[other]), "left").drop(other)
 
 
 def labelled_sample(labels: DataFrame, column: str, held_out: Column, rows: int, seed: int) -> DataFrame:

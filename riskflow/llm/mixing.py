@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.functions.scalar import as_column
-from riskflow.llm.common import attach, stored, word_count
+from riskflow.llm.common import attach, fresh, stored, word_count
 
 #: Bits that each histogram resolves; together the 60 bits of a hash.
 LEVELS = (12, 16, 32)
@@ -127,23 +127,28 @@ def mix(
 
     A null text has size 0, a null source is a source, a null doc_id hashes like an
     empty one. Rows with the same doc_id are taken or left together, repeated rows
-    each count. A source without words takes nothing. An empty table gives no rows.
+    each count. A source without words takes nothing; a document without words is copied
+    like the others of its source, at most ``cap`` times. An empty table gives no rows.
     Columns of the input that are named like added ones are replaced.
     """
     added = ("size", "source_size", "target", "copies", "taken")
-    keep = [c for c in (keep if keep is not None else docs.columns) if c not in added]
+    keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in added]
     few = docs.select("source", word_count("text").alias("size"), mix_hash("doc_id", seed).alias("hash"))
     sized = stored(few)
     ends = mix_thresholds(sized, weights, share, cap)
+    source, code, epochs, threshold = fresh(docs, "_mix_source", "_mix_hash", "epochs", "threshold")
     rows = docs.select(
         *keep,
-        F.col("source").alias("_mix_source"),
-        mix_hash("doc_id", seed).alias("_mix_hash"),
+        F.col("source").alias(source),
+        mix_hash("doc_id", seed).alias(code),
         word_count("text").alias("size"),
     )
-    rows = attach(rows, ends.withColumnRenamed("source", "_mix_source"), "_mix_source")
-    extra = (F.col("_mix_hash") <= F.col("threshold")).cast("long")
-    copies = F.when(F.col("source_size") > 0, F.col("epochs") + extra).otherwise(F.lit(0)).cast("long")
+    ends = ends.withColumnsRenamed({"source": source, "epochs": epochs, "threshold": threshold})
+    rows = attach(rows, ends, source)
+    # Where whole epochs make the target, a further copy could only be of documents without words.
+    rest = F.col("target") > F.col(epochs) * F.col("source_size")
+    extra = (rest & (F.col(code) <= F.col(threshold))).cast("long")
+    copies = F.when(F.col("source_size") > 0, F.col(epochs) + extra).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
     return rows.select(*keep, *added)
 

@@ -72,6 +72,12 @@ def test_mix_of_nothing_and_of_no_words(spark):
     assert [(r["size"], r["target"], r["taken"]) for r in got] == [(0, 0.0, 0)] * 2
 
 
+def test_mix_copies_wordless_documents_no_more_than_others(spark):
+    docs = docs_of(spark, [(i, "" if i % 2 else "a b", "s") for i in range(200)] + [(500, "a " * 10_000, "t")])
+    got = {(r["source"], r["copies"]) for r in mixing.mix(docs, share=(2, 1)).collect()}
+    assert got == {("s", 2), ("t", 2)}
+
+
 def test_mix_replaces_clashing_columns_and_repeats_copies(spark):
     docs = docs_of(spark, [(i, "a b c", "s") for i in range(10)]).withColumn("size", F.lit("x"))
     mixed = mixing.mix(docs)

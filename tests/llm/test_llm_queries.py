@@ -107,6 +107,22 @@ def test_near_dedup_stage_drops_every_near_copy(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
 
 
+def test_stages_pass_clashing_columns_and_long_texts(spark, tables):
+    """Columns named like anything inside change no decision and arrive as they were."""
+    names = ["_score", "_toxicity", "items", "N_Hit", "contaminated", "n_words", "_own", "_doc", "_hash", "_n", "k1", "root", "w1",
+             "epochs", "threshold", "_key", "_mix_source", "_mix_hash", "label", "score"]
+    long = [(7001, "word " * 200_000, "en", "src1", 1), (7002, "x" * 1_000_000, "en", "src1", 1)]
+    docs = spark.read.parquet(f"{tables}/documents.parquet").limit(300)
+    docs = common.stored(docs.unionByName(spark.createDataFrame(long, docs.schema)))
+    for _, stage in corpus_pipeline.STAGES:
+        wide = docs.select("*", *[F.lit(f"mine {c}").alias(c) for c in names])
+        plain, got = common.stored(stage(spark, docs, tables)), common.stored(stage(spark, wide, tables))
+        assert got.drop(*names).columns == plain.columns and set(names) <= set(got.columns)
+        assert got.select(*plain.columns).exceptAll(plain).count() == plain.exceptAll(got.select(*plain.columns)).count() == 0
+        assert got.select(names).distinct().collect() == [tuple(f"mine {c}" for c in names)]
+        docs = plain.select(*COLUMNS)
+
+
 def test_run_is_the_chain_of_stages(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 0 and "epoch" in got.columns

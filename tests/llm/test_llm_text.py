@@ -59,6 +59,17 @@ def test_decontamination_against_plain_python(spark):
     assert all(r["contaminated"] == (r["n_hit"] > 0) for r in got)
 
 
+def test_decontamination_with_a_window_of_many_items(spark):
+    """A window that a thousand items share is one window: rows that tests make do not multiply."""
+    items = [(i, f"{LINE} own{i} word{i}") for i in range(1000)]
+    texts = [(i, f"a b {LINE} c {LINE} d{i}" + (f" {LINE} own{i} word{i}" if i % 2 else "")) for i in range(40)]
+    docs, table = docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    windows = decontaminate.stored(decontaminate.item_windows(table, 10))
+    assert decontaminate.find_windows(docs, windows).count() == 40 * 2 * 3 + 20 * 5
+    got = {r["doc_id"]: (r["n_hit"], len(r["items"])) for r in decontaminate.decontaminate(docs, table).collect()}
+    assert got == {i: (38 if i % 2 else 24, 1000) for i in range(40)}
+
+
 def test_decontamination_of_empty_tables(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = docs_of(spark, TEXTS)
