@@ -11,11 +11,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow import catalog
-from riskflow.functions.scalar import count_where, hash_uniform, ratio, within
+from riskflow.functions.scalar import count_where, hash_uniform, only_row, ratio, within
 from riskflow.functions.tails import p_value
 from riskflow.operators.prefix import _RANGE, prefix_of_cells, with_range
 from riskflow.session import shuffle_width
@@ -186,6 +186,86 @@ def psi(rows: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
     return counts.select(sum(terms[1:], terms[0]).alias("psi"))
 
 
+def bin_cube(
+    rows: DataFrame, time: str, column: str, edges: Sequence[float], by: Sequence[str] = ()
+) -> DataFrame:
+    """Counts per (day, bin) summed up to each day: (day, bin, upto), days without rows included.
+
+    The only pass over the rows. A span of days is the difference of two rows a bin, so
+    any two spans compare without the rows; the cube grows with days and bins. Null and
+    NaN values stay out. Days are numbers since the epoch.
+    """
+    x = F.col(column).cast("double")
+    bin_ = sum(((x >= float(e)).cast("int") for e in sorted(edges)), F.lit(0))
+    bins = range(len(edges) + 1)
+    daily = (
+        rows.where(x.isNotNull() & ~F.isnan(x) & F.col(time).isNotNull())
+        .groupBy(*by, F.unix_date(F.to_date(time)).alias("day"))
+        .agg(*[count_where(bin_ == i).alias(f"_n{i}") for i in bins])
+    )
+    cells = [F.struct(F.lit(i).alias("bin"), F.col(f"_n{i}").alias("_n")) for i in bins]
+    order = Window.partitionBy(*by, "bin").orderBy("day")
+    running = daily.select(*by, "day", F.inline(F.array(*cells))).select(
+        *by,
+        "bin",
+        "day",
+        F.sum("_n").over(order).alias("upto"),
+        F.coalesce(F.lead("day").over(order) - 1, F.col("day")).alias("_until"),
+    )
+    dense = F.explode(F.sequence("day", "_until")).alias("day")
+    return running.select(*by, "bin", "upto", dense).select(*by, "day", "bin", "upto")
+
+
+def psi_between(cube: DataFrame, spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Stability index of two spans of days per row of ``spans``, with their row counts.
+
+    ``spans`` has r_first, r_last, k_first and k_last (dates, both ends included) and
+    any columns to carry, without nulls and without repeated rows. With ``by`` spans name
+    their group and read its counts. Store the cube first: it is read twice here.
+    Days outside the cube count as empty, an empty bin of a span as one row, as in ``psi``.
+    A span without rows has no index; a pair that touches no day of the cube has no row.
+    """
+    ends = cube.groupBy(*by).agg(F.max("day").alias("_z"))
+    last = F.col("_z") if by else only_row(ends)["_z"]
+    marked = spans.join(ends, list(by)) if by else spans
+
+    def day(edge: str) -> Column:
+        at = F.unix_date(F.col(edge).cast("date"))
+        return at - 1 if edge.endswith("first") else at
+
+    edges = {"r_first": ("r", -1), "r_last": ("r", 1), "k_first": ("k", -1), "k_last": ("k", 1)}
+    points = [
+        F.struct(
+            F.least(day(edge), last).alias("day"),
+            F.lit(sign if side == "r" else 0).alias("_r"),
+            F.lit(sign if side == "k" else 0).alias("_k"),
+        )
+        for edge, (side, sign) in edges.items()
+    ]
+    # A day before the cube finds no row and adds nothing.
+    keys = spans.columns
+    asked = marked.select(*keys, F.inline(F.array(*points)))
+    counted = (
+        asked.join(cube, [*by, "day"])
+        .groupBy(*keys, "bin")
+        .agg(F.sum(F.col("_r") * F.col("upto")).alias("r"), F.sum(F.col("_k") * F.col("upto")).alias("k"))
+    )
+    folded = counted.groupBy(*keys).agg(
+        F.collect_list(F.struct("r", "k")).alias("_bins"),  # one entry per bin
+        F.sum("r").alias("reference_rows"),
+        F.sum("k").alias("current_rows"),
+    )
+
+    def term(cell: Column) -> Column:
+        a = F.greatest(cell["r"], F.lit(1)) / F.col("reference_rows")
+        b = F.greatest(cell["k"], F.lit(1)) / F.col("current_rows")
+        return (b - a) * F.log(b / a)
+
+    index = F.aggregate(F.transform("_bins", term), F.lit(0.0), lambda total, x: total + x)
+    filled = (F.col("reference_rows") > 0) & (F.col("current_rows") > 0)
+    return folded.select(*keys, "reference_rows", "current_rows", F.when(filled, index).alias("psi"))
+
+
 def drift_report(
     reference: DataFrame,
     current: DataFrame,

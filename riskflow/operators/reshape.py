@@ -87,6 +87,60 @@ def parse_documents(df: DataFrame, document: str, schema: T.StructType | str) ->
     return df.withColumn("_doc", F.from_json(document, schema)).select(*rest, "_doc.*")
 
 
+#: Types of values that a column keeps; numbers of several kinds meet as double, the rest as text.
+_KEPT = {"BIGINT": "bigint", "DOUBLE": "double", "BOOLEAN": "boolean", "STRING": "string", "VOID": "string"}
+
+
+def document_keys(df: DataFrame, document: str) -> DataFrame:
+    """Keys of JSON objects of unknown shape: (key, type, n), one row per key and type met."""
+    objects = df.select(_object(document).alias("_map")).where("_map is not null")
+    pairs = objects.select(F.explode("_map").alias("key", "_value"))
+    kind = F.regexp_replace(F.schema_of_variant("_value"), r"[(<].*$", "")
+    return pairs.groupBy("key", kind.alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def discover_documents(df: DataFrame, document: str) -> DataFrame:
+    """JSON documents of unknown shape to columns, next to the columns that were there.
+
+    The keys and their types come from one aggregate over the rows; only those pairs reach
+    the driver. A key missing from a document is null. A key with whole numbers in one
+    document and fractions in another is a double; with values of unlike kinds it is
+    text, nested values as JSON. A key named like a column, whatever the case, gets the
+    document's name in front. Documents whose keys are data, such as ids, belong in
+    ``document_keys`` alone: they would make a column each. Null and broken documents, arrays and bare values have no keys.
+    """
+    rest = [c for c in df.columns if c != document]
+    types: dict[str, set[str]] = {}
+    for row in document_keys(df, document).collect():
+        types.setdefault(row["key"], set()).add(row["type"])
+    names, taken = {}, {c.lower() for c in rest}
+    for key in sorted(types):
+        name = key
+        while name.lower() in taken:
+            name = f"{document}.{name}"
+        names[key] = name
+        taken.add(name.lower())
+    found = df.withColumn("_map", _object(document))
+    return found.select(
+        *rest,
+        *[
+            F.try_variant_get(F.element_at("_map", F.lit(key)), "$", _common(types[key])).alias(name)
+            for key, name in names.items()
+        ],
+    )
+
+
+def _object(document: str) -> Column:
+    return F.try_variant_get(F.try_parse_json(document), "$", "map<string,variant>")
+
+
+def _common(kinds: set[str]) -> str:
+    known = kinds - {"VOID"} or {"VOID"}
+    if len(known) == 1:
+        return _KEPT.get(next(iter(known)), "double" if known == {"DECIMAL"} else "string")
+    return "double" if known <= {"BIGINT", "DECIMAL", "DOUBLE"} else "string"
+
+
 def to_document(columns: Sequence[str]) -> Column:
     """The named columns as one JSON text; nulls are left out."""
     return F.to_json(F.struct(*columns))

@@ -397,6 +397,45 @@ def json_features(spark: SparkSession, sf: str) -> DataFrame:
     return reshape.parse_documents(rows, "features", "k INT")
 
 
+@query(
+    "variant_features",
+    with_views(
+        """SELECT event_id, CAST(json_extract_string(features, '$.k') AS BIGINT) AS k
+           FROM prediction_log""",
+        "prediction_log",
+    ),
+)
+def variant_features(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``json_features``, with keys and types found in the documents."""
+    rows = standins.prediction_log(spark, sf).select("event_id", "features")
+    return reshape.discover_documents(rows, "features")
+
+
+@query(
+    "variant_changing_features",
+    with_views(
+        """SELECT event_id, CASE WHEN event_id % 5 <> 4 THEN json_extract_string(features, '$.k') END AS k,
+             CASE WHEN event_id % 5 IN (1, 2) THEN latency_s END AS latency_s,
+             CASE WHEN event_id % 5 = 2 THEN caller END AS caller
+           FROM prediction_log""",
+        "prediction_log",
+    ),
+)
+def variant_changing_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Five generations of documents: as served, with one key and two keys more, with a
+    retyped key, and with none."""
+    k = F.get_json_object("features", "$.k")
+    made = (
+        F.when(F.col("event_id") % 5 == 0, F.col("features"))
+        .when(F.col("event_id") % 5 == 1, F.to_json(F.struct(k.cast("int").alias("k"), "latency_s")))
+        .when(F.col("event_id") % 5 == 2, F.to_json(F.struct(k.cast("int").alias("k"), "latency_s", "caller")))
+        .when(F.col("event_id") % 5 == 3, F.to_json(F.struct(k.alias("k"))))
+        .otherwise("{}")
+    )
+    rows = standins.prediction_log(spark, sf).select("event_id", made.alias("features"))
+    return reshape.discover_documents(rows, "features")
+
+
 @query(
     "scalar_clip_ratio",
     with_views(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskflow.operators import monitor, sketches
 from riskflow.operators.contract import Contract, Rule
 from riskflow.plans import standins, watch
 from riskflow.plans.oracle import double, with_views
@@ -88,6 +89,38 @@ def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     return wall_clock(made, "window_start")
 
 
+RANK_SLACK = sketches.rank_error()
+
+
+@query(
+    "stream_p95",
+    with_views(
+        f"""SELECT day AS window_start, MAX(n) AS n,
+              MIN(latency_s) FILTER (WHERE i >= GREATEST(CEIL({double(0.95 - RANK_SLACK)} * n), 1)) AS at_least,
+              MIN(latency_s) FILTER (WHERE i >= CEIL({double(0.95 + RANK_SLACK)} * n)) AS at_most,
+              TRUE AS inside
+            FROM (SELECT latency_s, DATE_TRUNC('day', predicted_at)::TIMESTAMP AS day,
+                    ROW_NUMBER() OVER (PARTITION BY DATE_TRUNC('day', predicted_at) ORDER BY latency_s) AS i,
+                    COUNT(*) OVER (PARTITION BY DATE_TRUNC('day', predicted_at)) AS n
+                  FROM prediction_log) GROUP BY day""",
+        "prediction_log",
+    ),
+)
+def stream_p95(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily p95 from hourly sketches of a stream, held against the exact values at the
+    ranks that the sketch's error allows."""
+    log = live.with_end(standins.log_of(table_stream(spark, sf, "events")), "predicted_at")
+    panes = appended(live.quantile_panes(log, "predicted_at", "latency_s"))
+    found = sketches.merged_quantiles(panes, {"p95": 0.95}, 60, 1440).drop("n")
+    allowed = {"at_least": 0.95 - RANK_SLACK, "at_most": 0.95 + RANK_SLACK}
+    exact = monitor.window_quantiles(
+        standins.prediction_log(spark, sf), "predicted_at", "latency_s", allowed, size=1440
+    )
+    inside = F.coalesce(F.col("p95").between(F.col("at_least"), F.col("at_most")), F.lit(False))
+    joined = exact.join(found, "window_start", "full")
+    return joined.select("window_start", "n", *allowed, inside.alias("inside"))
+
+
 @query(
     "stream_session",
     with_views(

@@ -144,6 +144,58 @@ def drift_psi(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(drift.psi(rows, "l_quantity", PSI_EDGES), "psi", places=8)
 
 
+SCORE_EDGES = [0.01, 0.03, 0.07, 0.12, 0.23, 0.45]
+_SCORE_BIN = " + ".join(f"CASE WHEN probability >= {double(e)} THEN 1 ELSE 0 END" for e in SCORE_EDGES)
+#: Days of the span that every later day is held against, and of the trailing one.
+SPAN_DAYS = 7
+
+
+@query(
+    "drift_psi_daily",
+    with_views(
+        """SELECT day, CAST(SUM(r) AS BIGINT) AS reference_rows, CAST(SUM(k) AS BIGINT) AS current_rows,
+             ROUND(SUM((GREATEST(k, 1) / sk - GREATEST(r, 1) / sr)
+               * LN((GREATEST(k, 1) / sk) / (GREATEST(r, 1) / sr))), 8) AS psi
+           FROM (SELECT *, CAST(SUM(r) OVER (PARTITION BY day) AS DOUBLE) AS sr,
+                   CAST(SUM(k) OVER (PARTITION BY day) AS DOUBLE) AS sk FROM spans) GROUP BY day""",
+        "prediction_log",
+        binned=f"""SELECT CAST(predicted_at AS DATE) AS day, {_SCORE_BIN} AS bin
+                   FROM prediction_log""",
+        bins=f"SELECT UNNEST(RANGE(0, {len(SCORE_EDGES) + 1})) AS bin",
+        days=f"""SELECT CAST(UNNEST(GENERATE_SERIES(MIN(day) + INTERVAL {SPAN_DAYS} DAY, MAX(day),
+                   INTERVAL 1 DAY)) AS DATE) AS day FROM binned""",
+        spans=f"""SELECT d.day, b.bin,
+                    (SELECT COUNT(*) FROM binned x WHERE x.bin = b.bin
+                       AND x.day < (SELECT MIN(day) FROM binned) + INTERVAL {SPAN_DAYS} DAY) AS r,
+                    (SELECT COUNT(*) FROM binned x WHERE x.bin = b.bin
+                       AND x.day <= d.day AND x.day > d.day - INTERVAL {SPAN_DAYS} DAY) AS k
+                  FROM days d, bins b""",
+    ),
+)
+def drift_psi_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the last seven days against the first seven, for every day after them.
+
+    The log is read once, for the cube; a day more costs one subtraction per bin."""
+    path = shared_folder(spark)
+    log = standins.prediction_log(spark, sf)
+    drift.bin_cube(log, "predicted_at", "probability", SCORE_EDGES).write.mode("overwrite").parquet(path)
+    cube = spark.read.parquet(path)
+    first = F.date_from_unix_date(F.min("day"))
+    ends = cube.agg(first.alias("r_first"), F.date_from_unix_date(F.max("day")).alias("_z"))
+    starts = F.sequence(F.date_add("r_first", SPAN_DAYS), F.greatest("_z", F.date_add("r_first", SPAN_DAYS)))
+    spans = ends.select("r_first", "_z", F.explode(starts).alias("k_last")).where("k_last <= _z")
+    spans = spans.select(
+        "r_first",
+        F.date_add("r_first", SPAN_DAYS - 1).alias("r_last"),
+        F.date_sub("k_last", SPAN_DAYS - 1).alias("k_first"),
+        "k_last",
+    )
+    made = drift.psi_between(cube, spans)
+    return rounded(
+        made.select(F.col("k_last").alias("day"), "reference_rows", "current_rows", "psi"), "psi", places=8
+    )
+
+
 def report_sql(tag: str = "") -> str:
     """Distances of all columns."""
     return f"""

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from riskflow.functions.scalar import count_where
 from riskflow.operators.contract import Contract, decide
+from riskflow.operators.sketches import RANK_ENTRIES, quantile_parts
 from riskflow.session import shared_folder
 from riskflow.sources.store import OutcomeStore
 from riskflow.streaming.runs import event_time, finish
@@ -74,6 +75,16 @@ def request_windows(stream: DataFrame, time: str, status: str, size: str = "1 da
     )
 
 
+def quantile_panes(
+    stream: DataFrame, time: str, value: str, pane: int = 60, entries: int = RANK_ENTRIES, delay: str = "1 hour"
+) -> DataFrame:
+    """A quantile sketch per pane of minutes: the state of a pane is one sketch, however busy.
+
+    Closed panes go out once; ``sketches.merged_quantiles`` makes windows of them.
+    """
+    return windows(stream, time, f"{int(pane)} minutes", quantile_parts(value, entries), delay=delay)
+
+
 def sessions(
     stream: DataFrame, time: str, by: str, gap: str = "30 minutes", delay: str = "1 hour"
 ) -> DataFrame:
