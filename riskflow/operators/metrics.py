@@ -14,7 +14,15 @@ from pyspark.sql import functions as F
 from riskflow import catalog
 from riskflow.functions.scalar import count_where, hash_uniform, only_row, ratio
 from riskflow.operators.prefix import exact_quantiles, ordered_prefix, range_bounds
-from riskflow.operators.replicates import holdout_weights, poisson_weights, replicate_pr_auc
+from riskflow.operators.replicates import (
+    Prepare,
+    block_counts,
+    holdout_weights,
+    replicate_pr_auc,
+    replicate_totals,
+    resample_weights,
+    whole_blocks,
+)
 
 # Smallest distance of a probability from 0 and 1 in the log loss: double epsilon.
 EPSILON = 2.220446049250313e-16
@@ -208,21 +216,46 @@ def bootstrap_std_error(
 ) -> DataFrame:
     """Standard error of the weighted average precision by resampling.
 
-    Rows with equal score, label and weight fold into one cell with a count n, and
-    a draw replaces n by a Poisson(n) number. That is the bootstrap with a random
-    total, which differs from a fixed total by less than the error it estimates.
-    Draws with a single class are skipped.
+    Rows with equal score, label and weight fold into one cell with a count; a draw
+    takes exactly as many rows as there are, with replacement, whatever the layout.
+    Draws with a single class are skipped. Rows without a score, label or weight take no part.
     """
-    cells = df.groupBy(score, label, weight).agg(F.count(F.lit(1)).alias("n"))
-    if bounds is None:
-        bounds = range_bounds(df, score)
-    drawn = poisson_weights(seed, score, label, weight, "n")
-    per_draw = replicate_pr_auc(cells, score, draws, drawn, bounds)
+    cells, drawn, cuts = _resample(df, label, score, weight, seed, bounds)
+    per_draw = replicate_pr_auc(cells, score, draws, drawn, cuts)
     return per_draw.agg(
         F.count("pr_auc").alias("draws"), F.stddev_samp("pr_auc").alias("std_error")
     )
 
 
+def bootstrap_totals(
+    df: DataFrame,
+    label: str,
+    score: str,
+    draws: int = 200,
+    seed: int = 0,
+    bounds: Sequence[float] | None = None,
+) -> DataFrame:
+    """Rows of either class in each draw: draw, positives, negatives. Their sum is the number of rows."""
+    cells, drawn, cuts = _resample(df.withColumn("_one", F.lit(1.0)), label, score, "_one", seed, bounds)
+    made = replicate_totals(cells, score, draws, drawn, cuts)
+    counts = [F.col(c).cast("bigint").alias(c) for c in ("positives", "negatives")]
+    return made.select(F.col("replicate").alias("draw"), *counts)
+
+
+def _resample(
+    df: DataFrame, label: str, score: str, weight: str, seed: int, bounds: Sequence[float] | None
+) -> tuple[DataFrame, Prepare, list[float]]:
+    """The folded cells, what draws from them, and boundaries that hold whole blocks."""
+    number = F.col(score).cast("double")
+    given = number.isNotNull() & ~F.isnan(number) & F.col(label).isNotNull() & F.col(weight).isNotNull()
+    cells = df.where(given).groupBy(score, label, weight).agg(F.count(F.lit(1)).alias("n"))
+    if bounds is None:
+        bounds = range_bounds(df, score)
+    ones = df.where(given).select(score, F.lit(1).alias("n"))
+    drawn = resample_weights(seed, score, label, weight, "n", block_counts(ones, score, "n"))
+    return cells, drawn, whole_blocks(bounds)
+
+
 def usable(
     estimate: DataFrame,
     std_error: DataFrame,

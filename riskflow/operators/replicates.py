@@ -85,58 +85,79 @@ def replicate_pr_auc(
     return found.select("replicate", F.when(both, F.col("_part") / F.col("_p")).alias("pr_auc"))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: close inputs give unrelated outputs."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Score blocks of a resample (a power of two) and draws made at a time. Neither depends on the data.
+BLOCKS, BUNCH = 1 << 12, 8
 
 
-def _uniform(code: np.ndarray) -> np.ndarray:
-    """In (0, 1), never an end."""
-    return ((code >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+def block_of(score: np.ndarray, blocks: int = BLOCKS) -> np.ndarray:
+    """Equal parts of [0, 1]; scores beyond it belong to the first or last part."""
+    return np.minimum(np.floor(np.clip(score, 0.0, 1.0) * blocks), blocks - 1).astype(np.int64)
 
 
-#: Above this mean a rounded normal number stands for a Poisson number.
-_NORMAL = 64.0
+def whole_blocks(bounds: Sequence[float], blocks: int = BLOCKS) -> list[float]:
+    """The boundaries moved down to edges of blocks, so that a range holds whole blocks."""
+    return sorted({float(b) / blocks for b in block_of(np.array(bounds, dtype=float), blocks) if b > 0})
 
 
-def poisson_counts(mean: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """A Poisson number per mean, decided by its 64-bit code alone."""
-    u, drawn = _uniform(code), np.zeros(len(mean))
-    small = mean <= _NORMAL
-    m, v = mean[small], u[small]
-    chance = np.exp(-m)
-    below, counts, k = chance.copy(), np.zeros(len(m)), 0
-    while len(m) and (open_ := v > below).any() and k < 1000:
-        k += 1
-        chance = chance * m / k
-        counts[open_] = k
-        below += chance
-    drawn[small] = counts
-    angle = 2 * np.pi * _uniform(_mixed(code[~small] + np.uint64(1)))
-    normal = np.sqrt(-2 * np.log(u[~small])) * np.cos(angle)
-    drawn[~small] = np.maximum(0.0, np.rint(mean[~small] + np.sqrt(mean[~small]) * normal))
-    return drawn
+def block_counts(cells: DataFrame, score: str, count: str, blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
+    """Rows per block, at most ``blocks`` pairs, which the driver hands to every task."""
+    part = F.greatest(F.least(F.floor(F.col(score) * F.lit(float(blocks))), F.lit(blocks - 1)), F.lit(0))
+    rows = cells.groupBy(part.alias("block")).agg(F.sum(count).alias("n")).collect()
+    known = sorted((r["block"], r["n"]) for r in rows)
+    return np.array([b for b, _ in known], dtype=np.int64), np.array([n for _, n in known], dtype=np.int64)
 
 
-def poisson_weights(seed: int, score: str, label: str, weight: str, count: str) -> Prepare:
-    """Each cell counts a Poisson number of times, from a hash of seed, draw and the cell's
-    values. Ranges and tasks do not enter, so any layout of the data draws the same."""
+def _source(*key: int) -> np.random.Generator:
+    """Random numbers that depend on the key alone."""
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence(key)))
+
+
+def resample_weights(
+    seed: int,
+    score: str,
+    label: str,
+    weight: str,
+    count: str,
+    known: tuple[np.ndarray, np.ndarray],
+    blocks: int = BLOCKS,
+) -> Prepare:
+    """A bootstrap draw of exactly as many rows as there are, in two steps.
+
+    All rows are dealt to the score blocks at once (the same numbers in every task), a
+    block's share to its cells in the order of their values. Both are binomial splits whose
+    source is seeded by seed, draws and block; ranges must hold whole blocks (``whole_blocks``).
+    So any layout of the data draws the same, and the size of a cell changes no law.
+    """
+    ids, sizes = known
 
     def prepare(rows: pd.DataFrame, number: int) -> Weighting:
+        rows = rows.sort_values([score, label, weight], kind="stable")
         n, place = by_score(rows[score])
-        mean = rows[count].to_numpy(dtype=float)
+        size = rows[count].to_numpy(dtype=np.int64)
         w = rows[weight].to_numpy(dtype=float)
         positive = rows[label].to_numpy() == 1
-        cell = np.full(len(rows), seed, np.uint64)
-        for values in (rows[score], rows[weight], rows[label]):
-            bits = (values.to_numpy(dtype=np.float64) + 0.0).view(np.uint64)
-            cell = _mixed(cell * np.uint64(0x9E3779B97F4A7C15) + bits)
+        here, start = np.unique(block_of(rows[score].to_numpy(dtype=float), blocks), return_index=True)
+        ends, at = np.append(start[1:], len(rows)), np.searchsorted(ids, here)
+        held: dict[int, np.ndarray] = {}
+
+        def bunch(number: int) -> np.ndarray:
+            total = np.full(BUNCH, sizes.sum())
+            share = _source(seed, number).multinomial(total, sizes / sizes.sum())
+            made = np.empty((BUNCH, len(rows)))
+            for block, a, z, i in zip(here, start, ends, at, strict=True):
+                if z - a == 1:
+                    made[:, a] = share[:, i]
+                    continue
+                split = size[a:z] / size[a:z].sum()
+                made[:, a:z] = _source(seed, number, int(block) + 1).multinomial(share[:, i], split)
+            return made
 
         def weigh(r: int) -> tuple[np.ndarray, np.ndarray]:
-            step = np.uint64((r + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1)
-            drawn = w * poisson_counts(mean, _mixed(cell + step))
+            number, i = divmod(r, BUNCH)
+            if number not in held:
+                held.clear()
+                held[number] = bunch(number)
+            drawn = w * held[number][i]
             return (
                 np.bincount(place, drawn * positive, n),
                 np.bincount(place, drawn * ~positive, n),
@@ -147,6 +168,20 @@ def poisson_weights(seed: int, score: str, label: str, weight: str, count: str)
     return prepare
 
 
+def replicate_totals(
+    cells: DataFrame, score: str, replicates: int, prepare: Prepare, bounds: Sequence[float]
+) -> DataFrame:
+    """``replicate, positives, negatives``: the weight that each weighting gives to either class."""
+
+    def totals(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        weigh = prepare(rows, key[0])
+        sums = [(r, *[part.sum() for part in weigh(r)]) for r in range(replicates)]
+        return pd.DataFrame(sums, columns=["replicate", "tp", "fp"])
+
+    held = with_range(cells, score, bounds).groupBy(_RANGE).applyInPandas(totals, "replicate int, tp double, fp double")
+    return held.groupBy("replicate").agg(F.sum("tp").alias("positives"), F.sum("fp").alias("negatives"))
+
+
 def holdout_weights(rates: Sequence[float], draws: int, score: str) -> Prepare:
     """Weighting ``slot * draws + draw`` adds the declined rows of that draw, taken at that
     rate, to the approved rows (draw -1), each weighted by the inverse of its chance."""

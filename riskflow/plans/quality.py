@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskflow import catalog
@@ -524,3 +524,25 @@ def bootstrap_se(spark: SparkSession, sf: str) -> DataFrame:
     spread = metrics.bootstrap_std_error(rows, "label", "probability", "weight", bounds=bounds)
     estimate = metrics.ranking(rows, "label", "probability", "weight", bounds=bounds)
     return metrics.usable(estimate.select("rows", "effective_rows", "pr_auc"), spread)
+
+
+@query(
+    "bootstrap_totals",
+    with_views(
+        """SELECT CAST(d.draw AS INT) AS draw, n AS total, TRUE AS both_classes, TRUE AS varies
+           FROM (SELECT COUNT(*) AS n FROM observed_rows) CROSS JOIN RANGE(0, 200) d(draw)""",
+        "observed_rows",
+    ),
+)
+def bootstrap_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Each of 200 draws has as many rows as the table, of both classes, and not the table's own mix alone."""
+    rows = observed_rows(spark, sf)
+    made = metrics.bootstrap_totals(rows, "label", "probability", bounds=score_bounds(spark, sf))
+    whole = Window.partitionBy(F.col("positives") + F.col("negatives"))  # one row per draw
+    varies = F.min("positives").over(whole) < F.max("positives").over(whole)
+    return made.select(
+        "draw",
+        (F.col("positives") + F.col("negatives")).alias("total"),
+        ((F.col("positives") > 0) & (F.col("negatives") > 0)).alias("both_classes"),
+        varies.alias("varies"),
+    )

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -8,11 +9,11 @@ from riskflow.functions.scalar import hash_uniform
 from riskflow.operators import decide, fairness, metrics
 from riskflow.operators.prefix import exact_quantiles, ordered_prefix, range_bounds, with_range
 from riskflow.operators.replicates import (
-    _mixed,
+    block_counts,
+    block_of,
     by_score,
-    poisson_counts,
-    poisson_weights,
     replicate_pr_auc,
+    resample_weights,
 )
 
 
@@ -154,19 +155,49 @@ def test_bootstrap_error_is_near_brute_force(scored):
         assert again.std_error == pytest.approx(made.std_error, rel=1e-9)
 
 
-def test_poisson_counts_have_mean_and_variance():
-    for mean in (0.5, 5.0, 64.0, 500.0):
-        code = _mixed(np.arange(100_000, dtype=np.uint64))
-        drawn = poisson_counts(np.full(len(code), mean), code)
-        assert drawn.mean() == pytest.approx(mean, rel=0.02)
-        assert drawn.var() == pytest.approx(mean, rel=0.03)
+def folded(df):
+    return df.groupBy("p", "y", "w").agg(F.count("*").alias("n"))
 
 
-def test_poisson_weights_have_the_mean_of_the_counts(scored):
-    cells = scored.groupBy("p", "y", "w").agg(F.count("*").alias("n")).toPandas()
-    weigh = poisson_weights(1, "p", "y", "w", "n")(cells, 0)
+def test_draws_have_exactly_as_many_rows_in_any_layout(scored):
+    made = {}
+    for parts, cuts in [(3, [0.3, 0.5]), (8, [0.1, 0.2, 0.41, 0.45, 0.7]), (16, []), (32, [0.5, 7.0, -1.0])]:
+        found = metrics.bootstrap_totals(scored.repartition(parts), "y", "p", draws=20, bounds=cuts).collect()
+        assert [r.positives + r.negatives for r in found] == [scored.count()] * 20
+        made[parts] = sorted((r.draw, r.positives) for r in found)
+    assert len({tuple(v) for v in made.values()}) == 1
+    assert len({p for _, p in made[3]}) > 5
+
+
+def test_scores_beyond_the_unit_range_are_drawn_too(spark):
+    given = [(x, float(i % 2), 1.0) for i, x in enumerate([-3.0, 0.0, 0.5, 1.0, 2.5] * 40)]
+    odd = [(None, 1.0, 1.0), (float("nan"), 1.0, 1.0), (0.5, None, 1.0)]
+    df = spark.createDataFrame(given + odd, "p double, y double, w double")
+    for cuts in ([], [0.0, 0.5, 1.0]):
+        found = metrics.bootstrap_totals(df, "y", "p", draws=5, bounds=cuts).collect()
+        assert [r.positives + r.negatives for r in found] == [200] * 5
+
+
+def test_a_cell_is_drawn_binomially_whatever_its_size():
+    """Mean and variance of a cell's number, for a cell of one row and one of 4,000."""
+    cells = pd.DataFrame({"p": [0.1, 0.1, 0.6], "y": [0, 1, 1], "w": 1.0, "n": [995, 4_000, 5]})
+    known = (np.unique(block_of(cells["p"].to_numpy())), np.array([4_995, 5]))
+    weigh = resample_weights(3, "p", "y", "w", "n", known)(cells, 0)
+    drawn = np.array([(*weigh(r)[0], *weigh(r)[1]) for r in range(4_000)])
+    assert (drawn.sum(axis=1) == 5_000).all()
+    for column, n in [(0, 5), (1, 4_000), (3, 995)]:
+        x, q = drawn[:, column], n / 5_000
+        assert x.mean() == pytest.approx(n, abs=4 * np.sqrt(n * (1 - q) / 4_000))
+        assert x.var() == pytest.approx(n * (1 - q), rel=0.1)
+
+
+def test_resample_weights_have_the_mean_of_the_counts(scored):
+    cells = folded(scored)
+    known = block_counts(cells, "p", "n")
+    weigh = resample_weights(1, "p", "y", "w", "n", known)(cells.toPandas(), 0)
     total = np.mean([sum(part.sum() for part in weigh(r)) for r in range(200)])
-    assert total == pytest.approx((cells["n"] * cells["w"]).sum(), rel=0.02)
+    pairs = cells.agg(F.sum(F.col("n") * F.col("w"))).first()[0]
+    assert total == pytest.approx(pairs, rel=0.02)
 
 
 def test_estimates_can_be_unusable(spark):
