@@ -4,7 +4,7 @@ The tokenizer puts a mark in place of every blank and before the text, cuts in f
 each mark, and cuts each word into the pieces with the best sum of scores. An
 Aho-Corasick automaton finds all pieces that end at each place of a word; dynamic
 programming carries only the best score, the number of pieces and whether the last one
-is unknown. Ties: of pieces that end at one place with equal sums the longest stays;
+is unknown; places that no piece reaches back to are let go. Ties: of pieces that end at one place with equal sums the longest stays;
 a character without a piece of its own may be unknown, which wins only if it is
 better; unknown characters in a row are one token, or one token per UTF-8 byte where the
 vocabulary declares byte fallback. Byte pieces never match text. Words repeat, so counts are
@@ -28,6 +28,10 @@ MARK, UNKNOWN_BELOW = "▁", 10.0
 #: Public vocabulary with scores; a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
+#: Places of a word that are held beyond the longest piece, characters of a text that are cut
+#: into words at a time, and the longest word whose count is remembered.
+HELD, STRETCH, REMEMBERED = 4_096, 1_000_000, 64
+
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
     value = shift = 0
@@ -92,37 +96,49 @@ class Counter(dict):
                 self.pieces.add_word(piece, (len(piece), score))
         if vocabulary:
             self.pieces.make_automaton()
+        self.longest = max((len(p) for p, _ in vocabulary), default=1)
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_BELOW
         self.empty = not vocabulary
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        found = self[word] = self.count_word(word)
+        found = self.count_word(word)
+        if len(word) <= REMEMBERED:
+            if len(self) > 400_000:
+                self.clear()
+            self[word] = found
         return found
 
     def count_word(self, word: str) -> int:
-        ending: dict[int, list[tuple[int, float]]] = {}
-        if not self.empty:
-            for end, match in self.pieces.iter(word):
-                ending.setdefault(end + 1, []).append(match)
-        best, count, strange = [0.0], [0], [False]
+        """Matches are read as they come and only the places that a piece can start from are
+        held, so the memory does not grow with the word."""
+        found = iter(()) if self.empty else self.pieces.iter(word)
+        at, match = next(found, _NO_MATCH)
+        # State of the places from ``gone`` on.
+        best, count, strange, gone = [0.0], [0], [False], 0
         for end in range(1, len(word) + 1):
+            matches = []
+            while at == end - 1:
+                matches.append(match)
+                at, match = next(found, _NO_MATCH)
             # Longest first: the earliest start is met first and stays when sums are equal.
+            matches.sort(reverse=True)
             top, n, odd, single = None, 0, False, False
-            for size, score in sorted(ending.get(end, ()), reverse=True):
+            for size, score in matches:
                 single = single or size == 1
-                total = best[end - size] + score
+                total = best[end - size - gone] + score
                 if top is None or total > top:
-                    top, n = total, count[end - size] + 1
+                    top, n = total, count[end - size - gone] + 1
             if not single:
-                total = best[end - 1] + self.unknown
+                total = best[-1] + self.unknown
                 if top is None or total > top:
-                    more = len(word[end - 1].encode()) if self.fallback else not strange[end - 1]
-                    top, n, odd = total, count[end - 1] + more, True
+                    more = len(word[end - 1].encode()) if self.fallback else not strange[-1]
+                    top, n, odd = total, count[-1] + more, True
             best.append(top)
             count.append(n)
             strange.append(odd)
+            if len(best) > self.longest + HELD:
+                gone += HELD
+                del best[:HELD], count[:HELD], strange[:HELD]
         return count[-1]
 
     def count_text(self, text: str) -> int:
@@ -131,9 +147,17 @@ class Counter(dict):
         text = text.replace(" ", MARK)
         if text[0] != MARK:
             text = MARK + text
-        return sum(map(self.__getitem__, _WORDS.findall(text)))
+        total, start = 0, 0
+        while start < len(text):
+            # Words of one stretch at a time; a stretch ends where a word does.
+            end = text.find(MARK, start + STRETCH)
+            end = len(text) if end < 0 else end
+            total += sum(map(self.__getitem__, _WORDS.findall(text, start, end)))
+            start = end
+        return total
 
 
+_NO_MATCH = (-1, None)
 _WORDS = re.compile(f"{MARK}[^{MARK}]*")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,32 @@ def test_unknown_characters_fall_back_to_bytes(spark):
     assert got == {i: len(made.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("vocabulary", [TINY, VOCABULARY], ids=["ties", "public"])
+def test_long_words_and_stretches_equal_the_tokenizer(vocabulary, monkeypatch):
+    want, source = library(vocabulary), random.Random(7)
+    texts = ["".join(source.choices("abcé日", k=30_000)), "".join(source.choices("abab ", k=30_000)), "▁" * 9_000]
+    wanted = list(map(want, texts))
+    for held, stretch in [(4_096, 1_000_000), (1, 10), (3, 1_000)]:
+        monkeypatch.setattr(tokens, "HELD", held)
+        monkeypatch.setattr(tokens, "STRETCH", stretch)
+        count = tokens.Counter(vocabulary)
+        assert list(map(count.count_text, texts)) == wanted
+        assert all(len(word) <= tokens.REMEMBERED for word in count)
+
+
+def test_a_text_without_blanks_takes_bounded_memory():
+    def peak(text):
+        tracemalloc.start()
+        count.count_text(text)
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top
+
+    count, text = tokens.Counter(VOCABULARY), "".join(random.Random(9).choices("abcdefgh", k=1_000_000))
+    # The copies of the text itself, not a multiple of hundreds of bytes a character.
+    assert peak(text) < 12 * len(text)
+
+
 def test_counts_of_hard_rows(spark):
     rows = [(1, None), (2, ""), (3, "some words"), (3, "some words"), (None, "x"), (4, "word " * 50_000)]
     docs = spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, text string, n_tokens string")
