@@ -24,7 +24,7 @@ from riskflow.functions.scalar import count_where
 from riskflow.operators import decide, metrics, sampling
 from riskflow.session import shared_folder
 
-# A column with more codes than this is not a category.
+# A column with more codes than this is not a category: its codes are learned by the driver.
 MAX_LEVELS = 1000
 
 
@@ -58,25 +58,30 @@ class Encoding:
 
 
 def fit_encoding(
-    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
+    df: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    max_levels: int = MAX_LEVELS,
 ) -> Encoding:
-    """Learn the encoding in two passes that each return one row.
+    """Learn the encoding in passes that return one row, or one per category.
 
     Deviations are those of the population; a constant column is left unscaled. The
-    number of codes is estimated first, so that no task gathers an open-ended set.
+    codes are counted first, exactly and in shuffled groups, so that no task gathers an
+    open-ended set; a column with more than ``max_levels`` is refused.
     """
     stats = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.avg(c).cast("double").alias(f"m_{c}") for c in numeric],
         *[F.stddev_pop(c).cast("double").alias(f"s_{c}") for c in numeric],
-        *[F.approx_count_distinct(c).alias(f"n_{c}") for c in categorical],
     ).first()
-    wide = [c for c in categorical if stats[f"n_{c}"] > MAX_LEVELS]
-    if wide:
-        raise ValueError(f"too many codes for a category: {wide}")
     scaled = {c: (stats[f"m_{c}"], stats[f"s_{c}"] or 1.0) for c in numeric}
     if not categorical:
         return Encoding(scaled, {}, stats["rows"])
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("code")) for c in categorical]
+    met = df.select(F.inline(F.array(*pairs))).where("code is not null").distinct()
+    levels = met.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    if wide := sorted(r["column"] for r in levels.where(F.col("n") > max_levels).collect()):
+        raise ValueError(f"too many codes for a category: {wide}")
     codes = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in categorical]).first()
     return Encoding(scaled, {c: list(codes[c]) for c in categorical}, stats["rows"])
 

@@ -103,6 +103,21 @@ def recent_features_topn(spark: SparkSession, sf: str) -> DataFrame:
     return reshape.parse_documents(newest, "features", "k INT")
 
 
+@query(
+    "recent_features_500",
+    with_views(
+        """SELECT event_id, predicted_at, CAST(json_extract_string(features, '$.k') AS INT) AS k
+           FROM prediction_log ORDER BY predicted_at DESC, event_id DESC LIMIT 500""",
+        "prediction_log",
+    ),
+)
+def recent_features_500(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``recent_features_topn`` with a number that every table of the tests exceeds."""
+    rows = standins.prediction_log(spark, sf).select("event_id", "predicted_at", "features")
+    newest = tables.newest(rows, "predicted_at", 500, tie="event_id")
+    return reshape.parse_documents(newest, "features", "k INT")
+
+
 _PARTLY_KEYED = """SELECT CASE WHEN o_orderkey % 10 <> 0 THEN application_id END AS application_id,
     d.customer_id, d.predicted_at, d.probability, d.prediction, o_orderkey
   FROM decisions d JOIN orders ON application_id = 'APP-' || LPAD(CAST(o_orderkey AS VARCHAR), 9, '0')"""

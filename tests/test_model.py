@@ -178,3 +178,15 @@ def test_loose_split_is_about_right_and_repeatable(applications):
     share = {r.cohort: r["count"] / 400 for r in made.groupBy("cohort").count().collect()}
     assert share["current"] == pytest.approx(0.25, abs=0.07)
     assert share["test"] == pytest.approx(0.15, abs=0.07)
+
+
+def test_codes_are_counted_exactly(spark):
+    df = spark.range(3_000).select(
+        F.col("id").alias("x"),
+        (F.col("id") % 1_000).cast("int").alias("full"),
+        F.when(F.col("id") > 0, (F.col("id") % 1_001).cast("string")).alias("over"),
+    )
+    assert len(model.fit_encoding(df, ["x"], ["full"]).levels["full"]) == 1_000
+    with pytest.raises(ValueError, match="over"):
+        model.fit_encoding(df, ["x"], ["full", "over"])
+    assert len(model.fit_encoding(df, ["x"], ["over"], max_levels=1_001).levels["over"]) == 1_001
