@@ -4,8 +4,9 @@ A leaf pays its value if the row meets every condition on its path. Seen as a ga
 in which the features of the path join one by one, a feature that is in sets its
 own condition, and one that is out stands for the share of training rows that
 went that way. The Shapley value of that product game has a short closed form, so
-the attribution of a row is a sum over leaves. The leaves are a table of the size
-of the model and go to every task; rows are handled in Arrow batches.
+the attribution of a row is a sum over leaves. It depends only on which conditions
+hold, so each leaf has a table of its gains for all combinations of them. Leaves and
+tables are of the size of the model and go to every task; rows are handled in Arrow batches.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from pyspark.sql import types as T
 from riskflow.operators.model import Scorer, contribution
 
 
+#: Features of a path up to which its gains are looked up: two to that power are held per feature.
+MOST_TABLED = 8
+
+
 class Leaf(NamedTuple):
     """A leaf: its value, and per feature of its path the interval and the share of rows."""
 
@@ -59,37 +64,69 @@ def _walk(node, weight: float, path: dict, found: list[Leaf]) -> None:
         _walk(child, weight, {**path, feature: (*limits, share * part)}, found)
 
 
-def attribute(x: np.ndarray, leaves: Sequence[Leaf], source: np.ndarray, n: int) -> np.ndarray:
-    """Rows of ``n`` source attributions, then the base value in the last column."""
-    out = np.zeros((len(x), n + 1))
-    for value, features, low, high, share in leaves:
-        m = len(features)
-        out[:, n] += value * np.prod(share)
-        if m == 0:
-            continue
-        values = x[:, features]
-        met = ((values > low) & (values <= high)).astype(float)
-        for j in range(m):
-            # Coefficient s: total product over the groups of s other features that are in.
-            groups = np.zeros((len(x), m))
-            groups[:, 0] = 1.0
-            for i in range(m):
-                if i != j:
-                    joined = groups[:, :-1] * met[:, [i]]
-                    groups *= share[i]
-                    groups[:, 1:] += joined
-            weights = [factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)]
-            gain = value * (met[:, j] - share[j]) * (groups @ np.array(weights))
-            out[:, source[features[j]]] += gain
+def _gains(met: np.ndarray, value: float, share: Sequence[float]) -> np.ndarray:
+    """What each feature of a leaf's path adds, a row per row of ``met``: which conditions hold."""
+    m = len(share)
+    weights = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
+    out = np.empty((len(met), m))
+    for j in range(m):
+        # Coefficient s: total product over the groups of s other features that are in.
+        groups = np.zeros((len(met), m))
+        groups[:, 0] = 1.0
+        for i in range(m):
+            if i != j:
+                joined = groups[:, :-1] * met[:, [i]]
+                groups *= share[i]
+                groups[:, 1:] += joined
+        out[:, j] = value * (met[:, j] - share[j]) * (groups @ weights)
     return out
 
 
+def gain_tables(leaves: Sequence[Leaf]) -> list[np.ndarray | None]:
+    """Per leaf the gains for every combination of conditions that hold, one row per feature;
+    none for a path of more than ``MOST_TABLED`` features."""
+    bits = {m: (np.arange(2**m)[:, None] >> np.arange(m) & 1).astype(float) for m in range(MOST_TABLED + 1)}
+    return [
+        np.ascontiguousarray(_gains(bits[len(share)], value, share).T) if len(share) <= MOST_TABLED else None
+        for value, _, _, _, share in leaves
+    ]
+
+
+def attribute(
+    x: np.ndarray,
+    leaves: Sequence[Leaf],
+    source: np.ndarray,
+    n: int,
+    tables: Sequence[np.ndarray | None] | None = None,
+) -> np.ndarray:
+    """Rows of ``n`` source attributions, then the base value in the last column.
+
+    The gains of a leaf depend only on which of its conditions hold, so a row looks them
+    up in the leaf's table; ``tables`` are those of ``gain_tables``.
+    """
+    tables = gain_tables(leaves) if tables is None else tables
+    columns, out = np.ascontiguousarray(x.T), np.zeros((n + 1, len(x)))
+    for (value, features, low, high, share), table in zip(leaves, tables, strict=True):
+        out[n] += value * np.prod(share)
+        met = [(columns[f] > a) & (columns[f] <= b) for f, a, b in zip(features, low, high, strict=True)]
+        if table is None:
+            gains = _gains(np.column_stack(met).astype(float), value, share).T
+        else:
+            code = np.zeros(len(x), np.intp)
+            for j, holds in enumerate(met):
+                code |= holds.astype(np.intp) << j
+            gains = [row.take(code) for row in table]
+        for f, gain in zip(features, gains, strict=True):
+            out[source[f]] += gain
+    return out.T
+
+
 def tree_contributions(scorer: Scorer, df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``contributions`` per source column, ``base`` and the model's ``margin`` per row."""
     sources = list(dict.fromkeys(scorer.encoding.sources()))
     place = np.array([sources.index(s) for s in scorer.encoding.sources()])
     leaves = [tuple(leaf) for leaf in leaves_of(scorer.model)]
-    shared = df.sparkSession.sparkContext.broadcast((leaves, place))
+    shared = df.sparkSession.sparkContext.broadcast((leaves, place, gain_tables(leaves)))
     kept = list(dict.fromkeys([*keys, *sources]))
     rows = scorer.pipeline.transform(df).select(
         *kept,
@@ -103,10 +140,10 @@ def tree_contributions(scorer: Scorer, df: DataFrame, keys: Sequence[str]) -> Da
     )
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leaves, where = shared.value
+        leaves, where, tables = shared.value
         for batch in batches:
             x = np.array(batch["_x"].tolist(), dtype=float).reshape(len(batch), -1)
-            made = attribute(x, leaves, where, width)
+            made = attribute(x, leaves, where, width, tables)
             yield batch.drop(columns="_x").assign(_a=list(made))
 
     explained = rows.mapInPandas(explain, schema)
