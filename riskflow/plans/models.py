@@ -320,32 +320,33 @@ def counterfactual_invariance(spark: SparkSession, sf: str) -> DataFrame:
 @query("leak_report")
 def leak_report(spark: SparkSession, sf: str) -> DataFrame:
     """Per month: the precision a leaky model reports, what it gets in production, and
-    the honest one."""
+    the honest one.
+
+    The join that ignores time gives every month the same rows, so one month of it is
+    stored, and one leaky model is fitted and reported for all.
+    """
     apps = records(spark, sf)
     names = [*views.EVENT_FEATURES, "limit_bal", "utilisation_latest"]
     label = apps.select(KEY, LABEL)
     root = shared_folder(spark)
-    frames = {}
-    for name, made in zip(("honest", "leaked"), features.both_joins(apps), strict=True):
-        # Stored: every month reads both tables for two fits and three scores.
-        made.join(label, KEY).write.partitionBy("as_of").parquet(f"{root}/{name}")
-        frames[name] = spark.read.parquet(f"{root}/{name}")
+    right, wrong = features.both_joins(apps)
+    # Stored: every month is read for a fit and for its scores.
+    right.join(label, KEY).write.partitionBy("as_of").parquet(f"{root}/honest")
+    wrong.where(F.col("as_of") == F.lit(catalog.MONTHS[0])).join(label, KEY).write.parquet(f"{root}/leaked")
+    train, test = parts(spark.read.parquet(f"{root}/leaked"))
+    fit = fit_logistic(names, [])
+    leaked = fit(train)
+    reported = metrics.ranking(leaked.score(test), LABEL, "probability", bounds=EVEN).where("rows > 0")
+    months = F.explode(F.array(*[F.lit(m) for m in catalog.MONTHS])).alias("as_of")
+    reported = reported.select(months, F.col("pr_auc").alias("leaked_reported"))
     scored = None
     for month in catalog.MONTHS:
-        now = {n: parts(f.where(F.col("as_of") == F.lit(month))) for n, f in frames.items()}
-        fit = fit_logistic(names, [])
-        honest, leaked = fit(now["honest"][0]), fit(now["leaked"][0])
-        for variant, scorer, rows in (
-            ("leaked_reported", leaked, now["leaked"][1]),
-            ("leaked_in_production", leaked, now["honest"][1]),
-            ("honest", honest, now["honest"][1]),
-        ):
-            part = scorer.score(rows).select(
-                F.lit(month).alias("as_of"), F.lit(variant).alias("variant"), LABEL, "probability"
-            )
-            scored = part if scored is None else scored.unionByName(part)
+        train, test = parts(spark.read.parquet(f"{root}/honest").where(F.col("as_of") == F.lit(month)))
+        both = fit(train).score(leaked.score(test, "leaked_in_production"), "honest")
+        part = both.select(F.lit(month).alias("as_of"), LABEL, "leaked_in_production", "honest")
+        scored = part if scored is None else scored.unionByName(part)
+    variants = ["leaked_in_production", "honest"]
+    scored = scored.unpivot(["as_of", LABEL], variants, "variant", "probability")
     made = metrics.ranking(scored, LABEL, "probability", by=["as_of", "variant"], bounds=EVEN)
-    return made.groupBy("as_of").pivot(
-        "variant", ["leaked_reported", "leaked_in_production", "honest"]
-    ).agg(F.first("pr_auc"))
-
+    made = made.groupBy("as_of").pivot("variant", variants).agg(F.first("pr_auc"))
+    return reported.join(made, "as_of", "left")
