@@ -1,10 +1,10 @@
 """Collocations by stripes: each prefix keys a counter of the words that follow it.
 
-A stripe of a prefix of L words counts, for each next word, how often it follows, and in
-an entry without a next word how often the prefix occurs, whatever follows. So one
-structure gives the counts of all extensions (its entries), the count of the prefix (its
-total) and the largest count among the extensions (its maximum), which tells whether a
-longer phrase subsumes the prefix.
+A stripe of a prefix of L words counts, for each next word, how often it follows, and of a
+single word, in an entry without a next word, how often it occurs, whatever follows. The
+total of a longer prefix is an entry of the stripe one word shorter, so each phrase is
+handed on once. Entries give the counts of all phrases and the largest count among the
+extensions of each, which tells whether a longer phrase subsumes the prefix.
 
 Tasks build stripes of the texts that they read, folded in sorted arrays of bounded size,
 and hand them on as (prefix, next, count), one row per entry: a prefix with a third of
@@ -264,8 +264,11 @@ class _Tally:
         some = (follows >= 0) & last.test(parts)
         high = c[at] if size < 3 else c[at] << 32 | c[at + 1]
         low = c[at + size - 1] << 32 if size > 1 else np.zeros(len(at), np.int64)
-        # Each prefix in its total, and with its next word where that may matter.
-        high, low = np.concatenate([high, high[some]]), np.concatenate([low, low[some] | (follows[some] + 1)])
+        # With its next word where that may matter; single words in their total too, longer ones are entries of shorter prefixes.
+        whole = slice(None) if size == 1 else slice(0)
+        high, low = np.concatenate([high[whole], high[some]]), np.concatenate([low[whole], low[some] | (follows[some] + 1)])
+        if not len(high):
+            return
         rows = self.folded.setdefault(size, [])
         rows.append(_sum_rows(high, low, np.ones(len(high), np.int64)))
         if len(rows) > 1 and 2 * sum(len(x[0]) for x in rows) > _ENTRIES:
@@ -276,7 +279,7 @@ class _Tally:
         return max([sum(len(x[0]) for x in rows) for rows in self.folded.values()], default=0) > _ENTRIES or len(self.names) > 2 * _WORDS
 
     def flush(self) -> Iterator[pd.DataFrame]:
-        """Entries of all stripes so far, totals with a null next word, and numbers of words; leaves nothing."""
+        """Entries of all stripes so far, totals of single words with a null next word, and numbers of words; leaves nothing."""
         self.fold()
         for size, rows in self.folded.items():
             high, low, n = _sum_rows(*[np.concatenate(x) for x in zip(*rows, strict=True)])
@@ -302,8 +305,8 @@ class _Tally:
 
 
 def stripes(texts: DataFrame, sizes: tuple[int, ...], known: list[Known], fewest: int) -> DataFrame:
-    """(size, lang, prefix, next, n): merged entries and, with a null next word, totals of at least
-    ``fewest``; of size 0, the words of each language. Stored. ``known`` has a bitmap for each
+    """(size, lang, prefix, next, n): merged entries and, with a null next word, totals of single words of
+    at least ``fewest``; of size 0, the words of each language. Stored. ``known`` has a bitmap for each
     size from one word on, at least for each size of prefix and for pairs.
     """
     shared = texts.sparkSession.sparkContext.broadcast(known)
@@ -341,10 +344,9 @@ def phrase_counts(docs: DataFrame, fewest: int = FEWEST, longest: int = LONGEST)
     rows = stripes(texts, tuple(range(1, longest)), known, fewest)
     sums = rows.filter("size = 0").select("lang", "n")
     phrase = F.concat_ws(" ", "prefix", "next").alias("phrase")
-    totals = rows.filter("size > 0 and next is null").select("lang", "size", F.col("prefix").alias("phrase"), F.col("n").alias("f"))
+    words = rows.filter("size = 1 and next is null").select("lang", "size", F.col("prefix").alias("phrase"), F.col("n").alias("f"))
     entries = rows.filter("size > 0 and next is not null").select("lang", "size", "prefix", phrase, "n")
-    ends = entries.filter(F.col("size") == longest - 1).select("lang", F.lit(longest).alias("size"), "phrase", F.col("n").alias("f"))
-    counts = totals.unionByName(ends)
+    counts = words.unionByName(entries.select("lang", (F.col("size") + 1).alias("size"), "phrase", F.col("n").alias("f")))
     held = entries.filter("size > 1")
     held = held.select("lang", F.col("prefix").alias("phrase"), "n").unionByName(held.select("lang", _tail("phrase").alias("phrase"), "n"))
     most = held.groupBy("lang", "phrase").agg(F.max("n").alias("longer"))

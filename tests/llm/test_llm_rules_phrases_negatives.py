@@ -196,6 +196,25 @@ def test_a_full_bitmap_changes_no_result(spark):
     assert min(k.bits.table.size for k in known) == 1 << 13
 
 
+def test_each_phrase_is_handed_on_once(spark):
+    """The total of a pair is an entry of its first word; only single words have totals."""
+    texts = spark.createDataFrame([(f"t{i % 11} t{i % 7} t{i % 5} t{i % 3}", "en") for i in range(3000)], "text string, lang string")
+    known = []
+    for size in (1, 2, 3):
+        known += phrases.likely(texts, 30, (size,), known)
+    made = phrases.stripes(texts, (1, 2, 3), known, 1).filter("size > 0").collect()
+    spelt = [r["prefix"] if r["next"] is None else f"{r['prefix']} {r['next']}" for r in made]
+    assert len(spelt) == len(set(spelt)) and {r["size"] for r in made if r["next"] is None} == {1}
+    want = Counter()
+    for i in range(3000):
+        w = [f"t{i % k}" for k in (11, 7, 5, 3)]
+        want.update(" ".join(w[a:b]) for a in range(4) for b in range(a + 1, 5))
+    often = {p: n for p, n in want.items() if n >= 30}
+    assert {p: r["n"] for p, r in zip(spelt, made, strict=True) if r["n"] >= 30} == often
+    counts, _ = phrases.phrase_counts(texts)
+    assert {r["phrase"]: r["f"] for r in counts.collect()} == often
+
+
 def mined(rows, anchors, positives=5, negatives_=5):
     rows = list({(i, lab, tuple(v)) for i, lab, v in rows})
     size = Counter(len(v) for *_, v in rows)
