@@ -1,28 +1,30 @@
 """Collocations by stripes: each prefix keys a counter of the words that follow it.
 
-A stripe of a prefix of L words counts, for each next word, how often it follows, and of a
-single word, in an entry without a next word, how often it occurs, whatever follows. The
-total of a longer prefix is an entry of the stripe one word shorter, so each phrase is
-handed on once. Entries give the counts of all phrases and the largest count among the
-extensions of each, which tells whether a longer phrase subsumes the prefix.
-
-Tasks build stripes of the texts that they read, folded in sorted arrays of bounded size,
-and hand them on as (prefix, next, count), one row per entry: a prefix with a third of
-all words spreads over all tasks when stripes are merged element by element.
-
-A phrase can be frequent only if its first and its last words are, so stripes hold only
-entries that may be frequent. Texts are read four times: 64-bit hashes of words are
-counted, then those of pairs and of triples whose parts may be frequent, then all stripes
-are built at once. What may be frequent, tasks know from bitmaps of hashes, sized by the
-number of frequent phrases. Hashes that coincide and bitmaps that are full can only say
-yes too often; such a yes costs a row, which the exact counts then drop, so neither
-changes a result.
+A stripe of a prefix counts, for each next word, how often it follows, and of a single
+word, in an entry without a next word, how often it occurs, whatever follows. The total of
+a longer prefix is an entry of the stripe one word shorter, so entries give the counts of
+all phrases and the largest count among the extensions of each, which tells whether a
+longer phrase subsumes the prefix.
+
+Texts are read once per number of words, and each phrase is counted in one reading only.
+Words are counted first, as they are spelt, and get a 64-bit hash as their number; if two
+words share that of a frequent one, they are counted again by other hashes. Longer phrases
+are counted as the numbers of their words, so their counts are exact, and only frequent
+ones are spelt, by joins to the frequent words. Tasks fold what they read in sorted arrays
+of bounded size and hand on one row per phrase: a prefix with a third of all words spreads
+over all tasks when counts are merged.
+
+A phrase can be frequent only if its parts of one word less are, so others are not handed
+on. What may be frequent, tasks know from bitmaps of hashes, sized by the number of
+frequent phrases. A bitmap that is full can only say yes too often; such a yes costs a
+row, which the exact counts then drop, and changes no result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -45,41 +47,54 @@ _END = b"\xff"
 _BYTES = bytes(
     0xFF if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256)
 )
-#: Bytes of a text whose words are listed at a time, and codes, entries and words kept by a task.
-_CHUNK, _CODES, _ENTRIES, _WORDS = 1 << 18, 1 << 18, 1 << 20, 1 << 17
-#: Hashes that a task counts at a time.
-_HASHES = 1 << 21
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a text whose words are listed at a time, and codes and infrequent words kept by a task.
+_CHUNK, _CODES, _WORDS = 1 << 18, 1 << 18, 1 << 17
+#: Numbered words, their bytes, and phrases that a task holds at a time; phrases that it merges with these at a time.
+_NAMES, _SPELT, _HASHES, _ENTRIES = 1 << 19, 1 << 25, 1 << 21, 1 << 20
+#: Bits by which the hash of a phrase turns before its next word.
+_TURN = 21
+#: Numbers of the words of a phrase, 0 after its last.
+_IDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 
 
 def _hash(word: bytes, seed: int) -> int:
-    """64 bits, but never all of them set: that stands for the end of a piece."""
+    """64 bits, but never all of them set: that stands for the number of all words of a language."""
     h = xxhash.xxh64_intdigest(word, seed)
     return 0 if h == (1 << 64) - 1 else h
 
 
+class _Names(dict):
+    """Numbers of the words of one language, -1 at the end of a piece; ``names`` are common to all languages."""
+
+    def __init__(self, lang: str, names: list):
+        super().__init__({_END: -1})
+        self.lang, self.names = lang, names
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self.names)
+        self.names.append((self.lang, word))
+        return code
+
+
 class _Codes(dict):
     """Numbers of the frequent words of one language, -2 for the others, -1 at the end of a piece.
 
-    ``names`` and ``hashes`` of the numbered words are common to all languages; other
-    words are forgotten when they are many.
+    ``hashes`` of the numbered words are common to all languages; other words are
+    forgotten when they are many.
     """
 
-    def __init__(self, lang: str, names: list, hashes: list, known: Known):
+    def __init__(self, lang: str, hashes: list, known: Known):
         super().__init__({_END: -1})
-        self.lang, self.names, self.hashes = lang, names, hashes
-        self.seed = xxhash.xxh64_intdigest(lang.encode())
+        self.hashes, self.seed = hashes, xxhash.xxh64_intdigest(lang.encode(), known.seed)
         self.table, self.shift = known.bits.table.tobytes(), known.bits.shift
         self.others = 0
 
     def __missing__(self, word: bytes) -> int:
         h = _hash(word, self.seed)
-        # As ``_mixed`` and ``Bits.test`` do for whole columns.
-        at = (h * int(_FACTOR)) & 0xFFFFFFFFFFFFFFFF
-        at = (at ^ at >> 29) >> self.shift
+        # As ``Bits.test`` does for whole columns.
+        at = h >> self.shift
         if self.table[at >> 3] >> (at & 7) & 1:
-            self[word] = code = len(self.names)
-            self.names.append((self.lang, word))
+            self[word] = code = len(self.hashes)
             self.hashes.append(h)
             return code
         if self.others > _WORDS:
@@ -106,213 +121,171 @@ def codes_of(text: str, codes: dict) -> np.ndarray:
 
 
 def _mixed(parts: list[np.ndarray]) -> np.ndarray:
-    """Hashes of phrases from those of their words, in order."""
-    h = np.zeros(len(parts[0]), np.uint64)
-    for x in parts:
-        h = (h ^ x) * _FACTOR
-        h ^= h >> np.uint64(29)
-    return h
+    """Hashes of phrases from those of their words, in order; see ``_mixed_column``."""
+    return reduce(lambda h, x: (h << np.uint64(_TURN) | h >> np.uint64(64 - _TURN)) ^ x, parts)
+
+
+def _mixed_column(words: list[Column]) -> Column:
+    """What ``_mixed`` makes of the signed hashes of words."""
+    return reduce(lambda h, x: F.shiftleft(h, _TURN).bitwiseOR(F.shiftrightunsigned(h, 64 - _TURN)).bitwiseXOR(x), words)
 
 
 @dataclass
 class Known:
-    """Phrases of ``size`` words that may be frequent, by their hashes."""
+    """Phrases of ``size`` words that may be frequent, by their hashes; ``seed`` is that of the words' hashes."""
 
     size: int
     bits: Bits
+    seed: int = 0
 
     def test(self, parts: list[np.ndarray]) -> np.ndarray:
         return self.bits.test(_mixed(parts))
 
 
-class _Hashes(dict):
-    """Signed hashes of the words of one language, forgotten when they are many; -1 at the end of a piece."""
-
-    def __init__(self, lang: str):
-        super().__init__({_END: -1})
-        self.seed = xxhash.xxh64_intdigest(lang.encode())
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _WORDS:
-            self.clear()
-            self[_END] = -1
-        h = _hash(word, self.seed)
-        self[word] = found = h - (1 << 64) if h >> 63 else h
-        return found
-
-
-def likely(texts: DataFrame, fewest: int, sizes: tuple[int, ...], known: list[Known]) -> list[Known]:
-    """Bitmaps of the phrases of each of ``sizes`` words that occur ``fewest`` times or more, by counts of hashes.
-
-    Only phrases are counted whose parts of one word less are ``known``, where that is told.
+def word_counts(texts: DataFrame, fewest: int, digest: Callable[[bytes, int], int] = _hash) -> tuple[DataFrame, int]:
+    """(h, lang, word, n) of the words that occur ``fewest`` times or more, and of all words of a language together
+    under a null word; and the seed of ``h``, by which no word of the texts has the number of one of these. Stored.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(known)
 
-    def hashes(c: np.ndarray, size: int) -> np.ndarray:
-        word, end = c.view(np.uint64), c == -1
-        m = len(c) - size + 1
-        if m < 1:
-            return np.zeros(0, np.uint64)
-        take = ~np.logical_or.reduce([end[i : i + m] for i in range(size)])
-        if size - 1 <= len(shared.value) and size > 1:
-            part = shared.value[size - 2].test([word[i : i + m + 1] for i in range(size - 1)])
-            take &= part[:-1] & part[1:]
-        return _mixed([word[i : i + m][take] for i in range(size)])
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        langs, codes, size = {}, [], 0
-        held = {s: () for s in sizes}
-
-        def fold() -> int:
-            c = np.concatenate(codes)
-            codes.clear()
-            for s in sizes:
-                held[s] = _sum_hashes(held[s], np.unique(hashes(c, s), return_counts=True))
-            return sum(len(x[0]) for x in held.values())
-
-        def rows() -> Iterator[pd.DataFrame]:
-            for s in sizes:
-                if held[s]:
-                    h, n = held[s]
-                    for i in range(0, len(h), 1 << 18):
-                        yield pd.DataFrame({"size": s, "h": h[i : i + (1 << 18)].view(np.int64), "n": n[i : i + (1 << 18)]})
-                held[s] = ()
-
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                if lang not in langs:
-                    langs[lang] = _Hashes(lang)
-                codes.append(codes_of(text, langs[lang]))
-                size += len(codes[-1])
-                if size > _CODES:
-                    size = 0
-                    if fold() > _HASHES:
-                        yield from rows()
-        if codes:
-            fold()
-        yield from rows()
-
-    made = texts.mapInPandas(count, "size int, h long, n long").groupBy("size", "h").agg(F.sum("n").alias("n"))
-    found = stored(made.filter(F.col("n") >= fewest).select("size", "h"))
-    return [Known(s, bitmap(found.filter(F.col("size") == s))) for s in sizes]
-
-
-def _sum_hashes(a: tuple, b: tuple) -> tuple:
-    if not a:
-        return b
-    h, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-    order = np.argsort(h, kind="stable")
-    h, n = h[order], n[order]
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    return h[first], np.add.reduceat(n, first) if len(h) else n
-
-
-def _sum_rows(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((low, high))
-    high, low, n = high[order], low[order], n[order]
-    first = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
-    return high[first], low[first], np.add.reduceat(n, first)
+    def counted(seed: int) -> DataFrame:
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            langs, names, codes, size, total = {}, [], [], 0, np.zeros(0, np.int64)
+
+            def fold() -> np.ndarray:
+                c = np.concatenate(codes)
+                n = np.bincount(c[c >= 0], minlength=len(names))
+                n[: len(total)] += total
+                codes.clear()
+                return n
+
+            def rows() -> Iterator[pd.DataFrame]:
+                seeds = {lang: xxhash.xxh64_intdigest(lang.encode(), seed) for lang in langs}
+                for i in range(0, len(names), 1 << 16):
+                    some = names[i : i + (1 << 16)]
+                    h = np.fromiter((digest(word, seeds[lang]) for lang, word in some), np.uint64, len(some)).view(np.int64)
+                    yield pd.DataFrame({"h": h, "lang": [x for x, _ in some], "word": [x.decode() for _, x in some], "n": total[i : i + (1 << 16)]})
+                of = pd.Series([lang for lang, _ in names], dtype=object)
+                sums = pd.Series(total).groupby(of).sum()
+                yield pd.DataFrame({"h": -1, "lang": list(sums.index), "word": pd.Series([None] * len(sums), dtype=object), "n": sums.to_numpy()})
+                langs.clear()
+                names.clear()
+
+            spelt = 0
+            for batch in batches:
+                for lang, text in zip(batch["lang"], batch["text"], strict=True):
+                    if lang not in langs:
+                        langs[lang] = _Names(lang, names)
+                    before = len(names)
+                    codes.append(codes_of(text, langs[lang]))
+                    size += len(codes[-1])
+                    spelt += sum(len(x) for _, x in names[before:])
+                    if size > _CODES or spelt > _SPELT:
+                        size, total = 0, fold()
+                        if len(names) > _NAMES or spelt > _SPELT:
+                            yield from rows()
+                            spelt, total = 0, np.zeros(0, np.int64)
+            if codes:
+                total = fold()
+            if names:
+                yield from rows()
+
+        made = texts.mapInPandas(count, "h long, lang string, word string, n long")
+        # By the number alone, so that words of one number meet.
+        merged = made.repartition("h").groupBy("h", "lang", "word").agg(F.sum("n").alias("n"))
+        merged = merged.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("h")))
+        return stored(merged.filter(F.col("word").isNull() | (F.col("n") >= fewest)))
+
+    for seed in range(8):
+        words = counted(seed)
+        if words.filter("word is not null and same > 1").isEmpty():
+            return words.drop("same"), seed
+    raise ValueError("words share their hashes by every seed")
+
+
+def _summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of ``n`` by the keys, in their order; there is at least one row."""
+    order = np.lexsort(keys[::-1])
+    keys, n = [k[order] for k in keys], n[order]
+    first = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+    return (*[k[first] for k in keys], np.add.reduceat(n, first))
 
 
 @dataclass
 class _Tally:
-    """Stripes of one task, for prefixes of each of ``sizes`` words."""
+    """Counts of one task, of phrases of ``size`` words whose parts may be frequent."""
 
-    sizes: tuple[int, ...]
+    size: int
     known: list[Known]
-    names: list = field(default_factory=list)
     hashes: list = field(default_factory=list)
     langs: dict = field(default_factory=dict)
-    words: dict = field(default_factory=dict)
     codes: list = field(default_factory=list)
-    folded: dict = field(default_factory=dict)
+    held: list = field(default_factory=list)
     n_codes: int = 0
 
     def add(self, lang: str, text: str) -> None:
         if lang not in self.langs:
-            self.langs[lang] = _Codes(lang, self.names, self.hashes, self.known[0])
-        found = codes_of(text, self.langs[lang])
-        self.words[lang] = self.words.get(lang, 0) + int((found != -1).sum())
-        self.codes.append(found)
-        self.n_codes += len(found)
+            self.langs[lang] = _Codes(lang, self.hashes, self.known[0])
+        self.codes.append(codes_of(text, self.langs[lang]))
+        self.n_codes += len(self.codes[-1])
         if self.n_codes > _CODES:
             self.fold()
 
     def fold(self) -> None:
-        """Adds the stripes of the codes at hand, as rows (first words, last words, count)."""
-        if self.codes and self.hashes:
-            c = np.concatenate(self.codes)
-            word = np.fromiter(self.hashes, np.uint64, len(self.hashes))[np.maximum(c, 0)]
-            for size in self.sizes:
-                self._fold(size, c, word)
+        """Adds the phrases of the codes at hand, as one or two numbers of two words each."""
+        if not self.codes:
+            return
+        c = np.concatenate(self.codes)
         self.codes, self.n_codes = [], 0
-
-    def _fold(self, size: int, c: np.ndarray, word: np.ndarray) -> None:
-        known = self.known[size - 1]
-        m = len(c) - size
-        if m < 1:
+        m = len(c) - self.size + 1
+        if m < 1 or not self.hashes:
             return
-        take = np.logical_and.reduce([c[i : i + m] >= 0 for i in range(size)])
-        take &= known.test([word[i : i + m] for i in range(size)])
+        take = np.logical_and.reduce([c[i : i + m] >= 0 for i in range(self.size)])
+        if self.size > 2:
+            word = np.fromiter(self.hashes, np.uint64, len(self.hashes))[np.maximum(c, 0)]
+            part = self.known[self.size - 2].test([word[i : i + m + 1] for i in range(self.size - 1)])
+            take &= part[:-1] & part[1:]
         at = np.flatnonzero(take)
         if not len(at):
             return
-        follows = c[at + size]
-        # An entry of its own if the phrase may be frequent, or its last words where phrases of its size are not known.
-        last = self.known[min(size, len(self.known) - 1)]
-        parts = [word[at + size - last.size + 1 + i] for i in range(last.size)]
-        some = (follows >= 0) & last.test(parts)
-        high = c[at] if size < 3 else c[at] << 32 | c[at + 1]
-        low = c[at + size - 1] << 32 if size > 1 else np.zeros(len(at), np.int64)
-        # With its next word where that may matter; single words in their total too, longer ones are entries of shorter prefixes.
-        whole = slice(None) if size == 1 else slice(0)
-        high, low = np.concatenate([high[whole], high[some]]), np.concatenate([low[whole], low[some] | (follows[some] + 1)])
-        if not len(high):
-            return
-        rows = self.folded.setdefault(size, [])
-        rows.append(_sum_rows(high, low, np.ones(len(high), np.int64)))
-        if len(rows) > 1 and 2 * sum(len(x[0]) for x in rows) > _ENTRIES:
-            rows[:] = [_sum_rows(*[np.concatenate(x) for x in zip(*rows, strict=True)])]
+        keys = [c[at] << 32 | c[at + 1]]
+        if self.size > 2:
+            keys.append(c[at + 2] << 32 | (c[at + 3] if self.size > 3 else 0))
+        self.held.append(_summed(keys, np.ones(len(at), np.int64)))
+        if sum(len(x[0]) for x in self.held[1:]) > _ENTRIES:
+            self.merge()
+
+    def merge(self) -> None:
+        *keys, n = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+        self.held = []  # freed before the sort takes its copies
+        self.held = [_summed(keys, n)]
 
     @property
     def full(self) -> bool:
-        return max([sum(len(x[0]) for x in rows) for rows in self.folded.values()], default=0) > _ENTRIES or len(self.names) > 2 * _WORDS
+        return sum(len(x[0]) for x in self.held[:1]) > _HASHES or len(self.hashes) > _NAMES
 
     def flush(self) -> Iterator[pd.DataFrame]:
-        """Entries of all stripes so far, totals of single words with a null next word, and numbers of words; leaves nothing."""
+        """Counts of all phrases so far; leaves nothing."""
         self.fold()
-        for size, rows in self.folded.items():
-            high, low, n = _sum_rows(*[np.concatenate(x) for x in zip(*rows, strict=True)])
-            for i in range(0, len(n), 1 << 15):
-                a, b = high[i : i + (1 << 15)], low[i : i + (1 << 15)]
-                words = [a] if size == 1 else [a, b >> 32] if size == 2 else [a >> 32, a & 0xFFFFFFFF, b >> 32]
-                spelt = [[self.names[x][1].decode() for x in w] for w in words]
-                follows = [self.names[x][1].decode() if x >= 0 else None for x in (b & 0xFFFFFFFF) - 1]
-                yield pd.DataFrame(
-                    {
-                        "size": size,
-                        "lang": [self.names[x][0] for x in words[0]],
-                        "prefix": spelt[0] if size == 1 else [" ".join(p) for p in zip(*spelt, strict=True)],
-                        "next": pd.Series(follows, dtype=object),
-                        "n": n[i : i + (1 << 15)],
-                    }
-                )
-        if self.words:
-            yield pd.DataFrame({"size": 0, "lang": list(self.words), "prefix": None, "next": None, "n": list(self.words.values())})
-        self.folded, self.langs, self.words = {}, {}, {}
-        self.names.clear()
+        if self.held:
+            self.merge()
+            word = np.fromiter(self.hashes, np.uint64, len(self.hashes)).view(np.int64)
+            *keys, n = self.held[0]
+            for i in range(0, len(n), 1 << 18):
+                codes = [x for k in keys for x in (k[i : i + (1 << 18)] >> 32, k[i : i + (1 << 18)] & 0xFFFFFFFF)]
+                yield pd.DataFrame({w: word[codes[j]] if j < self.size else 0 for j, w in enumerate(_IDS)} | {"n": n[i : i + (1 << 18)]})
+        self.held, self.langs = [], {}
         self.hashes.clear()
 
 
-def stripes(texts: DataFrame, sizes: tuple[int, ...], known: list[Known], fewest: int) -> DataFrame:
-    """(size, lang, prefix, next, n): merged entries and, with a null next word, totals of single words of
-    at least ``fewest``; of size 0, the words of each language. Stored. ``known`` has a bitmap for each
-    size from one word on, at least for each size of prefix and for pairs.
+def id_counts(texts: DataFrame, size: int, known: list[Known], fewest: int) -> DataFrame:
+    """(w1, w2, w3, w4, n): phrases of ``size`` words, as numbers of words, that occur ``fewest`` times or more. Stored.
+
+    ``known`` has a bitmap for each smaller size; a phrase counts if its words and its parts of one word less may be frequent.
     """
     shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tally = _Tally(sizes, shared.value)
+        tally = _Tally(size, shared.value)
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 tally.add(lang, text)
@@ -320,9 +293,55 @@ def stripes(texts: DataFrame, sizes: tuple[int, ...], known: list[Known], fewest
                     yield from tally.flush()
         yield from tally.flush()
 
-    made = texts.mapInPandas(count, "size int, lang string, prefix string, next string, n long")
-    merged = made.groupBy("size", "lang", "prefix", "next").agg(F.sum("n").alias("n"))
-    return stored(merged.filter((F.col("size") == 0) | (F.col("n") >= fewest)))
+    made = texts.mapInPandas(count, ", ".join(f"{w} long" for w in [*_IDS, "n"]))
+    return stored(made.groupBy(*_IDS).agg(F.sum("n").alias("n")).filter(F.col("n") >= fewest))
+
+
+def _known(found: DataFrame, size: int, seed: int) -> Known:
+    """The bitmap of counted words or phrases."""
+    words = [F.col(w) for w in _IDS[:size]] if size > 1 else [F.col("h")]
+    some = found if size > 1 else found.filter("word is not null")
+    return Known(size, bitmap(some.select(_mixed_column(words).alias("h"))), seed)
+
+
+def likely(texts: DataFrame, fewest: int, sizes: tuple[int, ...], known: list[Known]) -> list[Known]:
+    """Bitmaps of the phrases of each of ``sizes`` words that occur ``fewest`` times or more; ``known`` has those of all smaller sizes."""
+    made = list(known)
+    for size in sizes:
+        found, seed = word_counts(texts, fewest) if size == 1 else (id_counts(texts, size, made, fewest), made[0].seed)
+        made.append(_known(found, size, seed))
+    return made[len(known) :]
+
+
+def _spelt(found: DataFrame, words: DataFrame, size: int, few: bool) -> DataFrame:
+    """(size, lang, prefix, next, n) of counted phrases of ``size`` words, all of which are frequent words."""
+    for i, w in enumerate(_IDS[:size]):
+        named = words.select(F.col("h").alias(w), F.col("word").alias(f"_{w}"), *(["lang"] if not i else []))
+        found = found.join(F.broadcast(named) if few else named.hint("merge"), w)
+    spelt = [f"_{w}" for w in _IDS[:size]]
+    return found.select(F.lit(size - 1).alias("size"), "lang", F.concat_ws(" ", *spelt[:-1]).alias("prefix"), F.col(spelt[-1]).alias("next"), "n")
+
+
+def stripes(texts: DataFrame, sizes: tuple[int, ...], known: list[Known], fewest: int) -> DataFrame:
+    """(size, lang, prefix, next, n): merged entries of at least ``fewest`` for prefixes of each of ``sizes`` words and,
+    with a null next word, totals of single words; of size 0, the words of each language. Stored.
+    ``known`` may give bitmaps for each size from one word on; others are made of the counts.
+    """
+    words, seed = word_counts(texts, fewest)
+    known = [k for k in known if k.seed == seed] or [_known(words, 1, seed)]
+    named = words.filter("word is not null")
+    few = named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    size = F.when(F.col("word").isNull(), 0).otherwise(1).alias("size")
+    rows = words.select(size, "lang", F.col("word").alias("prefix"), F.lit(None).cast("string").alias("next"), "n")
+    for n_words in range(2, max(sizes) + 2):
+        if n_words - 1 not in sizes and len(known) >= n_words:
+            continue
+        found = id_counts(texts, n_words, known, fewest)
+        if n_words - 1 in sizes:
+            rows = rows.unionByName(_spelt(found, named, n_words, few))
+        if len(known) < n_words <= max(sizes):
+            known.append(_known(found, n_words, seed))
+    return stored(rows)
 
 
 def _tail(phrase: Column | str) -> Column:
@@ -338,10 +357,7 @@ def phrase_counts(docs: DataFrame, fewest: int = FEWEST, longest: int = LONGEST)
     if not 2 <= longest <= 4:
         raise ValueError("phrases of up to 2, 3 or 4 words")
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    known: list[Known] = []
-    for size in range(1, max(longest, 3)):
-        known += likely(texts, fewest, (size,), known)
-    rows = stripes(texts, tuple(range(1, longest)), known, fewest)
+    rows = stripes(texts, tuple(range(1, longest)), [], fewest)
     sums = rows.filter("size = 0").select("lang", "n")
     phrase = F.concat_ws(" ", "prefix", "next").alias("phrase")
     words = rows.filter("size = 1 and next is null").select("lang", "size", F.col("prefix").alias("phrase"), F.col("n").alias("f"))

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from riskflow.llm import negatives, phrases, rules
@@ -215,6 +216,54 @@ def test_each_phrase_is_handed_on_once(spark):
     assert {r["phrase"]: r["f"] for r in counts.collect()} == often
 
 
+def test_a_phrase_is_handed_on_in_one_reading_only(spark, monkeypatch):
+    """One row per phrase and task, and one per task for all words of the language."""
+    texts = spark.createDataFrame([("a b c d e, a b", "en")] * 320, "text string, lang string").repartition(8)
+    handed, plain = spark.sparkContext.accumulator(0), type(texts).mapInPandas
+
+    def counted(self, func, schema, *more):
+        def rows(batches):
+            for made in func(batches):
+                handed.add(len(made))
+                yield made
+
+        return plain(self, rows, schema, *more)
+
+    monkeypatch.setattr(type(texts), "mapInPandas", counted)
+    counts, sums = phrases.phrase_counts(texts)
+    assert {r["phrase"] for r in counts.collect()} == {"a b c d e"[i : i + 2 * n - 1] for n in range(1, 5) for i in range(0, 11 - 2 * n, 2)}
+    assert [tuple(r) for r in sums.collect()] == [("en", 7 * 320)]
+    assert handed.value == 8 * (5 + 4 + 3 + 2 + 1)
+
+
+def test_words_that_share_a_hash_are_counted_by_another(spark, monkeypatch):
+    rows = [(f"t{i % 11} t{i % 7}, rare{i} t{i % 5} t{i % 3}", source) for i in range(1500) for source in ("en", "de")]
+    texts = spark.createDataFrame(rows, "text string, lang string")
+    want = sorted(map(tuple, phrases.collocations(texts).collect()))
+    assert len(want) >= 30
+    first = {xxhash.xxh64_intdigest(lang, 0) for lang in (b"en", b"de")}
+    plain, made = phrases.word_counts, []
+
+    def counts(texts, fewest):
+        # By the first seed a frequent word shares its hash with a rare one.
+        digest = lambda word, seed: 5 if seed in first and word in (b"t1", b"rare7") else xxhash.xxh64_intdigest(word, seed)
+        made.append(plain(texts, fewest, digest))
+        return made[-1]
+
+    monkeypatch.setattr(phrases, "word_counts", counts)
+    for bound in (1 << 20, 16):
+        monkeypatch.setattr(phrases, "_NAMES", bound)
+        monkeypatch.setattr(phrases, "_SPELT", bound)
+        monkeypatch.setattr(phrases, "_CODES", bound)
+        assert sorted(map(tuple, phrases.collocations(texts).collect())) == want
+    assert [seed for _, seed in made] == [1, 1]
+    for words, _ in made:
+        got = {(r["lang"], r["word"]): r["n"] for r in words.collect()}
+        often = Counter((lang, w) for text, lang in rows for w in text.replace(",", "").split())
+        sums = Counter({lang: sum(n for (x, _), n in often.items() if x == lang) for lang in ("en", "de")})
+        assert got == {k: n for k, n in often.items() if n >= 30} | {(lang, None): n for lang, n in sums.items()}
+
+
 def mined(rows, anchors, positives=5, negatives_=5):
     rows = list({(i, lab, tuple(v)) for i, lab, v in rows})
     size = Counter(len(v) for *_, v in rows)
