@@ -48,9 +48,9 @@ _BYTES = bytes(
     0xFF if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256)
 )
 #: Bytes of a text whose words are listed at a time, and codes and infrequent words kept by a task.
-_CHUNK, _CODES, _WORDS = 1 << 18, 1 << 18, 1 << 17
+_CHUNK, _CODES, _WORDS = 1 << 18, 1 << 18, 1 << 16
 #: Numbered words, their bytes, and phrases that a task holds at a time; phrases that it merges with these at a time.
-_NAMES, _SPELT, _HASHES, _ENTRIES = 1 << 19, 1 << 25, 1 << 21, 1 << 20
+_NAMES, _SPELT, _HASHES, _ENTRIES = 1 << 19, 1 << 25, 1 << 21, 1 << 19
 #: Bits by which the hash of a phrase turns before its next word.
 _TURN = 21
 #: Numbers of the words of a phrase, 0 after its last.
@@ -160,10 +160,10 @@ def word_counts(texts: DataFrame, fewest: int, digest: Callable[[bytes, int], in
 
             def rows() -> Iterator[pd.DataFrame]:
                 seeds = {lang: xxhash.xxh64_intdigest(lang.encode(), seed) for lang in langs}
-                for i in range(0, len(names), 1 << 16):
-                    some = names[i : i + (1 << 16)]
+                for i in range(0, len(names), 1 << 15):
+                    some = names[i : i + (1 << 15)]
                     h = np.fromiter((digest(word, seeds[lang]) for lang, word in some), np.uint64, len(some)).view(np.int64)
-                    yield pd.DataFrame({"h": h, "lang": [x for x, _ in some], "word": [x.decode() for _, x in some], "n": total[i : i + (1 << 16)]})
+                    yield pd.DataFrame({"h": h, "lang": [x for x, _ in some], "word": [x.decode() for _, x in some], "n": total[i : i + (1 << 15)]})
                 of = pd.Series([lang for lang, _ in names], dtype=object)
                 sums = pd.Series(total).groupby(of).sum()
                 yield pd.DataFrame({"h": -1, "lang": list(sums.index), "word": pd.Series([None] * len(sums), dtype=object), "n": sums.to_numpy()})
@@ -270,9 +270,9 @@ class _Tally:
             self.merge()
             word = np.fromiter(self.hashes, np.uint64, len(self.hashes)).view(np.int64)
             *keys, n = self.held[0]
-            for i in range(0, len(n), 1 << 18):
-                codes = [x for k in keys for x in (k[i : i + (1 << 18)] >> 32, k[i : i + (1 << 18)] & 0xFFFFFFFF)]
-                yield pd.DataFrame({w: word[codes[j]] if j < self.size else 0 for j, w in enumerate(_IDS)} | {"n": n[i : i + (1 << 18)]})
+            for i in range(0, len(n), 1 << 16):
+                codes = [x for k in keys for x in (k[i : i + (1 << 16)] >> 32, k[i : i + (1 << 16)] & 0xFFFFFFFF)]
+                yield pd.DataFrame({w: word[codes[j]] if j < self.size else 0 for j, w in enumerate(_IDS)} | {"n": n[i : i + (1 << 16)]})
         self.held, self.langs = [], {}
         self.hashes.clear()
 
