@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.functions.scalar import as_column
@@ -14,6 +17,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A frame of at most this many rows of a few plain columns may be broadcast.
 BROADCAST_ROWS = 100_000
 
+#: Whole texts that a Python worker gets at a time where each is worked on by itself.
+TEXTS = 256
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def stored(df: DataFrame) -> DataFrame:
     """The frame, written once to the shared folder and read back.
@@ -26,6 +33,25 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = TEXTS) -> Iterator[None]:
+    """Jobs run meanwhile hand at most ``rows`` rows at a time to Python.
+
+    A batch is held by the executor, by its worker and there once more as strings, so ten
+    thousand texts, the default, take many times what the work on one of them does.
+    """
+    before = spark.conf.get(_BATCH, None)
+    held = int(before or 0)
+    spark.conf.set(_BATCH, str(min(rows, held) if held > 0 else rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
+
+
 def word_count(text: Column | str) -> Column:
     """Number of words; 0 for null and empty texts."""
     return F.coalesce(F.regexp_count(as_column(text), F.lit(WORD)), F.lit(0)).cast("long")
