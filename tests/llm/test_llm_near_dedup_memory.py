@@ -66,3 +66,23 @@ def test_bitmap_takes_little_of_the_driver(spark):
     own = np.array([r["h"] for r in hashes.collect()])
     assert found.test(own).all() and np.bitwise_count(found.table).sum() == len(np.unique(own.view(np.uint64) >> np.uint64(found.shift)))
     assert not bits.bitmap(hashes.limit(0)).table.any()
+
+
+def test_texts_stay_where_few_are_dropped(spark, monkeypatch, capsys):
+    """Few keys are broadcast to the texts, many shuffled with them; both keep the same rows."""
+    rows = [(i // 3, f"some words of a text that is told {i % 4} times") for i in range(24)] + [(None, None), (None, ""), (7, None)]
+    docs = common.stored(spark.createDataFrame(rows + rows[:5], "doc_id long, text string"))
+    kept, plans = [], []
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (similar.BROADCAST_ROWS, 0):
+            monkeypatch.setattr(similar, "BROADCAST_ROWS", most)
+            found = similar.keep_first_similar(docs)
+            found.explain()
+            plans.append(capsys.readouterr().out)
+            kept.append(sorted(str(r) for r in found.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert kept[0] == kept[1] and len(kept[0]) == 5
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0] and "SortMergeJoin" in plans[1]
