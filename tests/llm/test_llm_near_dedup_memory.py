@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import tracemalloc
+from fractions import Fraction
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -86,3 +89,74 @@ def test_texts_stay_where_few_are_dropped(spark, monkeypatch, capsys):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert kept[0] == kept[1] and len(kept[0]) == 5
     assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0] and "SortMergeJoin" in plans[1]
+
+
+def _near_copies(source, many):
+    """Texts of random words, some of them near copies, all of them with a few of the same stock phrases."""
+    stock, texts = [" ".join(f"s{source.randrange(9)}" for _ in range(7)) for _ in range(30)], []
+    for i in range(many):
+        size = source.choice([5, 6, 9, 30, 100, 300])
+        base = [f"w{source.randrange(10**6)}" for _ in range(size)]
+        for _ in range(size // 12):
+            base[source.randrange(size)] = source.choice(stock)
+        for edits in source.choice([(0,), (0,), (0, 1), (0, size // 50 + 1, size // 30), (size // 25, size // 20)]):
+            copy = base.copy()
+            for at in source.sample(range(size), edits):
+                copy[at] = f"e{source.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+def _partners(texts, least=0.8):
+    """The texts that another text, not a copy, is near."""
+    sets = []
+    for x in texts:
+        w = x.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)})
+    near = lambda a, b: 10 * len(sets[a] & sets[b]) >= round(10 * least) * len(sets[a] | sets[b])
+    return {texts[i] for i in range(len(texts)) if any(texts[i] != texts[j] and near(i, j) for j in range(len(texts)))}
+
+
+@pytest.mark.parametrize("held", [1, 1 << 19])
+def test_texts_without_partner_go_no_further(spark, monkeypatch, held):
+    """No text that has a partner is lost, though every text shares shingles with many; nearly all others go, copies too."""
+    monkeypatch.setattr(similar, "_HELD", held)
+    texts = _near_copies(random.Random(3), 400) + ["", " ", "lone", "five words that are alone", "six words that are not alone", "Six words that are NOT alone"]
+    docs = spark.createDataFrame([(x,) for x in texts + texts[::3]], "text string").repartition(5)
+    named = common.stored(docs.select(*similar.text_keys(), "text"))
+    t, want, alike = Fraction("0.8"), _partners(texts), _partners(texts, 0.2)
+    for table in (np.zeros(1 << 16, np.uint8), similar._rarity(named, 5)):
+        found = {r["h"] for r in similar._partnered(named, table, t, 5).collect()}
+        kept = {r["text"] for r in named.collect() if r["k1"] >> 24 << 24 in found}
+        assert want <= kept and len(kept - alike) <= 12 < len(want) and len(alike) < len(set(texts)) / 1.5
+    assert similar._partnered(named.limit(0), table, t, 5).count() == 0
+
+
+def test_longer_prefixes_share_what_is_asked_for():
+    """Two sets of the least similarity, their own shingles first in the order, still share it."""
+    t = Fraction("0.8")
+    for n in range(1, 400):
+        for m in range(n, n * 5 // 4 + 1):
+            both = -(-4 * (n + m) // 9)
+            if both > n:
+                continue
+            (one, need), (two, ask) = similar._longer(n, t), similar._longer(m, t)
+            least = min(one - (n - both), two - (m - both))
+            assert 1 <= max(need, ask) <= least and one <= n and two <= m
+
+
+def test_coarse_counters_link_no_strangers(spark, monkeypatch):
+    """With one page of counters every shingle looks alike: only texts that may have partners are candidates, and the result stays."""
+    monkeypatch.setattr(similar, "COUNTERS", 12)
+    monkeypatch.setattr(similar, "FINER", 12)
+    texts = sorted(set(_near_copies(random.Random(5), 300)))
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    named = common.stored(docs.select(*similar.text_keys(), "text"))
+    linked = {x for r in similar._candidates(named, Fraction("0.8"), 5).collect() for x in (r["a"], r["b"])}
+    found = {r["text"] for r in named.collect() if r["k1"] in linked}
+    assert _partners(texts) <= found and len(found - _partners(texts, 0.2)) <= 12
+    monkeypatch.undo()
+    kept = sorted(r["doc_id"] for r in similar.keep_first_similar(docs).collect())
+    for k, v in (("COUNTERS", 12), ("FINER", 12), ("_HELD", 50)):
+        monkeypatch.setattr(similar, k, v)
+    assert sorted(r["doc_id"] for r in similar.keep_first_similar(docs).collect()) == kept
