@@ -117,6 +117,15 @@ def _partners(texts, least=0.8):
     return {texts[i] for i in range(len(texts)) if any(texts[i] != texts[j] and near(i, j) for j in range(len(texts)))}
 
 
+def test_counts_beyond_a_tasks_counters_add_up(spark, monkeypatch):
+    texts = spark.createDataFrame([("the same five words here",)] * 900 + [("and five words of another",)] * 5, "text string").coalesce(1)
+    found = []
+    for most in ((1 << 16) - 1, 7):
+        monkeypatch.setattr(similar, "_MOST", most)
+        found.append(similar._rarity(texts, 5))
+    assert (found[0] == found[1]).all() and set(found[0].tolist()) == {0, 80, 20}
+
+
 @pytest.mark.parametrize("held", [1, 1 << 19])
 def test_texts_without_partner_go_no_further(spark, monkeypatch, held):
     """No text that has a partner is lost, though every text shares shingles with many; nearly all others go, copies too."""
